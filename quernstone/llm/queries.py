@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .html_text import extract_pages
+from .secrets import scan
 from .sharding import shard_documents
 
 
@@ -19,9 +20,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op4_sharding": op4_sharding,
+    "op9_secret_scans": op9_secret_scans,
 }
 
 ORACLE_SQL: dict[str, str] = {}
