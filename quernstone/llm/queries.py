@@ -5,29 +5,51 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .html_text import extract_pages
+from .pseudonyms import KINDS, pseudonymise
+from .quality import classify
 from .secrets import scan
 from .sharding import shard_documents
+from .url_filters import judge
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the whole text with pseudonyms, and how many findings of each kind were replaced."""
+    done = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [(F.size("found") - F.size(F.array_remove("found.kind", kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return done.select("doc_id", "text", *counts)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_pii": op2_pii,
     "op4_sharding": op4_sharding,
+    "op6_url_filters": op6_url_filters,
     "op9_secret_scans": op9_secret_scans,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
