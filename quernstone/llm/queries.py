@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contaminated
 from .html_text import extract_pages
+from .packing import pack
 from .pseudonyms import KINDS, pseudonymise
 from .quality import classify
 from .secrets import scan
@@ -40,6 +41,17 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def vocabulary() -> str:
+    """The public tokenizer's file, on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
@@ -54,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_url_filters": op6_url_filters,
+    "op8_packing": op8_packing,
     "op9_secret_scans": op9_secret_scans,
     "op10_quality_classifier": op10_quality_classifier,
 }
