@@ -302,18 +302,31 @@ def join_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return every, components(star.unionByName(cross))
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of each document."""
+def _linked(docs: DataFrame) -> DataFrame:
     every, parts = join_sets(docs)
     least = every.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     named = least.join(parts.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     named = cut(named, "named")
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_set = cut(named.join(smallest, "component").select("set_id", "component_id"), "of-set")
-    return every.join(of_set, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return every.join(of_set, "set_id", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def link_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of each document."""
+    return _linked(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their component, each doc_id once, with their columns."""
-    links = link_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(links, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each component, the one with the smallest id, with all columns.
+
+    Documents without shingles or without an id stay. Of rows with equal id and text one stays.
+    """
+    links = cut(_linked(docs).select("doc_id", "text_key", "n_shingles", "component_id"), "linked")
+    key = ["doc_id", "text_key"]
+    copies = links.where("component_id <> doc_id").select(*key).distinct()
+    kept = docs.withColumn("text_key", F.xxhash64("text")).join(copies, key, "left_anti")
+    repeated = links.where("n_shingles > 0").groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1 and doc_id is not null").select(*key)
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates(key))
+    return kept.drop("text_key")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contaminated
+from .embedding_dedup import near_duplicates
 from .html_text import extract_pages
 from .ngram_join import link_documents
 from .packing import pack
@@ -46,6 +47,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def vocabulary() -> str:
     """The public tokenizer's file, on every machine of the cluster."""
     import public_tokenizers
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_url_filters": op6_url_filters,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_packing": op8_packing,
     "op9_secret_scans": op9_secret_scans,
     "op10_quality_classifier": op10_quality_classifier,
