@@ -8,7 +8,8 @@ Tokens are put in a global order, rarest first, by counts of all documents in SL
 m tokens link, they share at least a = ceil(3 * (n + m) / 7) tokens, and of the first n - ceil(3 * n / 4) + 1
 of one (the set whose first part ends earlier) all but n - a lie in the first part of the other. So:
 
-1. Only first parts are shuffled, by token. Each set meets the smallest set of each of its tokens (its
+1. Only first parts are shuffled, by TOKEN_BITS bits of the token (two tokens of a set that agree in these
+   cost one of the count, which the bound makes up for). Each set meets the smallest set of each of its tokens (its
    pivots); pivots that share enough tokens make groups of similar sets, in chunks of at most CHUNK.
 2. Groups are opened: all pairs of a chunk are counted as a matrix product. Links give components.
 3. The matrix of tokens and groups: for each token the groups that hold it, in components that differ. The
@@ -16,7 +17,7 @@ of one (the set whose first part ends earlier) all but n - a lie in the first pa
    the bound are opened, all others are skipped. The last links join components.
 
 Every pair that could link is either counted or in one component already, so components are exact, up to
-collisions of 64-bit hashes. No pairs of a group are written, only links of each chunk to its first member.
+collisions of 48-bit hashes within a pair. No pairs of a group are written, only links of each chunk to its first member.
 
 Nulls: a null or empty text has no shingles and is its own component; a null doc_id is never smallest.
 Repeated rows get equal results. An empty table gives no rows. Very long texts are processed whole.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, mix, span_hashes
 
-WORDS, SLOTS, CHUNK, FILTER_BITS, BATCH_BYTES = 5, 1 << 18, 64, 1 << 26, 2_000_000
+WORDS, SLOTS, CHUNK, TOKEN_BITS, FILTER_BITS, BATCH_BYTES = 5, 1 << 18, 64, 44, 1 << 26, 2_000_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -158,7 +159,7 @@ def _first_parts(ranks: np.ndarray):
                 if tokens:
                     many = list(map(len, tokens))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many))], names=["token", "set_id", "n"]
+                        [pa.array((np.concatenate(tokens) >> np.uint64(64 - TOKEN_BITS)).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many))], names=["token", "set_id", "n"]
                     )
 
     return run
@@ -179,7 +180,7 @@ def _sets_of(bits: np.ndarray):
                     if len(own) and (me := set_id(own)) not in done:
                         done.add(me)
                         ids.append(me)
-                        sets.append(own.tobytes())
+                        sets.append((own >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["set_id", "tokens"])
 
     return run
@@ -210,13 +211,20 @@ def overlaps(sets: list[np.ndarray], columns: int = 1 << 15) -> np.ndarray:
     return np.rint(total).astype(np.int64)
 
 
+def _whole(tokens: bytes) -> np.ndarray:
+    """Tokens as they are sent, the upper 48 bits of each."""
+    out = np.zeros((len(tokens) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(tokens, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _open(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links of a chunk: each member to the smallest one that it reaches inside the chunk."""
     pdf = pdf.drop_duplicates("set_id").sort_values("set_id", ignore_index=True)
     ids = pdf["set_id"].to_numpy()
     if len(ids) < 2:
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    sets = [np.frombuffer(t, np.uint64) for t in pdf["tokens"]]
+    sets = [_whole(t) for t in pdf["tokens"]]
     size = np.array(list(map(len, sets)))
     both = overlaps(sets)
     linked = 100 * both >= 75 * (size[:, None] + size[None] - both)
@@ -245,16 +253,18 @@ def least_shared(n: Column, low: Column, high: Column) -> Column:
     return F.greatest(F.lit(1), F.least(_first(n) - n + _share(n, low), _first(high) - high + _share(n, high)) - 1)
 
 
-def _links(pairs: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) of pairs (one, other): chunks of at most CHUNK `one`s with their `other` are opened."""
-    pairs = cut(pairs, "pairs")
-    many = pairs.groupBy("other").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    dealt = pairs.join(many, "other").select("other", F.pmod(F.xxhash64("one"), F.col("chunks")).alias("chunk"), "one")
-    members = dealt.select("other", "chunk", F.explode(F.array("one", "other")).alias("set_id")).distinct()
-    members = cut(members, "members")
-    wanted = keys.join(members.select("set_id").distinct(), "set_id")
+UNIT = ["u", "v", "w"]
+
+
+def _links(members: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of linked sets that lie in one unit (u, v, w); members has a row for each unit and set_id.
+
+    Every side of the joins grows with the input, so none is sent to all tasks, however small it is.
+    """
+    members = cut(members.distinct(), "members")
+    wanted = keys.join(members.select("set_id").distinct().hint("merge"), "set_id")
     sets = texts.mapInArrow(_sets_of(_wanted_bits(wanted)), "set_id long, tokens binary")
-    opened = members.join(sets, "set_id").groupBy("other", "chunk").applyInPandas(_open, "a long, b long")
+    opened = members.hint("merge").join(sets, "set_id").groupBy(*UNIT).applyInPandas(_open, "a long, b long")
     return cut(opened.distinct(), "set-links")
 
 
@@ -276,12 +286,16 @@ def join_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     met = live.where("set_id <> pivot").groupBy("set_id", "n", "pivot", "pivot_n").agg(F.count("*").alias("shared"))
     fits = (4 * F.least("n", "pivot_n") >= 3 * F.greatest("n", "pivot_n")) & (F.col("shared") >= least_shared(F.col("n"), F.col("pivot_n"), F.col("pivot_n")))
-    star = _links(met.where(fits).select(F.col("set_id").alias("one"), F.col("pivot").alias("other")), keys, plain)
+    pairs = cut(met.where(fits).select("set_id", "pivot"), "pairs")
+    many = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    dealt = pairs.join(many.hint("merge"), "pivot").withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")))
+    dealt = dealt.select(F.col("pivot").alias("u"), F.col("chunk").alias("v"), F.lit(0).cast("long").alias("w"), F.explode(F.array("set_id", "pivot")).alias("set_id"))
+    star = _links(dealt, keys, plain)
     parts = cut(components(star), "parts")
 
     sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
     placed = parts.join(sizes, "component").select(F.col("node").alias("set_id"), "component", "size")
-    known = live.select("token", "set_id", "n").join(placed, "set_id", "left")
+    known = live.select("token", "set_id", "n").join(placed.hint("merge"), "set_id", "left")
     known = known.select("token", "set_id", "n", F.coalesce("component", "set_id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
     apart = known.withColumn("low", F.min("component").over(of_token)).withColumn("high", F.max("component").over(of_token)).where("low <> high")
     chunk = F.pmod(F.xxhash64("set_id"), F.ceil(F.col("size") / CHUNK))
@@ -290,15 +304,17 @@ def join_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = apart.select("set_id", "n", "component", "chunk").distinct()
     spans = groups.groupBy("component", "chunk").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"))
     matrix = apart.groupBy("token", F.col("component").alias("g"), F.col("chunk").alias("g_chunk")).agg(F.first("size").alias("g_size"))
-    asks = apart.select("token", "set_id", "n", "component", "size")
+    asks = apart.select("token", "set_id", "n", "component", "size").hint("merge")
     smaller = (F.col("size") < F.col("g_size")) | (F.col("size") == F.col("g_size")) & (F.col("component") < F.col("g"))
     bound = asks.join(matrix, "token").where(smaller).groupBy("set_id", "n", "g", "g_chunk").agg(F.count("*").alias("shared"))
     ranges = spans.select(F.col("component").alias("g"), F.col("chunk").alias("g_chunk"), "n_low", "n_high")
     enough = (4 * F.least("n", "n_high") >= 3 * F.greatest("n", "n_low")) & (F.col("shared") >= least_shared(F.col("n"), F.col("n_low"), F.col("n_high")))
-    opened = bound.join(ranges, ["g", "g_chunk"]).where(enough).select("set_id", "n", "g", "g_chunk")
-    inside = groups.select(F.col("component").alias("g"), F.col("chunk").alias("g_chunk"), F.col("set_id").alias("other"), F.col("n").alias("m"))
-    asked = opened.join(inside, ["g", "g_chunk"]).where(4 * F.least("n", "m") >= 3 * F.greatest("n", "m"))
-    cross = _links(asked.select(F.col("other").alias("one"), F.col("set_id").alias("other")), keys, plain)
+    opened = cut(bound.join(ranges.hint("merge"), ["g", "g_chunk"]).where(enough).select("set_id", "g", "g_chunk"), "opened")
+    asking = opened.groupBy("g", "g_chunk").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    askers = opened.join(asking.hint("merge"), ["g", "g_chunk"]).select(F.col("g").alias("u"), F.col("g_chunk").alias("v"), F.pmod(F.xxhash64("set_id"), F.col("chunks")).alias("w"), "set_id")
+    inside = groups.select(F.col("component").alias("u"), F.col("chunk").alias("v"), "set_id")
+    held = askers.select(*UNIT).distinct().hint("merge").join(inside, ["u", "v"]).select(*UNIT, "set_id")
+    cross = _links(askers.unionByName(held), keys, plain)
     return every, components(star.unionByName(cross))
 
 
