@@ -1,0 +1,140 @@
+"""Filters, vector search, hybrid ranking."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .embedding import sparse_cosine
+from .keywords import bm25
+
+DECIMALS = 6
+
+
+def compile_filter(spec: dict | None, columns: list[str]) -> Column:
+    """A filter such as {"and": [{"field": "lang", "op": "=", "value": "en"}, ...]} as a column."""
+    if not spec:
+        return F.lit(True)
+    if "and" in spec:
+        return reduce(lambda a, b: a & b, [compile_filter(s, columns) for s in spec["and"]], F.lit(True))
+    if "or" in spec:
+        return reduce(lambda a, b: a | b, [compile_filter(s, columns) for s in spec["or"]], F.lit(False))
+    if "not" in spec:
+        return ~compile_filter(spec["not"], columns)
+    field, op, value = spec["field"], spec["op"], spec.get("value")
+    if field not in columns:
+        raise ValueError(f"unknown field {field!r}")
+    column = F.col(field)
+    made = {
+        "=": lambda: column == value,
+        "<>": lambda: column != value,
+        "<": lambda: column < value,
+        "<=": lambda: column <= value,
+        ">": lambda: column > value,
+        ">=": lambda: column >= value,
+        "in": lambda: column.isin(list(value)),
+        "contains": lambda: column.contains(value),
+        "exists": lambda: column.isNotNull() if value is not False else column.isNull(),
+    }
+    if op not in made:
+        raise ValueError(f"unknown operation {op!r}")
+    return made[op]()
+
+
+def tag_filter(tags: dict[str, str]) -> Column:
+    """All given slots must hold the given values."""
+    return reduce(lambda a, b: a & b, [F.col(slot) == value for slot, value in tags.items()], F.lit(True))
+
+
+def rank_matches(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc_id", score: str = "score") -> DataFrame:
+    """The k best of each query; scores are rounded first, and ties go to the smaller id."""
+    rounded = scored.withColumn(score, F.round(score, DECIMALS))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), item))
+    return rounded.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _blocks(rows: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
+    """Rows gathered into blocks of about `size`."""
+    n = rows.count()
+    block = F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // size))))
+    return rows.groupBy(block.alias(name)).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))).alias(f"{name}_rows"))
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, min_score: float | None = None, size: int = 2_000) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest rows by cosine for each query (query_id, embedding).
+
+    Both sides are cut into blocks of bounded size; each pair of blocks is one matrix product that keeps the
+    k best of each query, so only blocks * k rows of a query are ranked at the end.
+    """
+
+    def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for rows, asked in zip(part["d_rows"], part["q_rows"]):
+                ids, own = np.array([r["id"] for r in rows]), np.array([r["id"] for r in asked])
+                x, q = np.stack([r["v"] for r in rows]), np.stack([r["v"] for r in asked])
+                size_x, size_q = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
+                some_x, some_q = size_x > 0, size_q > 0
+                ids, own, x, q = ids[some_x], own[some_q], x[some_x] / size_x[some_x, None], q[some_q] / size_q[some_q, None]
+                for at, scores in enumerate(np.round(q @ x.T, DECIMALS)):
+                    top = np.lexsort((ids, -scores))[:k]
+                    if min_score is not None:
+                        top = top[scores[top] >= min_score]
+                    yield pd.DataFrame({"query_id": own[at], "vec_id": ids[top], "score": scores[top]})
+
+    pairs = _blocks(vectors, "vec_id", "embedding", size, "d").crossJoin(_blocks(queries, "query_id", "embedding", size, "q"))
+    found = pairs.select("d_rows", "q_rows").mapInPandas(best, "query_id long, vec_id long, score double")
+    return rank_matches(found, k, item="vec_id").select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "score")
+
+
+def hybrid(docs: DataFrame, queries: DataFrame, k: int, keyword_weight: float = 0.4, min_score: float = 0.0, buckets: int = 512) -> DataFrame:
+    """(query_id, rank, doc_id, score, vector_score, keyword_score): (1 - w) * cosine + w * BM25 / best BM25.
+
+    The two lists of candidates are joined in full; a missing score counts 0.
+    """
+    words = bm25(docs, queries)
+    best = words.groupBy("query_id").agg(F.max("keyword_score").alias("best"))
+    words = words.join(best, "query_id").select("query_id", "doc_id", (F.col("keyword_score") / F.col("best")).alias("keyword_score"))
+    both = sparse_cosine(docs, queries, buckets).join(words, ["query_id", "doc_id"], "full_outer")
+    both = both.select("query_id", "doc_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("vector_score", "keyword_score")])
+    fused = both.withColumn("score", F.round((1 - keyword_weight) * F.col("vector_score") + keyword_weight * F.col("keyword_score"), DECIMALS))
+    ranked = rank_matches(fused.where(F.col("score") >= min_score), k)
+    return ranked.select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score", *[F.round(c, DECIMALS).alias(c) for c in ("vector_score", "keyword_score")]
+    )
+
+
+def hybrid_rrf(docs: DataFrame, queries: DataFrame, k: int, depth: int = 50, c: int = 60, buckets: int = 512) -> DataFrame:
+    """Reciprocal rank fusion of the `depth` best of each list: the sum of 1 / (c + rank)."""
+    lists = [
+        rank_matches(bm25(docs, queries).withColumnRenamed("keyword_score", "score"), depth),
+        rank_matches(sparse_cosine(docs, queries, buckets).withColumnRenamed("vector_score", "score"), depth),
+    ]
+    votes = reduce(DataFrame.unionByName, [x.select("query_id", "doc_id", (F.lit(1.0) / (c + F.col("rank"))).alias("vote")) for x in lists])
+    fused = votes.groupBy("query_id", "doc_id").agg(F.sum("vote").alias("score"))
+    return rank_matches(fused, k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
+def query(docs: DataFrame, queries: DataFrame, k: int = 5, mode: str = "hybrid", where: dict | None = None, tags: dict[str, str] | None = None, include_content: bool = False, **options) -> DataFrame:
+    """The query entry point: filters are applied before anything is scored, content is joined only on request."""
+    if mode not in ("hybrid", "v1-tags"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if "included" in docs.columns:
+        docs = docs.where("included")
+    docs = docs.where(compile_filter(where, docs.columns))
+    if mode == "v1-tags":
+        docs = docs.where(tag_filter(tags or {}))
+        options |= {"keyword_weight": 0.0}
+    found = hybrid(docs.select("doc_id", "text"), queries, k, **options)
+    if include_content:
+        found = found.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id")
+    return found
+
+
+def usage(docs: DataFrame, matches: DataFrame) -> DataFrame:
+    """One row: rows scanned, rows returned."""
+    return docs.agg(F.count("*").alias("scanned")).crossJoin(matches.agg(F.count("*").alias("returned")))
