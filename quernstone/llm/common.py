@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -65,8 +64,11 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
 
 
-def any_of(conditions: list) -> object:
-    return reduce(lambda a, b: a | b, conditions)
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores until no column has it."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

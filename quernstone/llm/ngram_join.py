@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, mix, span_hashes
+from .common import components, cut, free_name, mix, span_hashes
 
 WORDS, SLOTS, CHUNK, TOKEN_BITS, FILTER_BITS, BATCH_BYTES = 5, 1 << 18, 64, 44, 1 << 26, 2_000_000
 LOWER = np.arange(256, dtype=np.uint8)
@@ -338,11 +338,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Documents without shingles or without an id stay. Of rows with equal id and text one stays.
     """
-    links = cut(_linked(docs).select("doc_id", "text_key", "n_shingles", "component_id"), "linked")
-    key = ["doc_id", "text_key"]
+    name = free_name(docs, "text_key")
+    links = cut(_linked(docs).withColumnRenamed("text_key", name), "linked")
+    key = ["doc_id", name]
     copies = links.where("component_id <> doc_id").select(*key).distinct()
-    kept = docs.withColumn("text_key", F.xxhash64("text")).join(copies, key, "left_anti")
-    repeated = links.where("n_shingles > 0").groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1 and doc_id is not null").select(*key)
+    kept = docs.withColumn(name, F.xxhash64("text")).join(copies, key, "left_anti")
+    repeated = links.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1").select(*key)
     if not repeated.isEmpty():
         kept = kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates(key))
-    return kept.drop("text_key")
+    return kept.select(*docs.columns)

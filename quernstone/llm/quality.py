@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut, span_hashes
+from .common import cut, free_name, span_hashes
 
 PASSAGE, TRAIN_DOCS, TRAIN_PASSAGES, PAIRS = 800, 6_000, 24, 64
 SIGNS = "!#$%&*|.,;:?'\"()[]{}<>/\\=+-_@~^"
@@ -228,5 +228,5 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFram
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """The documents that are not rejected, with their columns."""
-    model = train(docs, labels)
-    return score(docs, model, "_quality").where(F.col("_quality") >= least).drop("_quality")
+    name = free_name(docs, "quality_score")
+    return score(docs, train(docs, labels), name).where(F.col(name) >= least).drop(name)

@@ -1,0 +1,58 @@
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quernstone.llm.html_text import extract_pages, main_text, smooth, threshold
+
+PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
+<header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="cookie-notice">Cookies!</div>
+<article><header><h1>Head &amp; line</h1></header><p>First <b>bold</b>&nbsp;text<br>goes   on<p>Short.<div class="ad">Buy</div>
+<ul><li>one<li>two</ul><form>Mail <input></form><!-- hidden --><blockquote>Said &#x41;</blockquote></article>
+<aside>Aside</aside><section class="comments"><p>Nice post</p></section><footer>Foot</footer></body></html>"""
+
+
+def test_article():
+    assert main_text(PAGE) == "Head & line\nFirst bold text goes on\nShort.\none\ntwo\nSaid A"
+
+
+def test_without_article():
+    page = "<body><nav>a b c</nav><div id=content><h1>Title of it</h1><p>" + "long words here " * 20 + "<p>x</div><div class=sidebar>" + "other words " * 30 + "</div></body>"
+    assert main_text(page) == "Title of it\n" + "long words here " * 19 + "long words here\nx"
+
+
+def test_one_large_paragraph_keeps_the_small_ones():
+    page = "<article><h1>H</h1><p>" + "word " * 500 + "</p><p>Tiny.</p></article>"
+    assert main_text(page) == "H\n" + ("word " * 500).strip() + "\nTiny."
+
+
+def test_cut_off():
+    assert main_text("<article><p>One &am") == "One &am"
+    assert main_text("<article><p>One<p>Two <a hre") == "One\nTwo"
+    assert main_text("<article><p>One<script>var x") == "One"
+    assert main_text("<article><p>One<!-- never closed") == "One"
+
+
+def test_nothing():
+    assert main_text(None) == main_text("") == main_text("<nav>only menu</nav>") == ""
+    assert main_text("plain text") == "plain text"
+
+
+@given(st.text(alphabet="<>/apdiv &;\"'=!-x ", max_size=120))
+@settings(max_examples=300, deadline=None)
+def test_any_markup_gives_text(page):
+    text = main_text(page)
+    assert text == "\n".join(" ".join(line.split()) for line in text.split("\n")).strip()
+
+
+def test_smoothing_and_threshold():
+    import numpy as np
+
+    assert np.allclose(smooth(np.ones(5), 1.0), 1)
+    assert 1 < threshold(np.array([1.0, 1.1, 9.0, 9.2])) < 9
+    assert threshold(np.array([3.0, 3.0])) == 3
+
+
+def test_rows(spark):
+    rows = spark.createDataFrame([(1, None, PAGE, 0), (1, None, PAGE, 0), (None, "u", None, 0)], "page_id long, url string, html string, text int")
+    found = extract_pages(rows).collect()
+    assert sorted(r["n_chars"] for r in found) == [0, len(main_text(PAGE)), len(main_text(PAGE))]
+    assert extract_pages(rows.limit(0)).count() == 0
