@@ -12,9 +12,11 @@ of one (the set whose first part ends earlier) all but n - a lie in the first pa
    cost one of the count, which the bound makes up for). Each set meets the smallest set of each of its tokens (its
    pivots); pivots that share enough tokens make groups of similar sets, in chunks of at most CHUNK.
 2. Groups are opened: all pairs of a chunk are counted as a matrix product. Links give components.
-3. The matrix of tokens and groups: for each token the groups that hold it, in components that differ. The
-   tokens that a set shares with the union of a group bound its overlap with each member; groups that meet
-   the bound are opened, all others are skipped. The last links join components.
+3. All sets that share a token with another are dealt into groups of like sets: those of a component or of the
+   pivot they share most with, of about equal size, at most CHUNK or so. The matrix of tokens and groups holds
+   each group's union of tokens that more than one component has. The tokens that a set shares with a union
+   bound its overlap with each member; groups that meet the bound are opened, all others are skipped. The last
+   links join components.
 
 Every pair that could link is either counted or in one component already, so components are exact, up to
 collisions of 48-bit hashes within a pair. No pairs of a group are written, only links of each chunk to its first member.
@@ -25,6 +27,7 @@ Repeated rows get equal results. An empty table gives no rows. Very long texts a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -293,27 +296,40 @@ def join_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     star = _links(dealt, keys, plain)
     parts = cut(components(star), "parts")
 
-    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    placed = parts.join(sizes, "component").select(F.col("node").alias("set_id"), "component", "size")
-    known = live.select("token", "set_id", "n").join(placed.hint("merge"), "set_id", "left")
-    known = known.select("token", "set_id", "n", F.coalesce("component", "set_id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    # groups: sets of one component or of one nearest pivot, of like size, in chunks
+    nearest = met.groupBy("set_id").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("nearest"))
+    placed = parts.select(F.col("node").alias("set_id"), "component")
+    every_set = live.select("set_id", "n").distinct().hint("merge").join(nearest, "set_id", "left").hint("merge").join(placed, "set_id", "left")
+    every_set = cut(
+        every_set.select(
+            "set_id",
+            "n",
+            F.coalesce("component", "set_id").alias("component"),
+            F.coalesce("component", "nearest", "set_id").alias("home"),
+            F.floor(F.log(F.col("n")) / math.log(4 / 3)).alias("band"),
+        ),
+        "live-sets",
+    )
+    crowd = every_set.groupBy("home", "band").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    grouped = every_set.join(crowd.hint("merge"), ["home", "band"]).withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")))
+    grouped = cut(grouped.select("set_id", "n", "component", F.struct("home", "band", "chunk").alias("g")), "groups")
+    spans = grouped.groupBy("g").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"))
+
+    known = live.select("token", "set_id", "n").join(grouped.select("set_id", "component", "g").hint("merge"), "set_id")
     apart = known.withColumn("low", F.min("component").over(of_token)).withColumn("high", F.max("component").over(of_token)).where("low <> high")
-    chunk = F.pmod(F.xxhash64("set_id"), F.ceil(F.col("size") / CHUNK))
-    apart = cut(apart.select("token", "set_id", "n", "component", "size", chunk.alias("chunk")), "apart")
-
-    groups = apart.select("set_id", "n", "component", "chunk").distinct()
-    spans = groups.groupBy("component", "chunk").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"))
-    matrix = apart.groupBy("token", F.col("component").alias("g"), F.col("chunk").alias("g_chunk")).agg(F.first("size").alias("g_size"))
-    asks = apart.select("token", "set_id", "n", "component", "size").hint("merge")
-    smaller = (F.col("size") < F.col("g_size")) | (F.col("size") == F.col("g_size")) & (F.col("component") < F.col("g"))
-    bound = asks.join(matrix, "token").where(smaller).groupBy("set_id", "n", "g", "g_chunk").agg(F.count("*").alias("shared"))
-    ranges = spans.select(F.col("component").alias("g"), F.col("chunk").alias("g_chunk"), "n_low", "n_high")
+    apart = cut(apart.select("token", "set_id", "n", "component", "g"), "apart")
+    matrix = apart.groupBy("token", F.col("g").alias("to")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("holders"))
+    # each pair of groups once, by the order of their names; a set is no match of itself, nor are those of its component
+    others = (F.col("g") < F.col("to")) | (F.col("g") == F.col("to")) & (F.col("holders") > 1)
+    beyond = (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
+    bound = apart.hint("merge").join(matrix, "token").where(others & beyond).groupBy("set_id", "n", "to").agg(F.count("*").alias("shared"))
     enough = (4 * F.least("n", "n_high") >= 3 * F.greatest("n", "n_low")) & (F.col("shared") >= least_shared(F.col("n"), F.col("n_low"), F.col("n_high")))
-    opened = cut(bound.join(ranges.hint("merge"), ["g", "g_chunk"]).where(enough).select("set_id", "g", "g_chunk"), "opened")
-    asking = opened.groupBy("g", "g_chunk").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    askers = opened.join(asking.hint("merge"), ["g", "g_chunk"]).select(F.col("g").alias("u"), F.col("g_chunk").alias("v"), F.pmod(F.xxhash64("set_id"), F.col("chunks")).alias("w"), "set_id")
-    inside = groups.select(F.col("component").alias("u"), F.col("chunk").alias("v"), "set_id")
-    held = askers.select(*UNIT).distinct().hint("merge").join(inside, ["u", "v"]).select(*UNIT, "set_id")
+    opened = cut(bound.join(spans.withColumnRenamed("g", "to").hint("merge"), "to").where(enough).select("set_id", "to"), "opened")
+    asking = opened.groupBy("to").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    askers = opened.join(asking.hint("merge"), "to").select("to", F.pmod(F.xxhash64("set_id"), F.col("chunks")).alias("part"), "set_id")
+    held = askers.select("to", "part").distinct().hint("merge").join(grouped.select(F.col("g").alias("to"), "set_id"), "to").select("to", "part", "set_id")
+    unit = [F.xxhash64("to").alias("u"), F.col("to.home").alias("v"), F.col("part").alias("w"), "set_id"]
+    askers, held = askers.select(*unit), held.select(*unit)
     cross = _links(askers.unionByName(held), keys, plain)
     return every, components(star.unionByName(cross))
 
