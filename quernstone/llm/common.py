@@ -64,6 +64,14 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
 
 
+def small_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
+    """The same rows; Arrow batches get at most so many of them, as whole texts are long and a batch is held more than once."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with underscores until no column has it."""
     while name.lower() in (c.lower() for c in df.columns):

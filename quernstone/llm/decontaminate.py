@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 Q, BUDGET, ITEM_CHARS, WINDOW, BATCH_CHARS, TABLE_BITS, ALIGNED = 10, 0.08, 8_000_000, 1_000_000, 1_000_000, 22, 512
 GAP = 0x110000  # stands between texts
 
@@ -216,7 +218,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kinds = dict(docs.dtypes) | dict(benchmark.dtypes)
     item_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kinds["item_id"], pa.string())
     schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, start_at long, end_at long, edits long"
-    return reduce(DataFrame.unionByName, [docs.select("doc_id", "text").mapInArrow(search(index), schema) for index in item_parts(benchmark)])
+    return reduce(DataFrame.unionByName, [small_batches(docs).select("doc_id", "text").mapInArrow(search(index), schema) for index in item_parts(benchmark)])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -231,5 +233,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     for index in item_parts(benchmark):
-        docs = docs.mapInArrow(keep(index), docs.schema)
+        docs = small_batches(docs).mapInArrow(keep(index), docs.schema)
     return docs

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset(
@@ -190,4 +192,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     kinds = dict(pages.dtypes)
     schema = f"page_id {kinds['page_id']}, url string, text string, n_chars long"
-    return pages.select("page_id", "url", "html").mapInArrow(_extract, schema)
+    return small_batches(pages).select("page_id", "url", "html").mapInArrow(_extract, schema)

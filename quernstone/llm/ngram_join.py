@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, free_name, mix, span_hashes
+from .common import components, cut, free_name, mix, small_batches, span_hashes
 
 WORDS, SLOTS, CHUNK, TOKEN_BITS, FILTER_BITS, BATCH_BYTES = 5, 1 << 18, 64, 44, 1 << 26, 2_000_000
 LOWER = np.arange(256, dtype=np.uint8)
@@ -273,7 +273,7 @@ def _links(members: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
 
 def join_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Summaries (doc_id, n, set_id, text_key) of all documents, and (node, component) of linked sets."""
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    texts = small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     kind = dict(docs.dtypes)["doc_id"]
     rows = cut(texts.mapInArrow(_summaries, f"doc_id {kind}, n long, set_id long, text_key long, block int, counts array<long>"), "summaries")
     every = rows.where("block is null").select("doc_id", "n", "set_id", "text_key")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut, free_name, span_hashes
+from .common import cut, free_name, small_batches, span_hashes
 
 PASSAGE, TRAIN_DOCS, TRAIN_PASSAGES, PAIRS = 800, 6_000, 24, 64
 SIGNS = "!#$%&*|.,;:?'\"()[]{}<>/\\=+-_@~^"
@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: Attention, column: str = "score") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores or [np.zeros(0)]), pa.float64())], names=[*batch.schema.names, column])
 
     schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:

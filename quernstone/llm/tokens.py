@@ -20,7 +20,7 @@ LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 # Unicode's White_Space, and the endings that the pattern splits off after an apostrophe.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-SLOTS, MOST = 1 << 22, 1_500_000
+SLOTS, MOST = 1 << 21, 1_200_000
 
 
 @lru_cache(1)
@@ -75,7 +75,7 @@ class Encoder:
     def clear(self) -> None:
         self.keys = np.zeros(SLOTS, np.uint64)
         self.at = np.zeros(SLOTS, np.int32)
-        self.size = np.zeros(SLOTS, np.int32)
+        self.size = np.zeros(SLOTS, np.uint16)
         self.store = np.zeros(1 << 20, np.uint16)
         self.used = self.entries = 0
 
