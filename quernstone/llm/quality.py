@@ -73,15 +73,19 @@ def encode(codes: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
     out[:, :N_CLASSES] = np.sqrt(shares / np.maximum(size, 1)[:, None])
     low = np.where(kinds == 2, codes + 32, codes).astype(np.uint32)
     pairs = ((low[:-1] * np.uint32(0x9E3779B1) + low[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(26)).astype(np.int64)
-    grams = np.bincount(owner[:-1] * PAIRS + pairs, minlength=n * PAIRS).reshape(n, PAIRS)
+    inside = owner[:-1] == owner[1:]
+    grams = np.bincount(owner[:-1][inside] * PAIRS + pairs[inside], minlength=n * PAIRS).reshape(n, PAIRS)
     out[:, N_CLASSES + 7 :] = np.sqrt(grams / np.maximum(size, 1)[:, None])
     space = (kinds == 4) | (kinds == 5)
     begin = ~space
+    heads = starts[ends > starts]  # words end where a passage does
     begin[1:] &= space[:-1]
+    begin[heads] = ~space[heads]
     at = np.nonzero(begin)[0]
     if len(at):
         stop = ~space
         stop[:-1] &= space[1:]
+        stop[heads[1:] - 1] = ~space[heads[1:] - 1]
         to = np.nonzero(stop)[0] + 1
         hashes = span_hashes(codes, at, to)
         mine = owner[at]
