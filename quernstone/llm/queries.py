@@ -83,4 +83,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+REACH = "reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": rf"""WITH RECURSIVE
+    w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+          ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+    e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+    links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+    {REACH}
+    SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM s LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id""",
+    "op7_embedding_dedup": f"""WITH RECURSIVE
+    v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+          WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS l FROM v),
+    links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM u p, u q WHERE p.vec_id <> q.vec_id AND len(p.e) = len(q.e) AND list_inner_product(p.e, q.e) / (p.l * q.l) >= 0.95),
+    {REACH},
+    r AS (SELECT vec_id, least(vec_id, coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id)) AS component_id FROM embeddings)
+    SELECT r.vec_id, (SELECT count(*) FROM links WHERE a = r.vec_id) AS n_links, component_id, r.vec_id = component_id AS kept FROM r""",
+}
