@@ -112,10 +112,8 @@ def chunker(strategy: str, size: int = 200, overlap: int = 50):
 
 
 def trigrams(text: Column) -> Column:
-    """All runs of three characters of the lower-cased text."""
-    letters = F.array(F.split(F.lower(text), ""))
-    runs = F.transform(letters, lambda c: F.when(F.size(c) > 2, F.transform(F.sequence(F.lit(1), F.size(c) - 2), lambda i: F.concat(c[i - 1], c[i], c[i + 1]))).otherwise(F.array().cast("array<string>")))
-    return runs[0]
+    """All runs of three characters of the lower-cased text, in one pass of a look-ahead."""
+    return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))."), F.lit(1))
 
 
 def gram_bucket(gram: Column, buckets: int) -> Column:
