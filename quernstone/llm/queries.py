@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from ..sources.tables import table
 from .decontaminate import contaminated
 from .embedding_dedup import near_duplicates
 from .html_text import extract_pages
