@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm.common import cut, table
+from quernstone.llm.common import cut
 from quernstone.llm.decontaminate import drop_contaminated
 from quernstone.llm.ngram_join import keep_one
 from quernstone.llm.packing import pack
 from quernstone.llm.quality import keep_good
 from quernstone.llm.queries import vocabulary
 from quernstone.llm.secrets import redact
+from quernstone.sources.tables import table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
