@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-Q, BUDGET, ITEM_CHARS, WINDOW, BATCH_CHARS, TABLE_BITS, ALIGNED = 10, 0.08, 8_000_000, 1_000_000, 1_000_000, 22, 512
+Q, BUDGET, ITEM_CHARS, WINDOW, BATCH_CHARS, TABLE_BITS, ALIGNED = 10, 0.08, 8_000_000, 400_000, 400_000, 22, 512
 GAP = 0x110000  # stands between texts
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, free_name, mix, small_batches, span_hashes
 
-WORDS, SLOTS, CHUNK, TOKEN_BITS, FILTER_BITS, BATCH_BYTES = 5, 1 << 18, 64, 44, 1 << 26, 2_000_000
+WORDS, SLOTS, CHUNK, TOKEN_BITS, FILTER_BITS, BATCH_BYTES = 5, 1 << 18, 64, 44, 1 << 26, 500_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
