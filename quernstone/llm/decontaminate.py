@@ -3,18 +3,21 @@
 Texts and benchmark items are lower-cased and runs of white space become one space. An item of m characters
 may be found with k = floor(BUDGET * m) edits (fewer for short items, so that the filter still says something).
 An occurrence then shares at least m + 1 - Q * (k + 1) q-grams with the item, all on diagonals that differ by
-at most k. Shared q-grams are counted in overlapping diagonal bands; bands that reach the bound are regions,
-and each region is verified by a banded alignment that gives the exact edit distance.
+at most k. Shared q-grams of one text are counted in overlapping diagonal bands that are as wide as the item's own k
+asks for; bands that reach the bound are regions, and a banded alignment of each region, within its text, gives the
+exact edit distance at every end that is within the budget.
 
 Every document is searched as a whole. The items are sent to all tasks in parts of at most ITEM_CHARS
 characters, a part a pass. Nulls: null texts and null items contain nothing; a null doc_id is kept. Items of
-fewer than Q characters are found nowhere. Equal items are separate. Of overlapping regions of one item the
-one with the fewest edits stays, then the leftmost. Empty tables give no rows. Repeated rows are separate.
+fewer than Q characters are found nowhere. Equal items are separate. For each
+end the fewest edits count, then the latest start; of overlapping occurrences of one item the one with the fewest
+edits stays, then the leftmost. Empty tables give no rows. Repeated rows are separate.
 Offsets are code points of the given text, the end exclusive.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-Q, BUDGET, ITEM_CHARS, WINDOW, BATCH_CHARS, TABLE_BITS, ALIGNED = 10, 0.08, 8_000_000, 400_000, 400_000, 22, 512
+Q, BUDGET, ITEM_CHARS, WINDOW, BATCH_CHARS, TABLE_BITS, ALIGNED, CELLS = 10, 0.08, 8_000_000, 400_000, 400_000, 22, 512, 4_000_000
 GAP = 0x110000  # stands between texts
 
 
@@ -89,15 +92,15 @@ class Index:
         self.keys, self.first, self.many = np.unique(every[order], return_index=True, return_counts=True)
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self._slot(self.keys)] = True
-        self.band = 2 * (int(self.k.max()) + 1) if len(self.k) else 2
+        self.sizes = np.array([len(c) for c in self.codes], np.int64)
 
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
-    def shared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, diagonal) of each q-gram that the codes share with an item."""
-        items, diagonals = [], []
+    def shared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, item, diagonal) of each q-gram that the codes share with an item."""
+        positions, items, diagonals = [], [], []
         for at in range(0, max(1, len(codes) - Q + 1), WINDOW):
             h = grams(codes[at : at + WINDOW + Q - 1])
             where = np.nonzero(self.table[self._slot(h)])[0]
@@ -106,57 +109,73 @@ class Index:
             where, found = where[real], found[real]
             many = self.many[found]
             post = np.repeat(self.first[found] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            positions.append(np.repeat(where + at, many))
             items.append(self.item[post])
-            diagonals.append(np.repeat(where + at, many) - self.offset[post])
-        return np.concatenate(items), np.concatenate(diagonals)
-
-    def regions(self, codes: np.ndarray) -> set[tuple[int, int]]:
-        """(item, first diagonal of a band) where the bound is met."""
-        items, diagonals = self.shared(codes)
-        found: set[tuple[int, int]] = set()
-        for shift in (0, self.band // 2):
-            bands = (diagonals + shift) // self.band
-            keys, counts = np.unique(items * (1 << 40) + bands + (1 << 20), return_counts=True)
-            good = keys[counts >= self.least[keys >> 40]]
-            found |= {(int(key >> 40), ((int(key) & ((1 << 40) - 1)) - (1 << 20)) * self.band - shift) for key in good}
-        return found
-
-    def align(self, codes: np.ndarray, regions: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-        """(item, edits, start, end) of the best occurrence on each region's diagonals that is within the budget.
-
-        All regions are aligned side by side, those of longer items first, so that those still running are a prefix.
+            diagonals.append(positions[-1] - self.offset[post])
+        return np.concatenate(positions), np.concatenate(items), np.concatenate(diagonals)
+
+    def regions(self, codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Rows (text, item, first diagonal of a band) where the bound is met, those of longer items first.
+
+        Two bands in turn are as wide as the item's own budget needs, and only q-grams of one text are counted together.
         """
-        regions = sorted(regions, key=lambda r: (-len(self.codes[r[0]]), r))
-        items = np.array([r[0] for r in regions])
-        sizes = np.array([len(self.codes[i]) for i in items])
-        spare = int(self.k[items].max())
-        low = np.array([r[1] for r in regions]) - spare
-        width, longest = self.band + 2 * spare + 1, int(sizes[0])
+        positions, items, diagonals = self.shared(codes)
+        if not len(items):
+            return np.zeros((0, 3), np.int64)
+        pairs, pair = np.unique((np.searchsorted(begins, positions, "right") - 1) * len(self.ids) + items, return_inverse=True)
+        found = []
+        for half in (0, 1):
+            bands = (diagonals + half * (self.k[items] + 1)) // (2 * (self.k[items] + 1))
+            least = int(bands.min())
+            span = int(bands.max()) - least + 1
+            keys, counts = np.unique(pair * span + bands - least, return_counts=True)
+            text, item = np.divmod(pairs[keys // span], len(self.ids))
+            step = self.k[item] + 1
+            good = counts >= self.least[item]
+            found.append(np.stack([text, item, (keys % span + least) * 2 * step - half * step], 1)[good])
+        rows = np.unique(np.concatenate(found), axis=0)
+        return rows[np.argsort(-self.sizes[rows[:, 1]], kind="stable")]
+
+    def align(self, codes: np.ndarray, begins: np.ndarray, regions: np.ndarray) -> np.ndarray:
+        """Rows (text, item, end, edits, -start) of all occurrences within the budget on the regions' diagonals.
+
+        For each end the fewest edits count, then the latest start. Nothing outside the region's text or its
+        diagonals is aligned. All regions run side by side, those of longer items first, so that those still
+        running are a prefix. A cell holds edits * unit and, below that, how far the start lies from the last lane.
+        """
+        texts, items, first = regions.T
+        sizes, k = self.sizes[items], self.k[items]
+        low, widths, longest = first - k, 4 * k + 3, int(sizes[0])
+        width = int(widths.max())
+        unit = 1 << width.bit_length()
+        far = (longest + width + 2) * unit
+        kind = np.int32 if far + (width + 2) * unit < 1 << 31 else np.int64
         at = low[:, None] + np.arange(width + longest)
-        text = np.where((at >= 0) & (at < len(codes)), codes[np.clip(at, 0, len(codes) - 1)], GAP)
+        inside = (at >= begins[texts, None]) & (at < begins[texts + 1, None] - 1)
+        text = np.where(inside, codes[np.clip(at, 0, len(codes) - 1)], GAP)
         own = np.full((len(items), longest), GAP + 1, np.uint32)
         for i, item in enumerate(items):
             own[i, : sizes[i]] = self.codes[item]
         lanes = np.arange(width)
-        row, start = np.zeros((len(items), width), np.int64), low[:, None] + lanes
-        skip, begin = np.full_like(row, 1 << 20), np.zeros_like(row)
+        inserted = (lanes * unit).astype(kind)
+        least = np.where(lanes < widths[:, None], 0, far).astype(kind)
+        row = np.maximum((width - 1 - lanes).astype(kind), least)
         live = np.searchsorted(-sizes, -np.arange(longest), "left")
         for i in range(longest):
             n = live[i]
-            change = row[:n] + (text[:n, i : i + width] != own[:n, i, None])
-            skip[:n, :-1], begin[:n, :-1] = row[:n, 1:] + 1, start[:n, 1:]
-            take = skip[:n] < change
-            lead = np.where(take, skip[:n], change) - lanes
-            running = np.minimum.accumulate(lead, 1)
-            source = np.maximum.accumulate(np.where(lead == running, lanes, 0), 1)
-            row[:n] = running + lanes
-            start[:n] = np.take_along_axis(np.where(take, begin[:n], start[:n]), source, 1)
-        best = row.argmin(1)
-        found = []
-        for i in np.nonzero(row[np.arange(len(items)), best] <= self.k[items])[0]:
-            lane = int(best[i])
-            found.append((int(items[i]), int(row[i, lane]), max(0, int(start[i, lane])), min(len(codes), int(low[i]) + lane + int(sizes[i]))))
-        return found
+            new = np.multiply(text[:n, i : i + width] != own[:n, i, None], unit, dtype=kind)
+            new += row[:n]
+            np.minimum(new[:, :-1], row[:n, 1:] + kind(unit), out=new[:, :-1])
+            new -= inserted
+            np.minimum.accumulate(new, 1, out=new)
+            new += inserted
+            np.maximum(new, least[:n], out=row[:n])
+        edits = row // unit
+        region, lane = np.nonzero(edits <= k[:, None])
+        start = low[region] + width - 1 - row[region, lane] % unit
+        end = low[region] + lane + sizes[region]
+        rows = np.stack([texts[region], items[region], end, edits[region, lane], -start], 1).astype(np.int64)
+        return rows[(start >= begins[rows[:, 0]]) & (end < begins[rows[:, 0] + 1])]
 
 
 def occurrences(texts: list[str], index: Index) -> list[list[tuple[int, int, int, int]]]:
@@ -164,19 +183,29 @@ def occurrences(texts: list[str], index: Index) -> list[list[tuple[int, int, int
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
     if not index.ids or not texts:
         return out
-    codes, origin, begins = normal(texts)
-    raw: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    regions = sorted(index.regions(codes))
-    for at in range(0, len(regions), ALIGNED):
-        for item, cost, start, end in index.align(codes, regions[at : at + ALIGNED]):
-            text = int(np.searchsorted(begins, origin[start], "right")) - 1
-            raw.setdefault((text, item), []).append((cost, int(origin[start]), int(origin[end - 1]) + 1))
-    for (text, item), hits in raw.items():
-        kept: list[tuple[int, int, int]] = []
-        for cost, start, end in sorted(set(hits)):
-            if all(end <= s or e <= start for _, s, e in kept):
-                kept.append((cost, start, end))
-        out[text] += [(item, s - int(begins[text]), min(e, int(begins[text + 1]) - 1) - int(begins[text]), c) for c, s, e in kept]
+    codes, origin, raw_begins = normal(texts)
+    begins = np.searchsorted(origin, raw_begins)
+    regions, found, at = index.regions(codes, begins), [np.zeros((0, 5), np.int64)], 0
+    while at < len(regions):
+        item = regions[at, 1]
+        many = max(1, min(ALIGNED, CELLS // int(index.sizes[item] + 4 * index.k[item] + 3)))
+        found.append(index.align(codes, begins, regions[at : at + many]))
+        at += many
+    rows = np.unique(np.concatenate(found), axis=0)
+    best = np.ones(len(rows), bool)
+    best[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1)
+    rows = rows[best]
+    kept: list[int] = []
+    last = None
+    for text, item, end, cost, start in rows[np.lexsort((rows[:, 2], -rows[:, 4], rows[:, 3], rows[:, 1], rows[:, 0]))].tolist():
+        if (text, item) != last:
+            kept, last = [], (text, item)
+        edge = bisect_right(kept, -start)  # starts and ends in turn
+        if edge % 2 or edge < len(kept) and kept[edge] < end:
+            continue
+        kept[edge:edge] = [-start, end]
+        base = int(raw_begins[text])
+        out[text].append((item, int(origin[-start]) - base, int(origin[end - 1]) + 1 - base, cost))
     return out
 
 

@@ -49,6 +49,49 @@ def test_against_full_alignment(seed, changes):
         assert not found
 
 
+def every(item, text, k):
+    """Occurrences by the full table: each end's fewest edits and latest start, then the best that don't overlap."""
+    row = [(0, -j) for j in range(len(text) + 1)]
+    for c in item:
+        new = [(row[0][0] + 1, row[0][1])]
+        for j, t in enumerate(text, 1):
+            new.append(min((row[j - 1][0] + (c != t), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[-1][0] + 1, new[-1][1])))
+        row = new
+    kept = []
+    for cost, start, end in sorted((c, -s, e) for e, (c, s) in enumerate(row) if c <= k):
+        if all(end <= s or e <= start for s, e, _ in kept):
+            kept.append((start, end, cost))
+    return sorted(kept)
+
+
+def test_neighbouring_texts_beside_a_long_item():
+    rng = random.Random(1)
+    short, long = ("".join(rng.choice("abcdefghijklmnop") for _ in range(n)) for n in (60, 1000))
+    found = d.occurrences([short, short, short + short], d.Index([(1, short), (2, long)]))
+    assert found == [[(0, 0, 60, 0)], [(0, 0, 60, 0)], [(0, 0, 60, 0), (0, 60, 120, 0)]]
+
+
+@given(st.integers(0, 10**6), st.sampled_from([25, 40, 60, 90]))
+@settings(max_examples=12, deadline=None)
+def test_short_and_long_items_against_full_tables(seed, size):
+    rng = random.Random(seed)
+    items = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (size, 400)]
+    index = d.Index(list(enumerate(items)))
+    texts = []
+    for _ in range(4):
+        pieces = []
+        for _ in range(rng.randrange(4)):
+            piece = list(items[rng.random() < 0.2])
+            for _ in range(rng.randrange(5)):
+                at = rng.randrange(len(piece))
+                piece[at : at + 1] = rng.choice([[], ["z"], [piece[at], "y"]])
+            pieces.append("".join(piece) + "w" * rng.choice([0, 0, 3]))
+        texts.append("".join(pieces))
+    for text, found in zip(texts, d.occurrences(texts, index)):
+        for i, item in enumerate(items):
+            assert sorted(f[1:] for f in found if f[0] == i) == every(item, text, index.k[i])
+
+
 def test_windows_do_not_matter(monkeypatch):
     text = "filler words " * 30 + ITEM + " more words" * 30
     index = d.Index([(1, ITEM)])
