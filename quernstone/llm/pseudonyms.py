@@ -1,12 +1,13 @@
 """Format-preserving pseudonyms for personal data, in SQL functions only.
 
-Numbers and dates that pass the checks of their kind are permuted within their format by a Feistel network
+Numbers and dates that have the form of their kind are permuted within their format by a Feistel network
 whose round function is a keyed SHA-256, so a value gets the same pseudonym in every document, different
 values get different ones, and whoever holds the key can undo it.
 
 Kinds: e-mail addresses (letters and digits of the local part), IPv4 addresses (each part at most 255),
 payment card numbers (13 to 19 digits in one piece or in groups; the Luhn remainder is kept, so valid numbers
-stay valid), social security numbers, telephone numbers (8 to 15 digits; a leading country code stays) and
+stay valid and others are replaced too), social security numbers, telephone numbers (a plus and 8 to 15 digits with
+any or no separators, area codes in brackets or set off, runs of 8 to 12 digits; a leading country code stays) and
 dates (yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, dd/mm/yyyy; real days of 1900 to 2099 only).
 
 Nulls: a null text stays null with no findings; a null doc_id is kept. Empty texts, texts without personal data
@@ -26,9 +27,18 @@ KINDS = {
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
     "date": r"(?<![\d./-])(?:(?:19|20)\d\d(?<ymd>[-/])(?:0[1-9]|1[0-2])\k<ymd>(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])(?<dmy>[./])(?:0[1-9]|1[0-2])\k<dmy>(?:19|20)\d\d)(?![\d]|[./-]\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)",
-    "card": r"(?<![\d])(?:\d{13,19}|\d{4}(?<gap>[ -])\d{4}\k<gap>\d{4}\k<gap>\d{1,7})(?![\d])",
-    "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\d])",
+    "card": r"(?<![\d])(?:\d{13,19}|\d{4}(?<gap>[ -])\d{4}\k<gap>\d{4}\k<gap>\d{1,7}|\d{4}(?<wide>[ -])\d{6}\k<wide>\d{4,5})(?![\d])",
+    "phone": r"(?<![\p{L}\d])(?:"
+    r"\+(?:\d{8,15}|1[ .-]?(?:\(\d{3}\)[ .-]?|\d{3}[ .-]?)\d{3}[ .-]?\d{4}|\d(?:(?:[ ./-]|[ .-]?\(|\)[ .-]?)?\d){7,14})"
+    r"|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}"
+    r"|\(\d{2,5}\)(?:[ .-]?\d){4,11}"
+    r"|0\d{1,4}[ ./-]\d{5,9}"
+    r"|0\d(?<pair>[ .-])\d{2}\k<pair>\d{2}\k<pair>\d{2}\k<pair>\d{2}"
+    r"|(?<!\d[.,]|_)\d{8,12}(?![\p{L}_]|[.,]\d)"
+    r")(?![\d])",
 }
+# Codes of one and two digits; all others have three.
+COUNTRY = r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 # All kinds but e-mail addresses begin with a digit, a plus or a bracket.
 ANY = f"{KINDS['email']}|(?=[\\d+(])(?:" + "|".join(p for k, p in KINDS.items() if k != "email") + ")"
 
@@ -88,7 +98,8 @@ def _card(found: Column, key: Column) -> Column:
 
 
 def _phone(found: Column, key: Column) -> Column:
-    code = F.regexp_extract(found, r"^\+\d{1,3}(?=[ .(-])", 0)
+    """The country code is what stands before the first separator, or what the plus and the first digits say."""
+    code = F.regexp_extract(found, rf"^\+(?:\d{{1,3}}(?=[ .(/-])|{COUNTRY}|\d{{3}})", 0)
     rest = F.substr(found, F.length(code) + 1, F.length(found))
     return F.concat(code, refill(rest, permute_digits(F.regexp_replace(rest, "[^0-9]", ""), key, "phone")))
 

@@ -46,6 +46,30 @@ def test_other_text_stays(spark):
     assert done(spark, texts) == texts
 
 
+PHONES = ["+14155550123", "4155550123", "+33 1 42 68 53 00", "+33142685300", "+44 (0)20 7946 0958", "+49-151-23456789", "+91 98765 43210", "+358.40.123.4567", "+49/30/123456", "01 42 68 53 00", "030/1234567", "(030) 12 34 56 78", "0171 23456789", "20123456"]
+
+
+def test_all_forms_are_found_whole(spark):
+    values = [(v, "phone") for v in PHONES] + [(v, "card") for v in ("3782 822463 10005", "3782-822463-10005", "3056 930902 5904", "1234567890123")]
+    df = spark.createDataFrame([(i, f"call {v}, or {v}. Then") for i, (v, _) in enumerate(values)], "doc_id long, text string")
+    for (v, kind), row in zip(values, pseudonymise(df, "k").orderBy("doc_id").collect()):
+        own = row["text"].removeprefix("call ").split(", or ")[0]
+        assert [f["kind"] for f in row["found"]] == [kind, kind] and row["text"] == f"call {own}, or {own}. Then"
+        assert own != v and [c if not c.isdigit() else "9" for c in own] == [c if not c.isdigit() else "9" for c in v]
+        assert kind == "phone" or luhn(own) == luhn(v)
+
+
+def test_country_codes_stay(spark):
+    for v, new in zip(["+14155550123", "+33142685300", "+358401234567", "+44 20 7946 0958"], done(spark, ["+14155550123", "+33142685300", "+358401234567", "+44 20 7946 0958"])):
+        code = {"+1": "+1", "+3": "+33" if v[2] == "3" else "+358", "+4": "+44"}[v[:2]]
+        assert new.startswith(code) and new != v
+
+
+def test_near_forms_stay(spark):
+    texts = ["0.1234567890 and 12,34567890", "id_12345678 12345678ab", "+1234567", "+12 34 56 7", "1 2 3 4 5 6 7 8", "+1 to 12"]
+    assert done(spark, texts) == texts
+
+
 def test_permutation_is_one_to_one(spark):
     rows = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     new = rows.select(permute_digits(F.col("d"), F.lit("k"), "t").alias("n"))
