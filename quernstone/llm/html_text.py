@@ -3,7 +3,10 @@
 The standard library's parser streams its events into lines, one for each block of the page, with the tags
 met in it. The text-to-tag ratio of each line is smoothed by a Gaussian kernel and split into two clusters
 by a threshold; lines of the upper cluster mark content, and the smallest element that holds nearly all of
-that content is the article (or the article or main element around it). All of its lines are kept, short ones too. Elements that say by their tag,
+that content is the article (or the article or main element around it). All of its lines are kept, short ones too.
+Without an article or main element the lines of the upper cluster outside it are kept as well, and so are headings and
+paragraphs that adjoin kept lines and lie beside the element (a main heading may lie anywhere), unless they are
+all links. Elements that say by their tag,
 role or class that they are navigation, adverts, forms, notices or comments never count as text.
 
 Nulls: null html gives an empty text and 0 characters; a null id or url is kept. Pages without any text,
@@ -40,6 +43,7 @@ MARKS = frozenset(
 NOT_IN_ARTICLE = frozenset("header banner".split())
 # Elements that can be the whole article; others hold a single block of it.
 HOLDERS = frozenset(["", *"html body main article section div center table tbody td ul ol dl details".split()])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CUT_OFF = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -56,14 +60,20 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int]] = []
         self.buffer: list[str] = []
         self.tags = 0
+        self.anchors = 0
+        self.plain = False  # whether the buffer has text outside links
+        self.links: set[int] = set()  # lines that are all links
         self.hidden = 0
         self.inside = 0
 
     def flush(self) -> None:
         if text := " ".join("".join(self.buffer).split()):
+            if not self.plain:
+                self.links.add(len(self.lines))
             self.lines.append((text, self.tags, self.stack[-1][2] if self.stack else 0))
             self.tags = 0
         self.buffer.clear()
+        self.anchors, self.plain = 0, False
 
     def furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in FURNITURE or tag == "header" and not self.inside:
@@ -79,6 +89,7 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        self.anchors += tag == "a"
         if tag == "br":
             self.buffer.append(" ")
             return
@@ -112,6 +123,8 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if tag == "a":
+            self.anchors = max(0, self.anchors - 1)
         if not any(tag == x[0] for x in self.stack):
             return
         self.flush()
@@ -122,6 +135,7 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             self.buffer.append(data)
+            self.plain |= not self.anchors and any(map(str.isalnum, data))
 
 
 def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -176,7 +190,19 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.8) -> str:
     inside[best] = True
     for at in range(best + 1, len(held)):
         inside[at] = inside[parser.parents[at]]
-    return "\n".join(text for text, _, at in lines if inside[at])
+    kept = np.array([inside[at] for _, _, at in lines])
+    if not any(parser.names[at] in ("article", "main") for at in around):
+        kept |= content
+        beside = {parser.parents[at] for at in around} | {0}
+        flows = [
+            i not in parser.links and (parser.names[at] == "h1" or (parser.names[at] == "p" or parser.names[at] in HEADINGS) and parser.parents[at] in beside)
+            for i, (_, _, at) in enumerate(lines)
+        ]
+        for step in (1, -1):
+            order = range(len(lines))[::step]
+            for last, i in zip(order, order[1:]):
+                kept[i] |= kept[last] and flows[i]
+    return "\n".join(text for (text, _, _), keep in zip(lines, kept) if keep)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,21 @@ def test_without_article():
     assert main_text(page) == "Title of it\n" + "long words here " * 19 + "long words here\nx"
 
 
+def test_title_and_closing_paragraph_beside_the_body():
+    long = ["words of the text " * 12 + f"number {i}." for i in range(10)]
+    body = "<div class=text>" + "".join(f"<p>{x}</p>" for x in long) + "</div>"
+    links = "<ul><li><a href=a>One</a><li><a href=b>Two</a></ul>"
+    for title, want in (("<h1>Title</h1>", "Title"), ("<div class=top><h1>Title</h1></div>", "Title"), ("<h2>Title</h2><p>Lead.</p>", "Title\nLead.")):
+        page = f"<body>{links}{title}{body}<p>Last paragraph</p><p><a href=n>Next page</a></p>{links}</body>"
+        assert main_text(page) == "\n".join([want, *long, "Last paragraph"])
+
+
+def test_content_outside_the_largest_element():
+    long = ["words of the text " * 12 + f"number {i}." for i in range(12)]
+    page = "<body><div class=a>" + "".join(f"<p>{x}</p>" for x in long[:10]) + "</div><div class=b>" + "".join(f"<p>{x}</p>" for x in long[10:]) + "</div><ul>" + "<li><a href=x>x</a>" * 9 + "</ul></body>"
+    assert main_text(page) == "\n".join(long)
+
+
 def test_one_large_paragraph_keeps_the_small_ones():
     page = "<article><h1>H</h1><p>" + "word " * 500 + "</p><p>Tiny.</p></article>"
     assert main_text(page) == "H\n" + ("word " * 500).strip() + "\nTiny."
