@@ -107,3 +107,27 @@ def test_fixture_queries(spark):
     scored = keywords.bm25(documents(spark, folder), asked).withColumnRenamed("keyword_score", "score")
     top = search.rank_matches(scored, 5).join(asked.select("query_id", "holders"), "query_id")
     assert top.where(F.array_contains("holders", F.col("doc_id"))).select("query_id").distinct().count() == 10
+
+
+def cloud(spark, n, clusters_of, spread):
+    import numpy as np
+
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(clusters_of, 64))[rng.integers(clusters_of, size=n)] + spread * rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4).cache()
+
+
+@pytest.mark.parametrize("block", [2_000, 150])
+@pytest.mark.parametrize("n, clusters_of, spread, hashed", [(1_500, 1, 9.0, False), (6_000, 600, 0.3, True)])
+def test_lsh_recall_against_all_pairs(spark, monkeypatch, n, clusters_of, spread, hashed, block):
+    plans = []
+    plan = clusters.lsh_plan
+    monkeypatch.setattr(clusters, "LSH_BLOCK", block)
+    monkeypatch.setattr(clusters, "lsh_plan", lambda *a: plans.append(plan(*a)) or plans[-1])
+    vectors = cloud(spark, n, clusters_of, spread)
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    pairs = lambda df: {(r["query_id"], r["vec_id"]) for r in df.collect()}
+    want, found = pairs(search.vector_topk(vectors, asked, 10)), pairs(clusters.lsh_topk(vectors, asked, 10))
+    assert len(want & found) >= 0.9 * len(want) and len(found) <= len(want)
+    assert (plans[0][0] > 0) == hashed
