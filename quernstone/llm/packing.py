@@ -1,11 +1,15 @@
 """Lexical retrieval packing: documents fill windows of WINDOW tokens together with their nearest neighbours.
 
-Each document is turned into token ids once. Documents are sorted by a signature of their rare pairs of ids,
-so that copies and texts alike lie together, and cut into shards of about SHARD_TOKENS ids. A shard has an
-inverted index of token ids with BM25 weights, whose document frequencies and mean length come from the
-whole corpus (they are bounded by the vocabulary). The first unused document of a shard is a seed; the index
-returns its unused neighbours, best first, and these fill the seed's window. What doesn't fit of the last one
-begins the next window, with that document as the seed. So only the last window of a task has padding.
+Each document is turned into token ids once. Documents of one signature, a hash of their rarest-hashed three ids in
+a row, lie together, so copies and texts alike do, and each task cuts its documents into shards of about SHARD_TOKENS
+ids. A shard has an inverted index of token ids with BM25 weights, whose document frequencies and mean length come
+from the whole corpus (they are bounded by the vocabulary). The first unused document of a shard is a seed; the index
+returns its unused neighbours by all of the seed's ids, best first, and these fill the seed's window. What doesn't fit
+of the last one begins the next window, with that document as the seed; a seed whose neighbours run out is followed
+by the next unused document in its window. So only the last window of a task has padding. Neighbours are sought in
+the seed's shard alone: README has the recall against an index of all documents.
+
+Documents are dealt to tasks by signature. Signatures with more ids than a quarter of a task are dealt in parts.
 
 Nulls: a null text is an empty one, of the end id alone; a null doc_id is kept. Ties of scores go to the
 document that comes first in its shard. Repeated rows are separate documents. An empty table gives no rows.
@@ -27,7 +31,7 @@ from .common import cut, mix, small_batches
 from .tokens import encoder
 
 WINDOW, END, VOCABULARY, SHARD_TOKENS, TASK_TOKENS = 2_048, 1, 50_257, 1_500_000, 12_000_000
-TERMS, NEIGHBOURS, K1, B, BATCH_CHARS = 12, 12, 1.2, 0.75, 400_000
+K1, B, BATCH_CHARS = 1.2, 0.75, 400_000
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -53,13 +57,18 @@ def signature(ids: np.ndarray) -> int:
 def _tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
+        serial = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at, texts in _texts(batch):
                 ids = [np.append(x, np.uint16(END)) for x in encoder(path).encode(texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(list(map(len, ids)), pa.int64()), pa.array(list(map(signature, ids)), pa.int64()), pa.array([pack(x.tobytes()) for x in ids], pa.binary())],
-                    names=["doc_id", "n", "signature", "ids"],
+                    [
+                        batch.column(0).slice(at, len(texts)), pa.array(range(serial, serial + len(texts)), pa.int64()), pa.array(list(map(len, ids)), pa.int64()),
+                        pa.array(list(map(signature, ids)), pa.int64()), pa.array([pack(x.tobytes()) for x in ids], pa.binary()),
+                    ],
+                    names=["doc_id", "serial", "n", "signature", "ids"],
                 )
+                serial += len(texts)
 
     return run
 
@@ -85,9 +94,9 @@ class Shard:
         keys = np.repeat(np.arange(len(docs), dtype=np.int64) << 16, sizes) | np.concatenate(docs)
         keys, tf = np.unique(keys, return_counts=True)
         doc, term = keys >> 16, keys & 0xFFFF
-        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))).astype(np.float32)
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
         self.own = np.searchsorted(doc, np.arange(len(docs) + 1))
-        self.term, self.gain = term, weight * idf[term]
+        self.term = term
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.first = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
@@ -95,18 +104,21 @@ class Shard:
         self.n = len(docs)
         self.next = 0
 
-    def neighbours(self, seed: int) -> list[int]:
-        """Unused documents by their score for the seed's most telling ids, best first."""
-        own = slice(self.own[seed], self.own[seed + 1])
-        terms = self.term[own]
-        if len(terms) > TERMS:
-            terms = terms[np.argpartition(-self.gain[own], TERMS)[:TERMS]]
-        posts = [slice(a, b) for a, b in zip(self.first[terms], self.first[terms + 1])]
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """Unused documents by their score for all of the seed's ids, best first."""
+        terms = self.term[self.own[seed] : self.own[seed + 1]]
+        posts = [slice(a, b) for a, b in zip(self.first[terms].tolist(), self.first[terms + 1].tolist())]
         scores = np.bincount(np.concatenate([self.doc[p] for p in posts]), np.concatenate([self.weight[p] for p in posts]), self.n)
         scores[self.used] = 0
-        best = np.argpartition(-scores, NEIGHBOURS)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
-        best = best[scores[best] > 0]
-        return best[np.lexsort((best, -scores[best]))].tolist()
+        left, many = int((scores > 0).sum()), 16
+        done = 0
+        while done < left:  # the best of them first; seldom are more wanted
+            many = min(many * 4, left)
+            least = np.partition(scores, self.n - many)[self.n - many]
+            best = np.nonzero(scores >= max(least, np.nextafter(0, 1)))[0]
+            best = best[np.lexsort((best, -scores[best]))]
+            yield from best[done:].tolist()
+            done = len(best)
 
     def unused(self) -> int | None:
         while self.next < self.n and self.used[self.next]:
@@ -122,15 +134,14 @@ class Shard:
         while seed is not None:
             if not self.used[seed]:
                 self.used[seed] = True
-                full = yield seed
-            near, last = self.neighbours(seed), None
-            for doc in near:
+                yield seed
+            for doc in self.neighbours(seed):
                 self.used[doc] = True
-                last = doc
-                full = yield doc
-                if full:
+                if (yield doc):
+                    seed = doc
                     break
-            seed = last if last is not None else self.unused()
+            else:
+                seed = self.unused()
 
 
 def _pack(idf: np.ndarray, mean: float, kind: pa.DataType):
@@ -179,13 +190,17 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
     """The pieces of all documents and where they lie: a row for each piece."""
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     name = kinds["doc_id"].simpleString()
-    tokens = cut(small_batches(docs).select("doc_id", "text").mapInArrow(_tokenize(path), f"doc_id {name}, n long, signature long, ids binary"), "tokens")
+    tokens = cut(small_batches(docs).select("doc_id", "text").mapInArrow(_tokenize(path), f"doc_id {name}, serial long, n long, signature long, ids binary"), "tokens")
     count, total = tokens.agg(F.count("*"), F.sum("n")).first()
     df = np.zeros(1 << 16)
     for row in tokens.select("ids").mapInArrow(_frequencies, "id int, df long").groupBy("id").agg(F.sum("df").alias("df")).collect():  # at most VOCABULARY rows
         df[row["id"]] = row["df"]
-    idf = np.log1p((count - df + 0.5) / (df + 0.5)).astype(np.float32)
+    idf = np.log1p((count - df + 0.5) / (df + 0.5))
     tasks = max(1, -(-(total or 0) // TASK_TOKENS))
     kind = pa.int64() if name == "bigint" else pa.int32() if name == "int" else pa.string()
-    spread = tokens.repartitionByRange(tasks, "signature", "doc_id").sortWithinPartitions("signature", "doc_id", "n")
+    most = TASK_TOKENS // 4
+    # copies of one text can be a third of all rows; there are fewer such signatures than four for each task
+    large = tokens.groupBy("signature").agg(F.sum("n").alias("all")).where(F.col("all") > most)
+    parted = tokens.join(F.broadcast(large), "signature", "left").withColumn("part", F.pmod(F.xxhash64("serial"), F.coalesce(F.ceil(F.col("all") / most), F.lit(1))))
+    spread = parted.repartition(tasks, "signature", "part").sortWithinPartitions("signature", "part", "doc_id", "serial")
     return spread.select("doc_id", "ids").mapInArrow(_pack(idf, (total or 1) / max(1, count), kind), SCHEMA.format(name))

@@ -2,7 +2,8 @@
 
 Texts are split into pieces by the vocabulary's own pattern, worked out on whole arrays of code points; each
 distinct piece is encoded by the tokenizers library once and its ids are kept for the next texts. The ids
-are those that the library gives for the text.
+are those that the library gives for the text, the strings of the vocabulary's added tokens included: such a
+string is one piece, and what stands before and after it is split like a text of its own.
 """
 
 from __future__ import annotations
@@ -69,7 +70,10 @@ def split(codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 class Encoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted(self.tokenizer.get_added_tokens_decoder().values(), key=lambda t: -len(t.content))
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError(f"{path}: added tokens that depend on what stands beside them")
+        self.added = regex.compile("|".join(regex.escape(t.content) for t in added)) if added else None
         self.clear()
 
     def clear(self) -> None:
@@ -114,7 +118,15 @@ class Encoder:
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.array([len(t) for t in texts])
         ends = np.cumsum(sizes)
-        starts = split(codes, (ends - sizes)[sizes > 0])
+        firsts = (ends - sizes)[sizes > 0]
+        if self.added and self.added.search(whole):
+            found = np.array([(m.start() + at, m.end() + at) for t, at in zip(texts, (ends - sizes).tolist()) for m in self.added.finditer(t)], np.int64).reshape(-1, 2)
+            own = np.unique(np.concatenate([firsts, found.ravel()]))
+            starts = split(codes, own[own < len(codes)])
+            before = np.searchsorted(found[:, 0], starts) - 1  # the added token that begins before a start, which it may not lie in
+            starts = starts[(before < 0) | (starts >= np.append(found[:, 1], 0)[before])]
+        else:
+            starts = split(codes, firsts)
         stops = np.append(starts[1:], len(codes))
         hashes = np.maximum(span_hashes(codes, starts, stops), np.uint64(1))
         slots = self._slots(hashes)

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -72,13 +73,56 @@ def test_pieces(spark, monkeypatch, shard):
 
 def test_neighbours_by_score():
     docs = [np.array(x, np.uint16) for x in ([1, 2, 3, 900, 901], [1, 2, 3, 4], [900, 901, 5], [6, 7])]
-    idf = np.ones(1 << 16, np.float32)
+    idf = np.ones(1 << 16)
     idf[[900, 901]] = 5
     shard = packing.Shard(docs, idf, 4.0)
     shard.used[0] = True
-    assert shard.neighbours(0) == [2, 1]
+    assert list(shard.neighbours(0)) == [2, 1]
     shard.used[2] = True
-    assert shard.neighbours(0) == [1]
+    assert list(shard.neighbours(0)) == [1]
+
+
+def test_neighbours_against_brute_force():
+    rng = np.random.default_rng(3)
+    docs = [rng.zipf(1.3, rng.integers(1, 60)).clip(0, 300).astype(np.uint16) for _ in range(150)]
+    docs += [docs[5].copy(), docs[5].copy()]  # ties go to the first
+    n, mean = len(docs), np.mean([len(d) for d in docs])
+    df = np.zeros(1 << 16)
+    for d in docs:
+        df[np.unique(d)] += 1
+    idf = np.log1p((n - df + 0.5) / (df + 0.5))
+
+    def score(seed, doc):
+        out = 0.0
+        for t in np.unique(docs[seed]):
+            tf = (docs[doc] == t).sum()
+            out += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(docs[doc]) / mean))
+        return out
+
+    shard = packing.Shard(docs, idf, mean)
+    for seed in range(0, n, 7):
+        shard.used[:] = False
+        shard.used[[seed, (seed + 3) % n]] = True
+        scores = {d: score(seed, d) for d in range(n) if not shard.used[d]}
+        found = list(shard.neighbours(seed))
+        assert sorted(found) == sorted(d for d, s in scores.items() if s > 0)
+        got = [scores[d] for d in found]
+        assert np.allclose(got, sorted(got, reverse=True))
+        assert all(a < b for a, b in zip(found, found[1:]) if docs[a].tolist() == docs[b].tolist())
+
+
+def test_windows_are_filled_from_their_seed():
+    """With many small documents of two kinds, a seed's window takes its own kind as long as there is any."""
+    docs = [np.array([k * 10, k * 10 + 1, 100 + i], np.uint16) for i in range(40) for k in (1, 2)]
+    shard = packing.Shard(docs, np.ones(1 << 16), 3.0)
+    walk = shard.order()
+    order = [next(walk)]
+    try:
+        while True:
+            order.append(walk.send(False))
+    except StopIteration:
+        pass
+    assert sorted(order) == list(range(80)) and [d % 2 for d in order] == [0] * 40 + [1] * 40
 
 
 def test_odd_rows(odd):
