@@ -16,12 +16,47 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FEW = 20_000  # rows of one key that a task takes in any case
+
+
+def heavy_keys(rows: DataFrame, key: list[str]) -> DataFrame | None:
+    """(key, salts) of the keys that have more rows than FEW and than a mean shuffle partition; None if there is none.
+
+    There are fewer of them than shuffle partitions, so they may be sent to all tasks.
+    """
+    total, parts = rows.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(FEW, -(-total // parts))
+    if total <= most:
+        return None
+    counts = rows.groupBy(*key).agg(F.count("*").alias("salts")).where(F.col("salts") > most)
+    found = cut(counts.withColumn("salts", F.ceil(F.col("salts") / most).cast("int")), "heavy-keys")
+    return None if found.isEmpty() else found
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str | list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """Join many rows of a key with the one row that the right side has for it.
+
+    Keys that are too heavy for a task are dealt into parts by a hash of the left side's columns `by`, and the
+    right side's row is repeated for each part. The left side should be written, as it is read twice.
+    """
+    key = [key] if isinstance(key, str) else key
+    heavy = heavy_keys(left, key)
+    if heavy is None:
+        return left.join(right.hint("merge"), key, how)
+    heavy = F.broadcast(heavy)  # fewer rows than shuffle partitions
+    many = F.coalesce("salts", F.lit(1))
+    dealt = left.join(heavy, key, "left").withColumn("salt_", F.pmod(F.xxhash64(*by), many).cast("int")).drop("salts")
+    repeated = right.join(heavy, key, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), many - 1))).drop("salts")
+    return dealt.join(repeated.hint("merge"), [*key, "salt_"], how).drop("salt_")
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(a, b) links to (node, component), component being the smallest node reachable.
 
     Alternating large-star and small-star steps: each node's larger neighbours, then its smaller ones, are
-    linked to the smallest neighbour. Minima are aggregated map-side, so a node with very many neighbours
-    is no hot key; the number of links never grows. Nodes without links aren't in the result.
+    linked to the smallest neighbour. Minima are aggregated before they are shuffled, and a node with very many
+    neighbours is dealt into parts, so it is no hot key; the number of links never grows. Nodes without links
+    aren't in the result.
     """
     links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
 
@@ -30,7 +65,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if large:
             both = both.unionByName(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = both.join(least, "u")
+        out = join_spread(both, least, "u", ["v"])
         if large:
             out = out.where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         else:
@@ -39,7 +74,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     sign = None
     for _ in range(rounds):
-        links = cut(star(star(links, True), False), "links")
+        links = cut(star(cut(star(links, True), "links"), False), "links")
         now = links.agg(F.count("*"), F.sum(F.hash("hi", "lo").cast("long")), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if now == sign:
             break

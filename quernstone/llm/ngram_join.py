@@ -8,12 +8,12 @@ Tokens are put in a global order, rarest first, by counts of all documents in SL
 m tokens link, they share at least a = ceil(3 * (n + m) / 7) tokens, and of the first n - ceil(3 * n / 4) + 1
 of one (the set whose first part ends earlier) all but n - a lie in the first part of the other. So:
 
-1. Only first parts are shuffled, by TOKEN_BITS bits of the token (two tokens of a set that agree in these
+1. Groups. Only first parts are shuffled, by TOKEN_BITS bits of the token (two tokens of a set that agree in these
    cost one of the count, which the bound makes up for). Each set meets the smallest set of each of its tokens (its
-   pivots); pivots that share enough tokens make groups of similar sets, in chunks of at most CHUNK.
-2. Groups are opened: all pairs of a chunk are counted as a matrix product. Links give components.
-3. All sets that share a token with another are dealt into groups of like sets: those of a component or of the
-   pivot they share most with, of about equal size, at most CHUNK or so. The matrix of tokens and groups holds
+   pivots); sets that share enough tokens with a pivot make a group of similar sets, in chunks of at most CHUNK.
+   A set asks its own group first: all pairs of a chunk are counted as a matrix product. Links give components.
+2. The matrix. All sets that share a token with another are dealt into groups of like sets: those of a component or
+   of the pivot they share most with, of about equal size, at most CHUNK or so. The matrix of tokens and groups holds
    each group's union of tokens that more than one component has. The tokens that a set shares with a union
    bound its overlap with each member; groups that meet the bound are opened, all others are skipped. The last
    links join components.
@@ -21,6 +21,10 @@ of one (the set whose first part ends earlier) all but n - a lie in the first pa
 Every pair that could link is either counted or in one component already, so components are exact, up to
 collisions of 48-bit hashes within a pair. No pairs of a group are written, only links of each chunk to its first member.
 
+No key is hot. A token whose slot holds more tokens than a mean shuffle partition is salted: what its holders have in
+common is found for each salt, then over the salts. Joins on a pivot, a set or a group are spread likewise where one
+of them has too many rows, as copies of one text can be a third of all rows.
+
 Nulls: a null or empty text has no shingles and is its own component; a null doc_id is never smallest.
 Repeated rows get equal results. An empty table gives no rows. Very long texts are processed whole.
 """
@@ -37,9 +41,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, free_name, mix, small_batches, span_hashes
+from .common import FEW, components, cut, free_name, join_spread, mix, small_batches, span_hashes
 
-WORDS, SLOTS, CHUNK, TOKEN_BITS, FILTER_BITS, BATCH_BYTES = 5, 1 << 18, 64, 44, 1 << 26, 500_000
+WORDS, SLOTS, CHUNK, TOKEN_BITS, BATCH_BYTES = 5, 1 << 18, 64, 44, 500_000
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28  # of the table of wanted texts: 32 MB at most
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -141,28 +146,39 @@ def _slot_counts(rows: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _first_parts(ranks: np.ndarray):
-    """(token, set_id, n) of the rarest tokens of each set; a task writes equal sets once."""
+def _first_parts(ranks: np.ndarray, most: int):
+    """(token, salt, set_id, n) of the rarest tokens of each set; a task writes equal sets once.
+
+    The salt is -1 but for tokens of slots with more than `most` tokens, which are dealt by their set.
+    """
+    salts = -(-ranks // most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
             for part in _slices(batch, 0):
-                tokens, ids, sizes = [], [], []
+                tokens, salted, ids, sizes = [], [], [], []
                 for own in shingle_sets(part.column(0)):
                     n = len(own)
                     if not n or (me := set_id(own)) in done:
                         continue
                     done.add(me)
                     first = n - (3 * n + 3) // 4 + 1
-                    rank = ranks[(own >> np.uint64(46)).astype(np.int64)]
-                    tokens.append(own[np.argsort(rank, kind="stable")[:first]])  # equal ranks by the hash itself
+                    slot = (own >> np.uint64(46)).astype(np.int64)
+                    chosen = np.argsort(ranks[slot], kind="stable")[:first]  # equal ranks by the hash itself
+                    many = salts[slot[chosen]]
+                    tokens.append(own[chosen])
+                    salted.append(np.where(many > 1, (me >> 8) % np.maximum(many, 1), -1).astype(np.int32))
                     ids.append(me)
                     sizes.append(n)
                 if tokens:
                     many = list(map(len, tokens))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array((np.concatenate(tokens) >> np.uint64(64 - TOKEN_BITS)).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many))], names=["token", "set_id", "n"]
+                        [
+                            pa.array((np.concatenate(tokens) >> np.uint64(64 - TOKEN_BITS)).view(np.int64)), pa.array(np.concatenate(salted)),
+                            pa.array(np.repeat(np.array(ids, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many)),
+                        ],
+                        names=["token", "salt", "set_id", "n"],
                     )
 
     return run
@@ -175,7 +191,7 @@ def _sets_of(bits: np.ndarray):
         done: set[int] = set()
         for batch in batches:
             keys = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            slot = keys & np.uint64(FILTER_BITS - 1)
+            slot = keys & np.uint64(64 * len(bits) - 1)
             batch = batch.filter(pa.array(bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1) > 0))
             for part in _slices(batch, 0):
                 ids, sets = [], []
@@ -190,10 +206,15 @@ def _sets_of(bits: np.ndarray):
 
 
 def _wanted_bits(keys: DataFrame) -> np.ndarray:
-    """A bit table of FILTER_BITS (8 MB at any size of the input) with the bits of all keys set."""
-    slots = keys.select(F.col("text_key").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("slot"))
+    """A bit table with the bits of all keys set: about 16 bits for each key, MOST_BITS at most.
+
+    A text whose key is none of these, but has a bit, only costs a shuffle.
+    """
+    keys = cut(keys.select("text_key"), "wanted")
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
+    slots = keys.select(F.col("text_key").bitwiseAND(F.lit(bits - 1)).alias("slot"))
     words = slots.groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int)))").alias("bits"))
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out = np.zeros(bits // 64, np.uint64)
     found = words.toPandas()
     out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
     return out
@@ -251,9 +272,13 @@ def _share(n: Column, m: Column) -> Column:
 
 
 def least_shared(n: Column, low: Column, high: Column) -> Column:
-    """The fewest tokens of its first part that a set of n shares with a linked set of low to high tokens."""
+    """The fewest tokens of its first part that a set of n shares with a linked set of low to high tokens.
+
+    With m tokens in the other set these are at least 1 - ceil(3 n / 4) + ceil(3 (n + m) / 7), which grows with m, and
+    1 - ceil(3 m / 4) + ceil(3 (n + m) / 7), which is at least (7 + 12 n - 9 m) / 28. One is taken off for tokens that agree in TOKEN_BITS.
+    """
     low, high = F.greatest(low, F.floor((3 * n + 3) / 4)), F.least(high, F.floor(4 * n / 3))
-    return F.greatest(F.lit(1), F.least(_first(n) - n + _share(n, low), _first(high) - high + _share(n, high)) - 1)
+    return F.greatest(F.lit(1), F.least(_first(n) - n + _share(n, low), F.ceil((7 + 12 * n - 9 * high) / 28)) - 1)
 
 
 UNIT = ["u", "v", "w"]
@@ -266,11 +291,25 @@ def _links(members: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
     """
     members = cut(members.distinct(), "members")
     wanted = keys.join(members.select("set_id").distinct().hint("merge"), "set_id")
-    sets = texts.mapInArrow(_sets_of(_wanted_bits(wanted)), "set_id long, tokens binary")
-    opened = members.hint("merge").join(sets, "set_id").groupBy(*UNIT).applyInPandas(_open, "a long, b long")
+    sets = texts.mapInArrow(_sets_of(_wanted_bits(wanted)), "set_id long, tokens binary").dropDuplicates(["set_id"])
+    opened = join_spread(members, sets, "set_id", UNIT).groupBy(*UNIT).applyInPandas(_open, "a long, b long")
     return cut(opened.distinct(), "set-links")
 
 
+def _shared_tokens(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows whose token more than one key has, with the token's smallest row (key, n) as `low`."""
+    of_token = Window.partitionBy("token", "salt")
+    known = rows.withColumn("low", F.min(F.struct(F.col(key).alias("key"), "n")).over(of_token)).withColumn("high", F.max(key).over(of_token))
+    known = cut(known.where("salt >= 0 or low.key <> high").distinct(), name)
+    salted = known.where("salt >= 0")
+    if salted.isEmpty():
+        return known.drop("high")
+    heads = salted.groupBy("token", "salt").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    whole = heads.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low.key <> high")
+    found = salted.drop("low", "high").join(heads.select("token", "salt").join(whole, "token"), ["token", "salt"])
+    return known.where("salt < 0").unionByName(cut(found, name)).drop("high")
+
+
 def join_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Summaries (doc_id, n, set_id, text_key) of all documents, and (node, component) of linked sets."""
     texts = small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("text_key"))
@@ -281,17 +320,15 @@ def join_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = every.where("set_id is not null").groupBy("set_id").agg(F.min("text_key").alias("text_key"))
     plain = texts.where("text is not null").select("text", "text_key")
 
-    first = plain.select("text").mapInArrow(_first_parts(ranks), "token long, set_id long, n int")
-    of_token = Window.partitionBy("token")
-    least, most = F.min(F.struct("set_id", "n")).over(of_token), F.max("set_id").over(of_token)
-    live = first.withColumn("pivot", least).withColumn("last", most).where("pivot.set_id <> last")
-    live = cut(live.select("token", "set_id", "n", F.col("pivot.set_id").alias("pivot"), F.col("pivot.n").alias("pivot_n")).distinct(), "live")
+    most = max(FEW, -(-int(ranks.sum()) // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    first = plain.select("text").mapInArrow(_first_parts(ranks, most), "token long, salt int, set_id long, n int")
+    live = _shared_tokens(first, "set_id", "live").withColumn("pivot", F.col("low.key")).withColumn("pivot_n", F.col("low.n")).drop("low")
 
     met = live.where("set_id <> pivot").groupBy("set_id", "n", "pivot", "pivot_n").agg(F.count("*").alias("shared"))
     fits = (4 * F.least("n", "pivot_n") >= 3 * F.greatest("n", "pivot_n")) & (F.col("shared") >= least_shared(F.col("n"), F.col("pivot_n"), F.col("pivot_n")))
     pairs = cut(met.where(fits).select("set_id", "pivot"), "pairs")
     many = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    dealt = pairs.join(many.hint("merge"), "pivot").withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")))
+    dealt = join_spread(pairs, many, "pivot", ["set_id"]).withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")))
     dealt = dealt.select(F.col("pivot").alias("u"), F.col("chunk").alias("v"), F.lit(0).cast("long").alias("w"), F.explode(F.array("set_id", "pivot")).alias("set_id"))
     star = _links(dealt, keys, plain)
     parts = cut(components(star), "parts")
@@ -311,22 +348,26 @@ def join_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "live-sets",
     )
     crowd = every_set.groupBy("home", "band").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    grouped = every_set.join(crowd.hint("merge"), ["home", "band"]).withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")))
+    grouped = join_spread(every_set, crowd, ["home", "band"], ["set_id"]).withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")))
     grouped = cut(grouped.select("set_id", "n", "component", F.struct("home", "band", "chunk").alias("g")), "groups")
-    spans = grouped.groupBy("g").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"))
 
-    known = live.select("token", "set_id", "n").join(grouped.select("set_id", "component", "g").hint("merge"), "set_id")
-    apart = known.withColumn("low", F.min("component").over(of_token)).withColumn("high", F.max("component").over(of_token)).where("low <> high")
-    apart = cut(apart.select("token", "set_id", "n", "component", "g"), "apart")
-    matrix = apart.groupBy("token", F.col("g").alias("to")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("holders"))
+    known = live.select("token", "salt", "set_id", "n").join(grouped.select("set_id", "component", "g").hint("merge"), "set_id")
+    apart = _shared_tokens(known, "component", "apart").drop("low")
+    matrix = apart.groupBy("token", F.col("g").alias("to")).agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("holders"), F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.min("salt").alias("salt")
+    )
+    salts = apart.where("salt >= 0").select("token", "salt").distinct()
+    matrix = matrix.where("salt < 0").unionByName(matrix.where("salt >= 0").drop("salt").join(salts, "token"))
     # each pair of groups once, by the order of their names; a set is no match of itself, nor are those of its component
     others = (F.col("g") < F.col("to")) | (F.col("g") == F.col("to")) & (F.col("holders") > 1)
     beyond = (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
-    bound = apart.hint("merge").join(matrix, "token").where(others & beyond).groupBy("set_id", "n", "to").agg(F.count("*").alias("shared"))
+    bound = apart.hint("merge").join(matrix, ["token", "salt"]).where(others & beyond)
+    # whoever links with the set has one of the tokens they share, so its size lies between those of these tokens' holders
+    bound = bound.groupBy("set_id", "n", "to").agg(F.count("*").alias("shared"), F.min("n_low").alias("n_low"), F.max("n_high").alias("n_high"))
     enough = (4 * F.least("n", "n_high") >= 3 * F.greatest("n", "n_low")) & (F.col("shared") >= least_shared(F.col("n"), F.col("n_low"), F.col("n_high")))
-    opened = cut(bound.join(spans.withColumnRenamed("g", "to").hint("merge"), "to").where(enough).select("set_id", "to"), "opened")
+    opened = cut(bound.where(enough).select("set_id", "to"), "opened")
     asking = opened.groupBy("to").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    askers = opened.join(asking.hint("merge"), "to").select("to", F.pmod(F.xxhash64("set_id"), F.col("chunks")).alias("part"), "set_id")
+    askers = join_spread(opened, asking, "to", ["set_id"]).select("to", F.pmod(F.xxhash64("set_id"), F.col("chunks")).alias("part"), "set_id")
     held = askers.select("to", "part").distinct().hint("merge").join(grouped.select(F.col("g").alias("to"), "set_id"), "to").select("to", "part", "set_id")
     unit = [F.xxhash64("to").alias("u"), F.col("to.home").alias("v"), F.col("part").alias("w"), "set_id"]
     askers, held = askers.select(*unit), held.select(*unit)
@@ -341,7 +382,9 @@ def _linked(docs: DataFrame) -> DataFrame:
     named = cut(named, "named")
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_set = cut(named.join(smallest, "component").select("set_id", "component_id"), "of-set")
-    return every.join(of_set, "set_id", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    some = join_spread(every.where("set_id is not null"), of_set, "set_id", ["doc_id", "text_key"], "left")
+    none = every.where("set_id is null").withColumn("component_id", F.lit(None).cast(dict(some.dtypes)["component_id"]))  # no key for a join
+    return some.unionByName(none).select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
