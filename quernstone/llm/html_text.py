@@ -2,12 +2,16 @@
 
 The standard library's parser streams its events into lines, one for each block of the page, with the tags
 met in it. The text-to-tag ratio of each line is smoothed by a Gaussian kernel and split into two clusters
-by a threshold; lines of the upper cluster mark content, and the smallest element that holds nearly all of
-that content is the article (or the article or main element around it). All of its lines are kept, short ones too.
-Without an article or main element the lines of the upper cluster outside it are kept as well, and so are headings and
-paragraphs that adjoin kept lines and lie beside the element (a main heading may lie anywhere), unless they are
-all links. Elements that say by their tag,
-role or class that they are navigation, adverts, forms, notices or comments never count as text.
+by a threshold; lines of the upper cluster are content, and they decide which region of the page is the article:
+
+- If an article or main element is around nearly all content, its lines are the region, short ones and all.
+- Otherwise the content lines are, with every line between the first and the last of them that isn't all links,
+  and with the headings and text blocks beside the elements that hold them which adjoin these (a main heading may
+  lie anywhere).
+
+Elements that say by their tag or role, or by a whole class or id, that they are navigation, adverts, forms, notices
+or comments never count as text. A class such as `cookie-notice` or `sidebar-left` says so, as all of its parts do or
+say where it is; `no-sidebar`, `ad-free` or `notice-period` don't.
 
 Nulls: null html gives an empty text and 0 characters; a null id or url is kept. Pages without any text,
 and pages whose every block is furniture, give an empty text. Character references are decoded, white space
@@ -20,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -41,12 +46,25 @@ MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar nav navbar navigation menu menubar breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert newsletter subscribe signup login popup modal overlay comment comments commentlist disqus respond replies reply related recommended share sharing social widget widgets pagination pager toolbar skip contentinfo complementary search".split()
 )
 NOT_IN_ARTICLE = frozenset("header banner".split())
+# Parts of such names that only say where or what kind of element it is.
+PLACES = frozenset(
+    "left right top bottom upper lower main site page global primary secondary first last container wrapper wrap box block area section list inner outer bar links items item group region panel column col content text js fixed sticky mobile desktop small large slot unit zone widget".split()
+)
 # Elements that can be the whole article; others hold a single block of it.
 HOLDERS = frozenset(["", *"html body main article section div center table tbody td ul ol dl details".split()])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXTS = HEADINGS | frozenset("p li dt dd blockquote pre figcaption caption td th address".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CUT_OFF = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
-NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+@lru_cache(10_000)
+def says_furniture(name: str, in_article: bool) -> bool:
+    """Whether a class, id or role names furniture: one of its parts is a mark, and all others are too or only say where it is."""
+    parts = {x.lower() for x in PARTS.findall(name)}
+    marks = MARKS if in_article else MARKS | NOT_IN_ARTICLE
+    return bool(parts & marks) and parts <= marks | PLACES
 
 
 class Lines(HTMLParser):
@@ -82,8 +100,7 @@ class Lines(HTMLParser):
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in (value or "").replace(" ", ""):
                 return True
             if key in ("class", "id", "role") and value and tag not in ("html", "body", "article", "main"):
-                names = {x.lower() for x in NAMES.findall(value)}
-                if names & MARKS or not self.inside and names & NOT_IN_ARTICLE:
+                if any(says_furniture(name, bool(self.inside)) for name in value.split()):
                     return True
         return False
 
@@ -184,27 +201,40 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.8) -> str:
     around = [best]
     while around[-1]:
         around.append(parser.parents[around[-1]])
-    for name in ("main", "article"):  # an article around the content, else the main part, is taken whole
-        best = next((at for at in around if parser.names[at] == name), best)
-    inside = np.zeros(len(held), bool)
-    inside[best] = True
-    for at in range(best + 1, len(held)):
-        inside[at] = inside[parser.parents[at]]
-    kept = np.array([inside[at] for _, _, at in lines])
-    if not any(parser.names[at] in ("article", "main") for at in around):
-        kept |= content
-        beside = {parser.parents[at] for at in around} | {0}
-        flows = [
-            i not in parser.links and (parser.names[at] == "h1" or (parser.names[at] == "p" or parser.names[at] in HEADINGS) and parser.parents[at] in beside)
-            for i, (_, _, at) in enumerate(lines)
-        ]
-        for step in (1, -1):
-            order = range(len(lines))[::step]
-            for last, i in zip(order, order[1:]):
-                kept[i] |= kept[last] and flows[i]
+    whole = [at for name in ("article", "main") for at in around if parser.names[at] == name]
+    if whole:
+        inside = np.zeros(len(held), bool)
+        inside[whole[0]] = True
+        for at in range(whole[0] + 1, len(held)):
+            inside[at] = inside[parser.parents[at]]
+        kept = np.array([inside[at] for _, _, at in lines])
+    else:
+        kept = region(parser, content)
     return "\n".join(text for (text, _, _), keep in zip(lines, kept) if keep)
 
 
+def region(parser: Lines, content: np.ndarray) -> np.ndarray:
+    """Which lines are the article: content, what lies between, and the blocks of text that adjoin it beside its elements."""
+    kept = content.copy()
+    first, last = np.nonzero(content)[0][[0, -1]]
+    kept[first : last + 1] |= [i not in parser.links for i in range(first, last + 1)]
+    beside = {0}
+    for i in np.nonzero(content)[0]:
+        at = parser.lines[i][2]
+        while at not in beside:
+            at = parser.parents[at]
+            beside.add(at)
+    flows = [
+        i not in parser.links and (parser.names[at] == "h1" or parser.names[at] in TEXTS and bool({parser.parents[at], parser.parents[parser.parents[at]]} & beside))
+        for i, (_, _, at) in enumerate(parser.lines)
+    ]
+    for step in (1, -1):
+        order = range(len(content))[::step]
+        for before, i in zip(order, order[1:]):
+            kept[i] |= kept[before] and flows[i]
+    return kept
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(html) for html in batch.column(2).to_pylist()]

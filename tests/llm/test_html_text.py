@@ -34,6 +34,60 @@ def test_content_outside_the_largest_element():
     assert main_text(page) == "\n".join(long)
 
 
+def test_classes_are_whole_names():
+    long = "words of the text " * 20
+    for name in ("content no-sidebar", "post ad-free", "text-content"):
+        assert main_text(f'<body><div class="{name}"><p>{long}</p><p class="notice-period">Three months.</p></div></body>') == f"{long.strip()}\nThree months."
+    for name in ("cookie-notice", "sidebar-left", "Ad", "site-header", "mainNav", "post comments", "adBanner", "related-items"):
+        assert main_text(f'<body><div class="{name}"><p>{long} away</p></div><p>{long}</p></body>') == long.strip()
+
+
+def test_regions_from_several_elements():
+    """A long paragraph, a second division and a last short paragraph all stay."""
+    long = "words of the text " * 40
+    page = f"<body><div><p>{long}</p></div><div><p>{long[:180]}</p></div><p>The end.</p></body>"
+    assert main_text(page) == "\n".join([long.strip(), long[:180].strip(), "The end."])
+
+
+def built(seed):
+    """A page without article or main element or names, and the blocks of its article; menus and lists of links about it."""
+    import random
+
+    rng = random.Random(seed)
+    words = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 10))) for _ in range(n))
+    menu = lambda: "<ul>" + "".join(f"<li><a href=x>{words(rng.randrange(1, 3))}</a></li>" for _ in range(rng.randrange(4, 12))) + "</ul>"
+    blocks = [words(rng.randrange(3, 9))]
+    parts = [f"<h1>{blocks[0]}</h1>"]
+    for _ in range(rng.randrange(3, 15)):
+        kind = rng.random()
+        text = words(rng.randrange(25, 150) if kind < 0.7 else rng.randrange(2, 8))
+        blocks.append(text)
+        parts.append(f"<h2>{text}</h2>" if kind > 0.85 else f"<p>{text}</p>")
+    cut = rng.randrange(1, len(parts))
+    body = rng.choice([f"<div>{''.join(parts)}</div>", f"<div>{''.join(parts[:cut])}</div><div>{''.join(parts[cut:])}</div>", "".join(parts), f"{parts[0]}<div>{''.join(parts[1:])}</div>"])
+    return f"<html><body>{menu()}<div>{menu()}</div>{body}{menu()}<div><a href=y>{words(2)}</a> <a href=z>{words(2)}</a></div></body></html>", blocks
+
+
+def test_recall_and_precision_over_built_pages(monkeypatch):
+    def measure():
+        found = right = wanted = 0
+        for seed in range(200):
+            page, blocks = built(seed)
+            got = main_text(page).split("\n")
+            found, right, wanted = found + sum(map(len, got)), right + sum(len(b) for b in blocks if b in got), wanted + sum(map(len, blocks))
+        return right / wanted, right / found
+
+    recall, precision = measure()
+    assert recall >= 0.99 and precision >= 0.99
+    monkeypatch.setattr("quernstone.llm.html_text.threshold", lambda values: float(values.min()))  # without clusters
+    assert measure()[1] < precision - 0.05
+
+
+def test_very_long_page():
+    text = "long words here " * 200_000
+    assert main_text(f"<nav>a</nav><p>{text}</p><p>short</p>") == text.strip() + "\nshort"
+
+
 def test_one_large_paragraph_keeps_the_small_ones():
     page = "<article><h1>H</h1><p>" + "word " * 500 + "</p><p>Tiny.</p></article>"
     assert main_text(page) == "H\n" + ("word " * 500).strip() + "\nTiny."
