@@ -9,7 +9,7 @@ of the last one begins the next window, with that document as the seed; a seed w
 by the next unused document in its window. So only the last window of a task has padding. Neighbours are sought in
 the seed's shard alone: README has the recall against an index of all documents.
 
-Documents are dealt to tasks by signature. Signatures with more ids than a quarter of a task are dealt in parts.
+Documents are dealt to tasks by signature. Signatures with more ids than a quarter of a mean task are dealt in parts.
 
 Nulls: a null text is an empty one, of the end id alone; a null doc_id is kept. Ties of scores go to the
 document that comes first in its shard. Repeated rows are separate documents. An empty table gives no rows.
@@ -31,7 +31,7 @@ from .common import cut, mix, small_batches
 from .tokens import encoder
 
 WINDOW, END, VOCABULARY, SHARD_TOKENS, TASK_TOKENS = 2_048, 1, 50_257, 1_500_000, 12_000_000
-K1, B, BATCH_CHARS = 1.2, 0.75, 400_000
+K1, B, COMMON, BATCH_CHARS = 1.2, 0.75, 5, 400_000
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -97,19 +97,33 @@ class Shard:
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
         self.own = np.searchsorted(doc, np.arange(len(docs) + 1))
         self.term = term
+        self.n = len(docs)
+        self.used = np.zeros(self.n, bool)
+        # ids that many documents have are rows of a matrix, all others lists of documents
+        common = np.nonzero(np.bincount(term, minlength=VOCABULARY) * COMMON > self.n)[0]
+        self.row = np.full(VOCABULARY, -1)
+        self.row[common] = np.arange(len(common))
+        dense = self.row[term] >= 0
+        self.matrix = np.zeros((len(common), self.n), np.float32)
+        self.matrix[self.row[term[dense]], doc[dense]] = weight[dense]
+        doc, term, weight = doc[~dense], term[~dense], weight[~dense]
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.first = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
-        self.used = np.zeros(len(docs), bool)
-        self.n = len(docs)
         self.next = 0
 
     def neighbours(self, seed: int) -> Iterator[int]:
         """Unused documents by their score for all of the seed's ids, best first."""
         terms = self.term[self.own[seed] : self.own[seed + 1]]
-        posts = [slice(a, b) for a, b in zip(self.first[terms].tolist(), self.first[terms + 1].tolist())]
-        scores = np.bincount(np.concatenate([self.doc[p] for p in posts]), np.concatenate([self.weight[p] for p in posts]), self.n)
-        scores[self.used] = 0
+        rows = self.row[terms]
+        asked = np.zeros(len(self.matrix), np.float32)
+        asked[rows[rows >= 0]] = 1
+        scores = (asked @ self.matrix).astype(np.float64)
+        terms = terms[rows < 0]
+        begin, many = self.first[terms], self.first[terms + 1] - self.first[terms]
+        posts = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+        scores += np.bincount(self.doc[posts], self.weight[posts], self.n)
+        scores = np.where(self.used, 0, np.round(scores, 4))  # equal documents score alike
         left, many = int((scores > 0).sum()), 16
         done = 0
         while done < left:  # the best of them first; seldom are more wanted
@@ -198,8 +212,8 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
     idf = np.log1p((count - df + 0.5) / (df + 0.5))
     tasks = max(1, -(-(total or 0) // TASK_TOKENS))
     kind = pa.int64() if name == "bigint" else pa.int32() if name == "int" else pa.string()
-    most = TASK_TOKENS // 4
-    # copies of one text can be a third of all rows; there are fewer such signatures than four for each task
+    # copies of one text can be a third of all rows; there are fewer such signatures than four for each task or partition
+    most = max(32 * WINDOW, (total or 0) // (4 * max(tasks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     large = tokens.groupBy("signature").agg(F.sum("n").alias("all")).where(F.col("all") > most)
     parted = tokens.join(F.broadcast(large), "signature", "left").withColumn("part", F.pmod(F.xxhash64("serial"), F.coalesce(F.ceil(F.col("all") / most), F.lit(1))))
     spread = parted.repartition(tasks, "signature", "part").sortWithinPartitions("signature", "part", "doc_id", "serial")
