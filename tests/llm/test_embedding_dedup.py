@@ -54,19 +54,37 @@ def test_links_against_all_pairs(spark, monkeypatch, chunk):
 
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(1)
-    x, y = rng.normal(size=(400, 64)), rng.normal(size=(400, 64))
+    x, y = rng.normal(size=(600, 64)), rng.normal(size=(600, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    y = 0.7 * x + 0.3 * y / np.linalg.norm(y, axis=1)[:, None]
+    y -= (x * y).sum(1)[:, None] * x
     y /= np.linalg.norm(y, axis=1)[:, None]
-    turned = ed.rotation(64)
-    code = np.where(x @ turned > 0, 1, -1) / 8
-    factor = (code * (x @ turned)).sum(1)
-    estimate = (code * (y @ turned)).sum(1) / factor
-    error = estimate - (x * y).sum(1)
-    assert abs(error.mean()) < 0.02
-    assert (np.abs(error) <= ed.CONFIDENCE * np.sqrt(1 - factor**2) / factor / math.sqrt(63)).mean() > 0.98
-    a, b = ed.linked_pairs(x, x, 0.95, np.ones((400, 400), bool))
-    assert set(zip(a, b)) == {(i, i) for i in range(400)}
+    for cosine in (0.3, 0.95, 0.99):
+        z = cosine * x + math.sqrt(1 - cosine**2) * y
+        left, right = (ed.decode(*ed.encode(v), 64) for v in (x, z))
+        estimate = ((left[0] * right[1]).sum(1) + (left[1] * right[0]).sum(1)) / 2
+        assert abs(estimate.mean() - cosine) < 0.015
+        passed = np.diag(ed.may_link(left, right, 0.95, 64))
+        assert passed.mean() >= 0.997 if cosine >= 0.95 else passed.mean() <= 0.01
+    codes, factors = ed.encode(x)
+    assert codes.shape == (600, 64 * ed.ROTATIONS // 8) and factors.shape == (600, ed.ROTATIONS)
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs between 0.95 and 0.97: nearly all are found, and none below."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(400):
+        v = rng.normal(size=48)
+        v /= np.linalg.norm(v)
+        w = rng.normal(size=48)
+        w -= (w @ v) * v
+        w /= np.linalg.norm(w)
+        cosine = rng.uniform(0.93, 0.97)
+        rows += [(2 * i, v.tolist()), (2 * i + 1, (cosine * v + math.sqrt(1 - cosine**2) * w).tolist())]
+    want = brute(rows)
+    found = {r[0]: tuple(r)[1:] for r in ed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(found[i][0] <= want[i][0] for i in want)
+    assert sum(f[0] for f in found.values()) >= 0.99 * sum(w[0] for w in want.values())
 
 
 def test_odd_rows(spark):
@@ -76,6 +94,10 @@ def test_odd_rows(spark):
     found = {r[0]: tuple(r)[1:] for r in ed.near_duplicates(df).collect()}
     assert found == brute(rows)
     assert ed.near_duplicates(df.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, [1.0, 2.0]), (None, [1.0, 2.0]), (5, [2.0, -1.0])], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, ed.near_duplicates(nulls).collect()), key=str) == [(5, 0, 5, True), (None, 1, None, False), (None, 1, None, False)]
+    big = spark.createDataFrame([(1, [1e200, 1e200]), (2, [1e-200, 1.01e-200])], "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in ed.near_duplicates(big).collect()} == {(1, 1, 1, True), (2, 1, 1, False)}
 
 
 def test_plan_misses_little():
