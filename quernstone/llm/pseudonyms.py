@@ -1,29 +1,37 @@
 """Format-preserving pseudonyms for personal data, in SQL functions only.
 
-Numbers and dates that have the form of their kind are permuted within their format by a Feistel network
-whose round function is a keyed SHA-256, so a value gets the same pseudonym in every document, different
-values get different ones, and whoever holds the key can undo it.
-
-Kinds: e-mail addresses (letters and digits of the local part), IPv4 addresses (each part at most 255),
-payment card numbers (13 to 19 digits in one piece or in groups; the Luhn remainder is kept, so valid numbers
-stay valid and others are replaced too), social security numbers, telephone numbers (a plus and 8 to 15 digits with
-any or no separators, area codes in brackets or set off, runs of 8 to 12 digits; a leading country code stays) and
-dates (yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, dd/mm/yyyy; real days of 1900 to 2099 only).
+Numbers and dates that are valid for their kind are permuted within their format by a Feistel network whose round
+function is a keyed SHA-256, so a value gets the same pseudonym in every document, different values of a format get
+different ones, and `restore` undoes it for whoever holds the key. The key has no default.
+
+Kinds: e-mail addresses (the letters and digits of the local part are shifted within their alphabet by a keyed stream;
+capitals stay capitals and don't change the stream, so Ann@ and ann@ stay linked), IPv4 addresses (each part at most
+255), payment card numbers (13 to 19 digits in one piece or in groups, with a valid Luhn sum, as pseudonyms have), social
+security numbers (no area of 000, 666 or 9xx, group 00 or serial 0000), telephone numbers (a plus and 8 to 15 digits with
+any or no separators, area codes in brackets or set off, runs of 8 to 12 digits; a country code or a leading zero stays)
+and dates (yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, dd/mm/yyyy; real days of 1900 to 2099 only). What has the form of a
+kind but isn't valid stays as it is.
 
 Nulls: a null text stays null with no findings; a null doc_id is kept. Empty texts, texts without personal data
 and everything between the findings come back as they are. Overlapping kinds: the leftmost match, then the
-kind listed first. Repeated rows are separate and get equal pseudonyms. An empty table gives no rows.
+kind listed first. Repeated rows are separate and get equal pseudonyms. An empty table gives no rows. The column of
+findings is called `found`, with underscores if the rows have a column of that name. Signs and letters of other
+alphabets than ALPHABETS stay in e-mail addresses.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS = 8
+from .common import free_name
+
+ROUNDS, WALKS = 8, 24
 # What each kind looks like.
 KINDS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
     "date": r"(?<![\d./-])(?:(?:19|20)\d\d(?<ymd>[-/])(?:0[1-9]|1[0-2])\k<ymd>(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])(?<dmy>[./])(?:0[1-9]|1[0-2])\k<dmy>(?:19|20)\d\d)(?![\d]|[./-]\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)",
@@ -53,31 +61,42 @@ def _draw(key: Column, kind: str, nth: Column, half: Column, modulus: Column) ->
     return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), modulus)
 
 
-def feistel(left: Column, right: Column, left_size: Column, right_size: Column, key: Column, kind: str) -> Column:
-    """A struct (l, r) of the permuted halves; an even number of rounds leaves each half its own size."""
+def feistel(left: Column, right: Column, left_size: Column, right_size: Column, key: Column, kind: str, back: bool = False) -> Column:
+    """A struct (l, r) of the permuted halves, or of those that were permuted; an even number of rounds leaves each half its own size."""
     start = F.struct(left.alias("l"), right.alias("r"), left_size.alias("ls"), right_size.alias("rs"))
 
     def turn(at: Column, nth: Column) -> Column:
         moved = F.pmod(at["l"] + _draw(key, kind, nth, at["r"], at["ls"]), at["ls"])
         return F.struct(at["r"].alias("l"), moved.alias("r"), at["rs"].alias("ls"), at["ls"].alias("rs"))
 
-    return F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), start, turn)
+    def turn_back(at: Column, nth: Column) -> Column:
+        moved = F.pmod(at["r"] - _draw(key, kind, nth, at["l"], at["rs"]), at["rs"])
+        return F.struct(moved.alias("l"), at["l"].alias("r"), at["rs"].alias("ls"), at["ls"].alias("rs"))
+
+    order = range(ROUNDS)[::-1] if back else range(ROUNDS)
+    return F.aggregate(F.array(*[F.lit(i) for i in order]), start, turn_back if back else turn)
 
 
-def permute_digits(digits: Column, key: Column, kind: str) -> Column:
+def permute_digits(digits: Column, key: Column, kind: str, back: bool = False) -> Column:
     """A string of digits to another of the same length (2 to 36 digits; a lone digit is shifted)."""
     n = F.length(digits)
     half = (n / 2).cast("int")
     rest = n - half
     done = feistel(
-        F.substr(digits, F.lit(1), half).cast("long"), F.substr(digits, half + 1, rest).cast("long"), _power(half), _power(rest), key, kind
+        F.substr(digits, F.lit(1), half).cast("long"), F.substr(digits, half + 1, rest).cast("long"), _power(half), _power(rest), key, kind, back
     )
-    lone = F.pmod(digits.cast("long") + _draw(key, kind, F.lit(0), F.lit(0), F.lit(10).cast("long")), F.lit(10)).cast("string")
+    shift = _draw(key, kind, F.lit(0), F.lit(0), F.lit(10).cast("long"))
+    lone = F.pmod(digits.cast("long") + (-shift if back else shift), F.lit(10)).cast("string")
     return F.when(n < 2, lone).otherwise(
         F.transform(F.array(F.struct(done.alias("d"), half.alias("h"), rest.alias("k"))), lambda x: F.concat(F.lpad(x["d"]["l"].cast("string"), x["h"], "0"), F.lpad(x["d"]["r"].cast("string"), x["k"], "0")))[0]
     )
 
 
+def walk(start: Column, step: Callable[[Column], Column], good: Callable[[Column], Column]) -> Column:
+    """Take a step, and further ones while the result isn't good (cycle walking); the good values are permuted among themselves."""
+    return F.aggregate(F.array(*[F.lit(i) for i in range(WALKS)]), start, lambda at, nth: F.when((nth > 0) & good(at), at).otherwise(step(at)))
+
+
 def refill(found: Column, digits: Column) -> Column:
     """The digits put in turn in the places where the found string has digits."""
     return F.array_join(F.zip_with(F.split(found, "[0-9]", -1), F.split(digits, "(?!^)(?!$)"), lambda gap, digit: F.concat(gap, F.coalesce(digit, F.lit("")))), "")
@@ -90,24 +109,36 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + d) % 10
 
 
-def _card(found: Column, key: Column) -> Column:
-    digits = F.regexp_replace(found, "[^0-9]", "")
-    body = permute_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    last = F.pmod(luhn(digits) - luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    return refill(found, F.concat(body, last))
+def _digits(found: Column) -> Column:
+    return F.regexp_replace(found, "[^0-9]", "")
+
+
+def _card(found: Column, key: Column, back: bool) -> Column:
+    """The last digit is the one that makes the Luhn sum valid."""
+    body = permute_digits(F.substr(_digits(found), F.lit(1), F.length(_digits(found)) - 1), key, "card", back)
+    return refill(found, F.transform(F.array(body), lambda b: F.concat(b, F.pmod(-luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))[0])
 
 
-def _phone(found: Column, key: Column) -> Column:
-    """The country code is what stands before the first separator, or what the plus and the first digits say."""
-    code = F.regexp_extract(found, rf"^\+(?:\d{{1,3}}(?=[ .(/-])|{COUNTRY}|\d{{3}})", 0)
+def _good_ssn(digits: Column) -> Column:
+    return ~digits.rlike("^(?:000|666|9)|^...00|0000$")
+
+
+def _ssn(found: Column, key: Column, back: bool) -> Column:
+    return refill(found, walk(_digits(found), lambda d: permute_digits(d, key, "ssn", back), _good_ssn))
+
+
+def _phone(found: Column, key: Column, back: bool) -> Column:
+    """The country code is what stands before the first separator, or what the plus and the first digits say. Other numbers keep a leading zero or none."""
+    code = F.regexp_extract(found, rf"^(?:\+(?:\d{{1,3}}(?=[ .(/-])|{COUNTRY}|\d{{3}})|\(?0)", 0)
     rest = F.substr(found, F.length(code) + 1, F.length(found))
-    return F.concat(code, refill(rest, permute_digits(F.regexp_replace(rest, "[^0-9]", ""), key, "phone")))
+    moved = walk(_digits(rest), lambda d: permute_digits(d, key, "phone", back), lambda d: (code != "") | ~d.startswith("0"))
+    return F.concat(code, refill(rest, moved))
 
 
-def _ip(found: Column, key: Column) -> Column:
+def _ip(found: Column, key: Column, back: bool) -> Column:
     parts = F.transform(F.split(found, r"\."), lambda p: p.cast("long"))
     wide = F.lit(65536).cast("long")
-    done = feistel(parts[0] * 256 + parts[1], parts[2] * 256 + parts[3], wide, wide, key, "ip")
+    done = feistel(parts[0] * 256 + parts[1], parts[2] * 256 + parts[3], wide, wide, key, "ip", back)
     return F.transform(F.array(done), lambda d: F.concat_ws(".", (d["l"] / 256).cast("long"), d["l"] % 256, (d["r"] / 256).cast("long"), d["r"] % 256))[0]
 
 
@@ -120,76 +151,86 @@ def _day(found: Column) -> Column:
     return F.try_to_date(iso, "yyyy-MM-dd")
 
 
-def _date(found: Column, key: Column) -> Column:
-    """Permute the day's number; numbers beyond the last day are permuted again (cycle walking)."""
+def _date(found: Column, key: Column, back: bool) -> Column:
+    """Permute the day's number among those of all days."""
     pattern = F.when(found.rlike(r"^\d{4}-"), "yyyy-MM-dd").when(found.rlike(r"^\d{4}/"), "yyyy/MM/dd").when(found.contains("."), "dd.MM.yyyy").otherwise("dd/MM/yyyy")
     first = F.lit("1900-01-01").cast("date")
     day = F.datediff(_day(found), first).cast("long")
     side = F.lit(SIDE).cast("long")
 
-    def walk(at: Column, nth: Column) -> Column:
-        done = F.transform(F.array(feistel((at / SIDE).cast("long"), at % SIDE, side, side, key, "date")), lambda d: d["l"] * SIDE + d["r"])[0]
-        return F.when((nth > 0) & (at < DAYS), at).otherwise(done)
+    def step(at: Column) -> Column:
+        return F.transform(F.array(feistel((at / SIDE).cast("long"), at % SIDE, side, side, key, "date", back)), lambda d: d["l"] * SIDE + d["r"])[0]
 
-    moved = F.aggregate(F.array(*[F.lit(i) for i in range(12)]), day, walk)
-    shown = F.transform(F.array(F.date_add(first, moved.cast("int")).cast("string")), lambda d: F.when(pattern == "yyyy-MM-dd", d)
+    moved = walk(day, step, lambda at: at < DAYS)
+    return F.transform(F.array(F.date_add(first, moved.cast("int")).cast("string")), lambda d: F.when(pattern == "yyyy-MM-dd", d)
         .when(pattern == "yyyy/MM/dd", F.translate(d, "-", "/"))
         .when(pattern == "dd.MM.yyyy", F.concat_ws(".", F.substring(d, 9, 2), F.substring(d, 6, 2), F.substring(d, 1, 4)))
         .otherwise(F.concat_ws("/", F.substring(d, 9, 2), F.substring(d, 6, 2), F.substring(d, 1, 4))))[0]
-    return shown
 
 
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
+# First and last letters of alphabets whose code points follow each other.
+ALPHABETS = ("az", "AZ", "09", "àö", "øþ", "ÀÖ", "ØÞ", "αω", "ΑΡ", "ая", "АЯ", "את", "ぁゖ", "ァヺ", "一鿿", "가힣")
 
 
-def _email(found: Column, key: Column) -> Column:
-    """Each letter or digit of the local part is shifted within its class by a stream drawn from the whole of its ASCII form.
+def _shifted(letter: Column, shift: Column) -> Column:
+    """A letter moved on within its alphabet; others stay."""
+    code, out = F.ascii(letter), letter
+    for first, last in reversed([map(ord, a) for a in ALPHABETS]):
+        moved = F.pmod(code - first + shift, F.lit(last - first + 1)) + first
+        out = F.when(code.between(first, last), F.decode(F.unhex(F.lpad(F.hex(moved), 4, "0")), "UTF-16BE")).otherwise(out)
+    return out
+
 
-    The stream is keyed by length and by everything before the character, so the shifts can be undone in turn.
-    """
+def _email(found: Column, key: Column, back: bool) -> Column:
+    """Each character of the local part is shifted by a number drawn from the address's length and domain and from what stood before it."""
     local, domain = F.substring_index(found, "@", 1), F.substring_index(found, "@", -1)
+    whole = F.concat_ws("@", F.length(local).cast("string"), F.lower(domain))
 
     def turn(done: Column, i: Column) -> Column:
-        own = F.substr(local, i, F.lit(1))
-        shift = F.conv(F.substring(F.sha2(F.concat_ws(":", key, F.lit("email"), lower, F.substr(local, F.lit(1), i - 1)), 256), 1, 8), 16, 10).cast("long")
-        letter = F.substr(F.lit(LETTERS), F.pmod(F.ascii(F.lower(own)) - 97 + shift, F.lit(26)).cast("int") + 1, F.lit(1))
-        return F.concat(done, F.when(own.rlike("[0-9]"), F.pmod(F.ascii(own) - 48 + shift, F.lit(10)).cast("string")).when(own.rlike(r"\p{L}|\p{N}"), letter).otherwise(own))
+        before = F.lower(done if back else F.substr(local, F.lit(1), i - 1))
+        shift = F.conv(F.substring(F.sha2(F.concat_ws(":", key, F.lit("email"), whole, before), 256), 1, 8), 16, 10).cast("long")
+        return F.concat(done, _shifted(F.substr(local, i, F.lit(1)), -shift if back else shift))
 
-    lower = F.concat_ws("@", F.length(local).cast("string"), F.lower(domain))
-    moved = F.aggregate(F.sequence(F.lit(1), F.length(local)), F.lit(""), turn)
-    return F.concat(moved, F.lit("@"), domain)
+    return F.concat(F.aggregate(F.sequence(F.lit(1), F.length(local)), F.lit(""), turn), F.lit("@"), domain)
 
 
-MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": lambda f, k: refill(f, permute_digits(F.regexp_replace(f, "[^0-9]", ""), k, "ssn")), "card": _card, "phone": _phone}
+MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
+VALID = {"date": lambda found: _day(found).isNotNull(), "card": lambda found: luhn(_digits(found)) == 0, "ssn": lambda found: _good_ssn(_digits(found))}
 
 
 def kind_of(found: Column) -> Column:
+    """The first kind whose form the found string has, null if it isn't valid for it."""
     chosen = F.lit(None).cast("string")
     for kind, pattern in reversed(KINDS.items()):
-        fits = found.rlike(f"^(?:{pattern})$")
-        if kind == "date":
-            fits &= _day(found).isNotNull()
-        chosen = F.when(fits, kind).otherwise(chosen)
+        named = F.when(VALID[kind](found), kind) if kind in VALID else F.lit(kind)
+        chosen = F.when(found.rlike(f"^(?:{pattern})$"), named).otherwise(chosen)
     return chosen
 
 
-def pseudonym(found: Column, key: Column) -> Column:
-    """A found string to its pseudonym, by the first kind that fits it; a date that isn't one stays."""
+def pseudonym(found: Column, key: Column, back: bool = False) -> Column:
+    """A found string to its pseudonym, or back, by its kind; what is of no kind stays."""
     kind = kind_of(found)
     out = found
     for name, maker in MAKERS.items():
-        out = F.when(kind == name, maker(found, key)).otherwise(out)
+        out = F.when(kind == name, maker(found, key, back)).otherwise(out)
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = "quernstone", column: str = "text") -> DataFrame:
-    """The documents with personal data replaced, and an array of (kind, pseudonym) called found."""
-    whole = F.col(column)
-    secret = F.lit(key)
-    maybe = whole.rlike("[0-9@]")  # every kind has one of these
-    matches = F.when(maybe, F.regexp_extract_all(whole, F.lit(ANY), F.lit(0)))
-    new = F.transform(matches, lambda m: F.struct(kind_of(m).alias("kind"), pseudonym(m, secret).alias("pseudonym")))
-    named = docs.withColumn("found", F.coalesce(new, F.array().cast("array<struct<kind:string,pseudonym:string>>")))
+def pseudonymise(docs: DataFrame, key: str, column: str = "text", back: bool = False) -> DataFrame:
+    """The documents with personal data replaced, and an array of (kind, pseudonym), called found or a free name like it."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    whole, name = F.col(column), free_name(docs, "found")
+    matches = F.when(whole.rlike("[0-9@]"), F.regexp_extract_all(whole, F.lit(ANY), F.lit(0)))  # every kind has one of these
+    new = F.transform(matches, lambda m: F.struct(kind_of(m).alias("kind"), pseudonym(m, F.lit(key), back).alias("pseudonym")))
+    named = docs.withColumn(name, F.coalesce(new, F.array().cast("array<struct<kind:string,pseudonym:string>>")))
     gaps = F.split(whole, ANY, -1)
-    text = F.array_join(F.zip_with(gaps, F.col("found.pseudonym"), lambda gap, name: F.concat(gap, F.coalesce(name, F.lit("")))), "")
-    return named.withColumn(column, F.when(F.size("found") > 0, text).otherwise(whole))
+    text = F.array_join(F.zip_with(gaps, F.col(f"{name}.pseudonym"), lambda gap, own: F.concat(gap, F.coalesce(own, F.lit("")))), "")
+    changed = named.withColumn(column, F.when(F.size(name) > 0, text).otherwise(whole))
+    return changed.withColumn(name, F.filter(name, lambda f: f["kind"].isNotNull()))
+
+
+def restore(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """The documents with pseudonyms undone, under the same key."""
+    done = pseudonymise(docs, key, column, back=True)
+    return done.select(*docs.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +21,21 @@ from .sharding import shard_documents
 from .url_filters import judge
 
 
+PII_KEY = "spark.quernstone.pii.key"
+
+
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the whole text with pseudonyms, and how many findings of each kind were replaced."""
-    done = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """doc_id, the whole text with pseudonyms, and how many findings of each kind were replaced.
+
+    The key is the session's PII_KEY; where it is unset, one is drawn for the session, so its runs agree.
+    """
+    if not (key := spark.conf.get(PII_KEY, None)):
+        spark.conf.set(PII_KEY, key := token_hex(16))
+    done = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
     counts = [(F.size("found") - F.size(F.array_remove("found.kind", kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
     return done.select("doc_id", "text", *counts)
 
