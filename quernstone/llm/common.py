@@ -16,16 +16,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-FEW = 20_000  # rows of one key that a task takes in any case
+FEW, FEW_LINKS = 500, 20_000  # rows, and links, of one key that a task takes in any case
 
 
-def heavy_keys(rows: DataFrame, key: list[str]) -> DataFrame | None:
-    """(key, salts) of the keys that have more rows than FEW and than a mean shuffle partition; None if there is none.
+def heavy_keys(rows: DataFrame, key: list[str], few: int = FEW) -> DataFrame | None:
+    """(key, salts) of the keys that have more rows than `few` and than a mean shuffle partition; None if there is none.
 
     There are fewer of them than shuffle partitions, so they may be sent to all tasks.
     """
     total, parts = rows.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    most = max(FEW, -(-total // parts))
+    most = max(few, -(-total // parts))
     if total <= most:
         return None
     counts = rows.groupBy(*key).agg(F.count("*").alias("salts")).where(F.col("salts") > most)
@@ -33,14 +33,19 @@ def heavy_keys(rows: DataFrame, key: list[str]) -> DataFrame | None:
     return None if found.isEmpty() else found
 
 
-def join_spread(left: DataFrame, right: DataFrame, key: str | list[str], by: list[str], how: str = "inner") -> DataFrame:
+def join_spread(left: DataFrame, right: DataFrame, key: str | list[str], by: list[str], how: str = "inner", few: int = FEW) -> DataFrame:
     """Join many rows of a key with the one row that the right side has for it.
 
     Keys that are too heavy for a task are dealt into parts by a hash of the left side's columns `by`, and the
     right side's row is repeated for each part. The left side should be written, as it is read twice.
     """
     key = [key] if isinstance(key, str) else key
-    heavy = heavy_keys(left, key)
+    heavy = heavy_keys(left, key, few)
+    return join_salted(left, right, key, by, how, heavy)
+
+
+def join_salted(left: DataFrame, right: DataFrame, key: list[str], by: list[str], how: str, heavy: DataFrame | None) -> DataFrame:
+    """The same with heavy keys that are known."""
     if heavy is None:
         return left.join(right.hint("merge"), key, how)
     heavy = F.broadcast(heavy)  # fewer rows than shuffle partitions
@@ -65,7 +70,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if large:
             both = both.unionByName(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = join_spread(both, least, "u", ["v"])
+        out = join_spread(both, least, "u", ["v"], few=FEW_LINKS)
         if large:
             out = out.where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         else:
