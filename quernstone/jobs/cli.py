@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from ..operators import catalog, search
+from ..operators import catalog, retrieval
 from ..sources.tables import documents
 from .queries import QUERIES
 from .ship import ship
@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         QUERIES[args.name](spark, args.folder).show(50, 80)
     else:
         asked = spark.createDataFrame([(0, args.text)], "query_id long, text string")
-        found = search.query(documents(spark, args.folder), asked, args.top_k, keyword_weight=args.keyword_weight, include_content=True)
+        found = retrieval.query(documents(spark, args.folder), asked, args.top_k, keyword_weight=args.keyword_weight, include_content=True)
         found.orderBy("rank").show(args.top_k, 80)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import kb_part
 from ..functions.text import chunks_fixed, chunks_lines, chunks_recursive, chunks_sentences, html_to_text, token_count
-from ..operators import access, catalog, clusters, embedding, keywords, mutations, search
+from ..operators import access, catalog, clusters, embedding, keywords, mutations, retrieval
 from ..sources.tables import chunk_table, documents, table, tagged_documents
 from ..streaming import events as feed
 from ..streaming import ingest
@@ -212,18 +212,17 @@ def embed_hash_ngram(spark, sf_dir):
 
 @query
 def keyword_search_bm25(spark, sf_dir):
-    scored = keywords.bm25(documents(spark, sf_dir), asked_texts(spark, sf_dir)).withColumnRenamed("keyword_score", "score")
-    return search.rank_matches(scored, TOP).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+    return retrieval.keyword_matches(documents(spark, sf_dir), asked_texts(spark, sf_dir), TOP)
 
 
 @query
 def vector_topk(spark, sf_dir):
-    return search.vector_topk(table(spark, sf_dir, "embeddings"), asked_vectors(spark, sf_dir), 10)
+    return retrieval.vector_topk(table(spark, sf_dir, "embeddings"), asked_vectors(spark, sf_dir), 10)
 
 
 @query
 def vector_topk_minscore(spark, sf_dir):
-    return search.vector_topk(table(spark, sf_dir, "embeddings"), asked_vectors(spark, sf_dir), 10, 0.2)
+    return retrieval.vector_topk(table(spark, sf_dir, "embeddings"), asked_vectors(spark, sf_dir), 10, 0.2)
 
 
 @query
@@ -233,12 +232,12 @@ def vector_topk_lsh(spark, sf_dir):
 
 @query
 def hybrid_query(spark, sf_dir):
-    return search.query(documents(spark, sf_dir), asked_texts(spark, sf_dir), TOP, keyword_weight=0.4, min_score=0.1)
+    return retrieval.query(documents(spark, sf_dir), asked_texts(spark, sf_dir), TOP, keyword_weight=0.4, min_score=0.1)
 
 
 @query
 def hybrid_query_rrf(spark, sf_dir):
-    return search.hybrid_rrf(documents(spark, sf_dir), asked_texts(spark, sf_dir), TOP)
+    return retrieval.hybrid_rrf(documents(spark, sf_dir), asked_texts(spark, sf_dir), TOP)
 
 
 FILTER = {"and": [{"field": "lang", "op": "in", "value": ["en", "de"]}, {"not": {"field": "n_chars", "op": "<", "value": 300}}]}
@@ -246,19 +245,19 @@ FILTER = {"and": [{"field": "lang", "op": "in", "value": ["en", "de"]}, {"not":
 
 @query
 def query_with_filter(spark, sf_dir):
-    return search.query(documents(spark, sf_dir), asked_texts(spark, sf_dir), TOP, where=FILTER)
+    return retrieval.query(documents(spark, sf_dir), asked_texts(spark, sf_dir), TOP, where=FILTER)
 
 
 @query
 def query_no_content(spark, sf_dir):
     """The scan of the content is only for scoring; none of it is returned."""
-    found = search.query(documents(spark, sf_dir), asked_texts(spark, sf_dir), TOP, keyword_weight=1.0)
+    found = retrieval.query(documents(spark, sf_dir), asked_texts(spark, sf_dir), TOP, keyword_weight=1.0)
     return found.select("query_id", "rank", "doc_id", "score")
 
 
 @query
 def v1_tag_query(spark, sf_dir):
-    found = search.query(tagged_documents(spark, sf_dir), asked_texts(spark, sf_dir), TOP, mode="v1-tags", tags={"tag1": "en", "tag2": "1"})
+    found = retrieval.query(tagged_documents(spark, sf_dir), asked_texts(spark, sf_dir), TOP, mode="v1-tags", tags={"tag1": "en", "tag2": "1"})
     return found.select("query_id", "rank", "doc_id", "score")
 
 
@@ -301,7 +300,7 @@ def cluster_pruned_topk(spark, sf_dir):
     from ..functions.vector import cosine
 
     scored = rows.join(chosen, "cluster_id").select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
-    return search.rank_matches(scored, 10, item="vec_id").select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "score")
+    return retrieval.rank_matches(scored, 10, item="vec_id").select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "score")
 
 
 @query

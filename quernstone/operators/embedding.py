@@ -58,16 +58,3 @@ def hash_ngram(rows: DataFrame, key: str, buckets: int, text: str = "text") -> D
     """
     grams = rows.select(key, F.explode(trigrams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("c"))
     return grams.groupBy(key, gram_bucket(F.col("gram"), buckets).alias("bucket")).agg(F.sum("c").alias("n"))
-
-
-def unit_weights(sparse: DataFrame, key: str) -> DataFrame:
-    """(key, bucket, w): counts divided by the vector's length."""
-    length = sparse.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
-    return sparse.join(length, key).select(key, "bucket", (F.col("n") / F.col("length")).alias("w"))
-
-
-def sparse_cosine(docs: DataFrame, queries: DataFrame, buckets: int) -> DataFrame:
-    """(query_id, doc_id, vector_score) from hashed trigrams, by an equi-join on buckets."""
-    left = unit_weights(hash_ngram(docs, "doc_id", buckets), "doc_id")
-    right = unit_weights(hash_ngram(queries, "query_id", buckets), "query_id").withColumnRenamed("w", "v")
-    return left.join(right, "bucket").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("v")).alias("vector_score"))

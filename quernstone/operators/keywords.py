@@ -1,4 +1,4 @@
-"""Keyword dictionary, TF-IDF extraction and BM25 search."""
+"""Keyword dictionary and TF-IDF extraction."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
-K1, B = 1.2, 0.75
-
-
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term, tf): term counts of each row."""
     return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
@@ -29,25 +26,3 @@ def tfidf(docs: DataFrame, most: int) -> DataFrame:
     scored = posts.join(df, "term").crossJoin(F.broadcast(n)).withColumn("score", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "term"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "rank", F.col("term").alias("keyword"), "tf", "score")
-
-
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, keyword_score) for each document that shares a term with a query (query_id, text).
-
-    Only the queries' terms are looked up, so the large side is filtered by the join before it is counted.
-    """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-    whole = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))  # one row
-    terms = asked.select("term").distinct()
-    posts = (
-        words.select("doc_id", F.size("words").alias("len"), F.explode("words").alias("term"))
-        .join(terms, "term")
-        .groupBy("doc_id", "len", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = posts.join(df, "term").crossJoin(F.broadcast(whole))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return weighed.select("doc_id", "term", weight.alias("w")).join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("keyword_score"))

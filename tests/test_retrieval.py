@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.operators import clusters, search
+from quernstone.operators import clusters, retrieval
 from quernstone.sources.tables import documents, inline, table
 
 
@@ -18,58 +18,58 @@ def ids(df):
 
 def test_topk_is_a_prefix(corpus):
     docs, asked = corpus
-    assert ids(search.query(docs, asked, 2)) == ids(search.query(docs, asked, 3))[:2]
+    assert ids(retrieval.query(docs, asked, 2)) == ids(retrieval.query(docs, asked, 3))[:2]
 
 
 def test_ties_go_to_the_smaller_id(corpus):
     docs, asked = corpus
-    found = ids(search.query(docs, asked, 5))
+    found = ids(retrieval.query(docs, asked, 5))
     assert found.index(1) + 1 == found.index(5)
 
 
 def test_weight_zero_is_the_vector_score(corpus):
     docs, asked = corpus
-    for r in search.query(docs, asked, 5, keyword_weight=0.0).collect():
+    for r in retrieval.query(docs, asked, 5, keyword_weight=0.0).collect():
         assert r["score"] == r["vector_score"]
 
 
 def test_higher_threshold_gives_a_subset(corpus):
     docs, asked = corpus
-    low, high = set(ids(search.query(docs, asked, 5, min_score=0.1))), set(ids(search.query(docs, asked, 5, min_score=0.99)))
+    low, high = set(ids(retrieval.query(docs, asked, 5, min_score=0.1))), set(ids(retrieval.query(docs, asked, 5, min_score=0.99)))
     assert high < low
 
 
 def test_filters(corpus):
     docs, asked = corpus
-    assert ids(search.query(docs, asked, 5, where={"field": "lang", "op": "=", "value": "de"})) == [3]
+    assert ids(retrieval.query(docs, asked, 5, where={"field": "lang", "op": "=", "value": "de"})) == [3]
     spec = {"or": [{"field": "doc_id", "op": "in", "value": [2]}, {"and": [{"field": "doc_id", "op": ">=", "value": 5}, {"field": "lang", "op": "exists"}]}]}
-    assert {r["doc_id"] for r in docs.where(search.compile_filter(spec, docs.columns)).collect()} == {2, 5}
+    assert {r["doc_id"] for r in docs.where(retrieval.compile_filter(spec, docs.columns)).collect()} == {2, 5}
     with pytest.raises(ValueError):
-        search.compile_filter({"field": "nothing", "op": "=", "value": 1}, docs.columns)
+        retrieval.compile_filter({"field": "nothing", "op": "=", "value": 1}, docs.columns)
     with pytest.raises(ValueError):
-        search.compile_filter({"field": "lang", "op": "~", "value": 1}, docs.columns)
+        retrieval.compile_filter({"field": "lang", "op": "~", "value": 1}, docs.columns)
 
 
 def test_content_only_on_request(corpus):
     docs, asked = corpus
-    assert "content" not in search.query(docs, asked, 1).columns
-    assert search.query(docs, asked, 1, include_content=True).first()["content"]
+    assert "content" not in retrieval.query(docs, asked, 1).columns
+    assert retrieval.query(docs, asked, 1, include_content=True).first()["content"]
 
 
 def test_excluded_rows_never_match(corpus):
     docs, asked = corpus
-    assert 3 not in ids(search.query(docs.withColumn("included", F.col("doc_id") != 3), asked, 5))
+    assert 3 not in ids(retrieval.query(docs.withColumn("included", F.col("doc_id") != 3), asked, 5))
 
 
 def test_unknown_mode(corpus):
     with pytest.raises(ValueError):
-        search.query(*corpus, mode="other")
+        retrieval.query(*corpus, mode="other")
 
 
 def test_vectors_with_zero_and_blocks(spark):
     rows = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(9)] + [(9, [0.0, 0.0])], "vec_id long, embedding array<double>")
     asked = rows.where("vec_id in (0, 9)").withColumnRenamed("vec_id", "query_id")
-    found = search.vector_topk(rows, asked, 3, size=2).orderBy("query_id", "rank").collect()
+    found = retrieval.vector_topk(rows, asked, 3, size=2).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in found] == [(0, 0, 1.0), (0, 3, 1.0), (0, 6, 1.0)]
 
 
@@ -86,7 +86,7 @@ def test_training_trigger():
 
 def test_usage_and_inline(spark, corpus):
     docs, asked = corpus
-    row = search.usage(docs, search.query(docs, asked, 2)).first()
+    row = retrieval.usage(docs, retrieval.query(docs, asked, 2)).first()
     assert (row["scanned"], row["returned"]) == (5, 2)
     made = inline(spark, [{"doc_id": 1, "filename": "a.txt", "text": "x"}])
     assert made.first()["tags"] is None and made.count() == 1
@@ -97,15 +97,12 @@ def test_fixture_queries(spark):
     from pathlib import Path
 
     from quernstone.jobs.fixtures import known_answers
-    from quernstone.operators import keywords
-
     folder = "/root/testdata/sf0.01"
     if not Path(folder).exists():
         pytest.skip("no test tables here")
     asked = known_answers(spark, folder).cache()
     assert asked.count() == 10
-    scored = keywords.bm25(documents(spark, folder), asked).withColumnRenamed("keyword_score", "score")
-    top = search.rank_matches(scored, 5).join(asked.select("query_id", "holders"), "query_id")
+    top = retrieval.keyword_matches(documents(spark, folder), asked, 5).join(asked.select("query_id", "holders"), "query_id")
     assert top.where(F.array_contains("holders", F.col("doc_id"))).select("query_id").distinct().count() == 10
 
 
@@ -128,6 +125,6 @@ def test_lsh_recall_against_all_pairs(spark, monkeypatch, n, clusters_of, spread
     vectors = cloud(spark, n, clusters_of, spread)
     asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     pairs = lambda df: {(r["query_id"], r["vec_id"]) for r in df.collect()}
-    want, found = pairs(search.vector_topk(vectors, asked, 10)), pairs(clusters.lsh_topk(vectors, asked, 10))
+    want, found = pairs(retrieval.vector_topk(vectors, asked, 10)), pairs(clusters.lsh_topk(vectors, asked, 10))
     assert len(want & found) >= 0.9 * len(want) and len(found) <= len(want)
     assert (plans[0][0] > 0) == hashed
