@@ -11,6 +11,14 @@ from pyspark.sql import SparkSession
 def scratch(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file:" + tempfile.mkdtemp(prefix="quernstone-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        base = "file:" + tempfile.mkdtemp(prefix="quernstone-")  # one machine, as in tests
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder on whatever file system holds it; tells whether it was there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

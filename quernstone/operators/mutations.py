@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..jobs.scratch import remove
 from ..schemas import SCHEMA_VERSION, TABLES
 
 
@@ -40,9 +41,7 @@ def overwrite_partitions(rows: DataFrame, path: str, by: str = "kb_part") -> Non
 
 def drop_partition(spark: SparkSession, path: str, by: str, value: str) -> bool:
     """Remove a partition's directory on whatever file system holds it; tells whether it was there."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={value}")
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return remove(spark, f"{path}/{by}={value}")
 
 
 def migrate(spark: SparkSession, database: str) -> int:
