@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..jobs.scratch import scratch
+from ..jobs.scratch import remove, scratch
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -16,6 +20,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """Cuts the lineage of an iteration: each round's table is written, and the one before the last is removed."""
+
+    def __init__(self, name: str) -> None:
+        self.name, self.paths = name, []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
+        self.paths.append(scratch(spark, self.name))
+        df.write.parquet(self.paths[-1])
+        if len(self.paths) > 2:
+            remove(spark, self.paths.pop(0))
+        return spark.read.schema(df.schema).parquet(self.paths[-1])
+
+
 FEW, FEW_LINKS = 500, 20_000  # rows, and links, of one key that a task takes in any case
 
 
@@ -77,9 +96,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
             out = out.select(F.explode(F.array("u", "v")).alias("hi"), F.col("m").alias("lo"))
         return out.where("hi <> lo").distinct()
 
-    sign = None
+    sign, tables = None, Rounds("links")
     for _ in range(rounds):
-        links = cut(star(cut(star(links, True), "links"), False), "links")
+        links = tables.cut(star(tables.cut(star(links, True)), False))
         now = links.agg(F.count("*"), F.sum(F.hash("hi", "lo").cast("long")), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if now == sign:
             break
@@ -90,12 +109,14 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
 
 
-def small_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
-    """The same rows; Arrow batches get at most so many of them, as whole texts are long and a batch is held more than once."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= rows:
-        conf.set(name, str(rows))
-    return df
+def slices(batch: pa.RecordBatch, column: int, size: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Parts of an Arrow batch with at most about `size` bytes of text in a column, long texts alone; Spark bounds the batch itself by bytes."""
+    sizes = np.cumsum(np.nan_to_num(np.array(pc.binary_length(batch.column(column)).to_pylist(), float)) + 64)
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + size)))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -7,8 +7,8 @@ at most k. Shared q-grams of one text are counted in overlapping diagonal bands
 asks for; bands that reach the bound are regions, and a banded alignment of each region, within its text, gives the
 exact edit distance at every end that is within the budget.
 
-Every document is searched as a whole. The items are sent to all tasks in parts of at most ITEM_CHARS
-characters, a part a pass. Nulls: null texts and null items contain nothing; a null doc_id is kept. Items of
+Every document is searched as a whole. The items are sent to all tasks in parts of about ITEM_CHARS
+characters, a part a pass; the driver holds one part at a time. Nulls: null texts and null items contain nothing; a null doc_id is kept. Items of
 fewer than Q characters are found nowhere. Equal items are separate. For each
 end the fewest edits count, then the latest start; of overlapping occurrences of one item the one with the fewest
 edits stays, then the leftmost. Empty tables give no rows. Repeated rows are separate.
@@ -19,14 +19,14 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import Rounds
 
 Q, BUDGET, ITEM_CHARS, WINDOW, BATCH_CHARS, TABLE_BITS, ALIGNED, CELLS = 10, 0.08, 8_000_000, 400_000, 400_000, 22, 512, 4_000_000
 GAP = 0x110000  # stands between texts
@@ -209,13 +209,14 @@ def occurrences(texts: list[str], index: Index) -> list[list[tuple[int, int, int
     return out
 
 
-def item_parts(benchmark: DataFrame) -> list[Index]:
-    """Indexes over parts of the items, of at most about ITEM_CHARS characters each."""
+def item_parts(benchmark: DataFrame) -> Iterator[tuple[int, Index]]:
+    """The number of parts still to come and an index over a part of the items, of about ITEM_CHARS characters, one after the other."""
     items = benchmark.where("text is not null").select("item_id", "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = int(total // ITEM_CHARS) + 1
     slot = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    return [Index(sorted(((r["item_id"], r["text"]) for r in items.where(slot == i).collect()), key=lambda r: (str(r[0]), r[1]))) for i in range(parts)]
+    for i in range(parts):
+        yield parts - 1 - i, Index(sorted(((r["item_id"], r["text"]) for r in items.where(slot == i).collect()), key=lambda r: (str(r[0]), r[1])))
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -247,7 +248,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kinds = dict(docs.dtypes) | dict(benchmark.dtypes)
     item_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kinds["item_id"], pa.string())
     schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, start_at long, end_at long, edits long"
-    return reduce(DataFrame.unionByName, [small_batches(docs).select("doc_id", "text").mapInArrow(search(index), schema) for index in item_parts(benchmark)])
+    found, passes = None, Rounds("found")
+    for left, index in item_parts(benchmark):
+        now = docs.select("doc_id", "text").mapInArrow(search(index), schema)
+        found = now if found is None else found.unionByName(now)
+        if left:  # so that this part's index is done with
+            found = passes.cut(found)
+    return found
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -261,6 +268,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    for index in item_parts(benchmark):
-        docs = small_batches(docs).mapInArrow(keep(index), docs.schema)
+    passes = Rounds("clean")
+    for left, index in item_parts(benchmark):
+        docs = docs.mapInArrow(keep(index), docs.schema)
+        if left:
+            docs = passes.cut(docs)
     return docs

@@ -116,7 +116,7 @@ def _store(bits: int, tables: int):
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The rows of each block, sorted by id; blocks come one after the other, and one is held at a time."""
+    """The rows of each block of two or more, sorted by id; blocks come one after the other, and one is held at a time."""
     held: list[dict[str, np.ndarray]] = []
 
     def done() -> dict[str, np.ndarray]:
@@ -130,11 +130,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
         new[1:] = np.any([rows[m][1:] != rows[m][:-1] for m in BLOCK], 0)
         cuts = [*np.nonzero(new)[0].tolist(), len(batch)]
         for a, b in zip(cuts[:-1], cuts[1:]):
-            part = {k: v[a:b] for k, v in rows.items()}
-            if held and any(held[0][m][0] != part[m][0] for m in BLOCK):
-                yield done()
+            if held and (a or any(held[0][m][0] != rows[m][0] for m in BLOCK)):
+                if len(held) > 1 or len(held[0]["id"]) > 1:
+                    yield done()
                 held.clear()
-            held.append(part)
+            if b - a > 1 or not a or b == len(batch):  # a block of one row that can't go on is none
+                held.append({k: v[a:b] for k, v in rows.items()})
     if held:
         yield done()
 

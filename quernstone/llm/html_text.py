@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import slices
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -237,15 +237,16 @@ def region(parser: Lines, content: np.ndarray) -> np.ndarray:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(html) for html in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
-            names=["page_id", "url", "text", "n_chars"],
-        )
+        for part in slices(batch, 2):
+            texts = [main_text(html.as_py()) for html in part.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
+                names=["page_id", "url", "text", "n_chars"],
+            )
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     kinds = dict(pages.dtypes)
     schema = f"page_id {kinds['page_id']}, url string, text string, n_chars long"
-    return small_batches(pages).select("page_id", "url", "html").mapInArrow(_extract, schema)
+    return pages.select("page_id", "url", "html").mapInArrow(_extract, schema)

@@ -37,13 +37,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FEW, components, cut, free_name, join_spread, mix, small_batches, span_hashes
+from .common import FEW, components, cut, free_name, join_spread, mix, slices, span_hashes
 
-WORDS, SLOTS, CHUNK, TOKEN_BITS, BATCH_BYTES = 5, 1 << 18, 64, 44, 500_000
+WORDS, SLOTS, CHUNK, TOKEN_BITS = 5, 1 << 18, 64, 44
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28  # of the table of wanted texts: 32 MB at most
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -94,21 +93,12 @@ def set_id(tokens: np.ndarray) -> int:
     return int(np.int64(np.uint64(mix(tokens).sum() ^ np.uint64(len(tokens))).view(np.int64)))
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    sizes = np.cumsum(np.nan_to_num(np.array(pc.binary_length(batch.column(column)).to_pylist(), float)))
-    at = 0
-    while at < len(batch):
-        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_BYTES)))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n, set_id, text_key) of each document; at the end the slot counts of the partition, in blocks."""
     counts, kind = np.zeros(SLOTS, np.int64), None
     for batch in batches:
         kind = batch.schema.field(0).type
-        for part in _slices(batch, 1):
+        for part in slices(batch, 1):
             sets = shingle_sets(part.column(1))
             every = np.concatenate(sets)
             counts += np.bincount((every >> np.uint64(46)).astype(np.int64), minlength=SLOTS)
@@ -156,7 +146,7 @@ def _first_parts(ranks: np.ndarray, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
-            for part in _slices(batch, 0):
+            for part in slices(batch, 0):
                 tokens, salted, ids, sizes = [], [], [], []
                 for own in shingle_sets(part.column(0)):
                     n = len(own)
@@ -193,7 +183,7 @@ def _sets_of(bits: np.ndarray):
             keys = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             slot = keys & np.uint64(64 * len(bits) - 1)
             batch = batch.filter(pa.array(bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1) > 0))
-            for part in _slices(batch, 0):
+            for part in slices(batch, 0):
                 ids, sets = [], []
                 for own in shingle_sets(part.column(0)):
                     if len(own) and (me := set_id(own)) not in done:
@@ -312,7 +302,7 @@ def _shared_tokens(rows: DataFrame, key: str, name: str) -> DataFrame:
 
 def join_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Summaries (doc_id, n, set_id, text_key) of all documents, and (node, component) of linked sets."""
-    texts = small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     kind = dict(docs.dtypes)["doc_id"]
     rows = cut(texts.mapInArrow(_summaries, f"doc_id {kind}, n long, set_id long, text_key long, block int, counts array<long>"), "summaries")
     every = rows.where("block is null").select("doc_id", "n", "set_id", "text_key")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, small_batches
+from .common import cut, mix
 from .tokens import encoder
 
 WINDOW, END, VOCABULARY, SHARD_TOKENS, TASK_TOKENS = 2_048, 1, 50_257, 1_500_000, 12_000_000
@@ -204,7 +204,7 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
     """The pieces of all documents and where they lie: a row for each piece."""
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     name = kinds["doc_id"].simpleString()
-    tokens = cut(small_batches(docs).select("doc_id", "text").mapInArrow(_tokenize(path), f"doc_id {name}, serial long, n long, signature long, ids binary"), "tokens")
+    tokens = cut(docs.select("doc_id", "text").mapInArrow(_tokenize(path), f"doc_id {name}, serial long, n long, signature long, ids binary"), "tokens")
     count, total = tokens.agg(F.count("*"), F.sum("n")).first()
     df = np.zeros(1 << 16)
     for row in tokens.select("ids").mapInArrow(_frequencies, "id int, df long").groupBy("id").agg(F.sum("df").alias("df")).collect():  # at most VOCABULARY rows

@@ -6,12 +6,13 @@ words and lines, and how often words follow themselves. A hidden layer embeds ea
 attention weighs the passages of a document, and the weighted representation is scored by a logistic output.
 All weights are learned together from the labels of whole documents.
 
-Labels are learned from a bounded sample, the TRAIN_DOCS labelled rows whose hashed ids come first, never from
-rows whose crc32(doc_id) mod 4 is 2. At most TRAIN_PASSAGES evenly spread passages of a document are used in
-training; scores use all. doc_id, lang, source and labels are no inputs of a score.
+Labels are learned from a bounded sample, the TRAIN_DOCS labelled rows whose hashed ids come first, as long as all of
+their passages fit into TRAIN_PASSAGES; rows are taken whole or not at all. Rows whose crc32(doc_id) mod 4 is 2 are
+never among them. doc_id, lang, source and labels are no inputs of a score.
 
 Nulls: a null text is scored as an empty one, a single passage without characters; a null doc_id is not
-held out and never trained on. Several labels of one id: the lowest counts. Without labels of both classes
+held out and never trained on. Several labels of one id: the lowest counts. Several texts of one id: the one with the
+lowest hash is learned from. Without labels of both classes
 every score is the share of label 1 among those there are (1 without any). Repeated rows get equal scores.
 An empty table gives no rows.
 """
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut, free_name, small_batches, span_hashes
+from .common import cut, free_name, slices, span_hashes
 
-PASSAGE, TRAIN_DOCS, TRAIN_PASSAGES, PAIRS = 800, 6_000, 24, 64
+PASSAGE, TRAIN_DOCS, TRAIN_PASSAGES, PAIRS = 800, 6_000, 100_000, 64
 SIGNS = "!#$%&*|.,;:?'\"()[]{}<>/\\=+-_@~^"
 
 
@@ -112,7 +113,8 @@ class Attention:
 
     HIDDEN, GATE = 32, 16
 
-    def __init__(self, seed: int = 3) -> None:
+    def __init__(self, seed: int = 3, attend: bool = True) -> None:
+        self.attend = attend  # if not, all passages of a document weigh the same
         rng = np.random.default_rng(seed)
         norm = lambda a, b: rng.normal(0, np.sqrt(1 / a), (a, b))
         self.w = {"enc": norm(N_FEATURES, self.HIDDEN), "enc_b": np.zeros(self.HIDDEN), "v": norm(self.HIDDEN, self.GATE), "u": norm(self.HIDDEN, self.GATE), "a": norm(self.GATE, 1), "out": norm(self.HIDDEN, 1), "out_b": np.zeros(1)}
@@ -124,7 +126,7 @@ class Attention:
         bag = np.repeat(np.arange(len(counts)), counts)
         h = np.tanh(x @ w["enc"] + w["enc_b"])
         t, s = np.tanh(h @ w["v"]), 1 / (1 + np.exp(-(h @ w["u"])))
-        e = ((t * s) @ w["a"])[:, 0]
+        e = ((t * s) @ w["a"])[:, 0] * self.attend
         e = np.exp(e - np.maximum.reduceat(e, first)[bag])
         a = e / np.add.reduceat(e, first)[bag]
         z = np.add.reduceat(a[:, None] * h, first)
@@ -136,7 +138,7 @@ class Attention:
         g = {"out": z.T @ slope[:, None], "out_b": slope.sum(keepdims=True)}
         to_z = (slope[:, None] @ w["out"].T)[bag]
         to_a = (to_z * h).sum(1)
-        to_e = a * (to_a - np.add.reduceat(a * to_a, first)[bag])
+        to_e = a * (to_a - np.add.reduceat(a * to_a, first)[bag]) * self.attend
         g["a"] = (t * s).T @ to_e[:, None]
         to_gate = to_e[:, None] @ w["a"].T
         to_t, to_s = to_gate * s * (1 - t * t), to_gate * t * s * (1 - s)
@@ -179,27 +181,36 @@ def held_out(doc_id: str = "doc_id"):
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for text in batch.column(0).to_pylist():
-            codes, starts, counts = passages([text or ""])
-            x = encode(codes, starts, len(codes))
-            rows.append(x[np.unique(np.linspace(0, len(x) - 1, min(len(x), TRAIN_PASSAGES)).astype(int))].astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], names=["bag", "label"])
+        for part in slices(batch, 1):
+            rows = []
+            for text in part.column(1).to_pylist():
+                codes, starts, _ = passages([text or ""])
+                rows.append(encode(codes, starts, len(codes)).tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary()), part.column(2)], names=["doc_id", "bag", "label"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Attention:
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     marks = marks.where(~held_out()).withColumn("key", F.xxhash64("doc_id", F.lit("quality")))
-    chosen = cut(marks.orderBy("key", "doc_id").limit(TRAIN_DOCS).select("doc_id", "label"), "labelled")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")  # at most TRAIN_DOCS rows
-    rows = texts.mapInArrow(_bags, "bag binary, label int").collect()
-    rows.sort(key=lambda r: (bytes(r["bag"]), r["label"]))
-    y = np.array([r["label"] for r in rows], np.float64)
+    chosen = cut(marks.orderBy("key", "doc_id").limit(TRAIN_DOCS), "labelled")
+    own = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    sizes = own.join(F.broadcast(chosen), "doc_id").groupBy("key", "doc_id", "label").agg(F.min(F.struct("text_key", "size")).alias("t"))  # at most TRAIN_DOCS rows
+    left, taken = TRAIN_PASSAGES, []
+    for r in sorted(sizes.collect(), key=lambda r: (r["key"], r["doc_id"])):
+        many = max(1, (r["t"]["size"] + PASSAGE // 2) // PASSAGE)
+        if many <= left:
+            left -= many
+            taken.append((r["doc_id"], r["t"]["text_key"], r["label"]))
     model = Attention()
-    if not len(y) or y.min() == y.max():
-        model.prior = float(y.mean()) if len(y) else 1.0
+    if len({y for _, _, y in taken}) < 2:
+        model.prior = float(np.mean([y for _, _, y in taken])) if taken else 1.0
         return model
-    return model.fit([np.frombuffer(r["bag"], np.float32).reshape(-1, N_FEATURES) for r in rows], y)
+    wanted = docs.sparkSession.createDataFrame(taken, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, label int")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).join(F.broadcast(wanted), ["doc_id", "text_key"])
+    rows = texts.select("doc_id", "text", "label").mapInArrow(_bags, f"doc_id {dict(docs.dtypes)['doc_id']}, bag binary, label int").dropDuplicates(["doc_id"]).collect()
+    rows.sort(key=lambda r: (bytes(r["bag"]), r["label"]))
+    bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, N_FEATURES) for r in rows]
+    return model.fit(bags, np.array([r["label"] for r in rows], np.float64))
 
 
 def score(docs: DataFrame, model: Attention, column: str = "score") -> DataFrame:
@@ -219,7 +230,7 @@ def score(docs: DataFrame, model: Attention, column: str = "score") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores or [np.zeros(0)]), pa.float64())], names=[*batch.schema.names, column])
 
     schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
-    return small_batches(docs).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:

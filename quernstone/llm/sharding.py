@@ -5,7 +5,7 @@ largest spread are combined again and again, the largest part of the one with th
 What is left of a bucket is one partial partition, a list of sums; these are combined in the same way,
 level by level, never more than FAN of them in one task.
 
-Nulls: a null text counts 1 byte and is a group of its own; a null doc_id is a value like another.
+Nulls: a null text counts 1 byte and all null texts are one group; a null doc_id is a value like another.
 Empty texts count 1 byte. A single group larger than the mean shard stays whole: the others even out the
 rest. Repeated rows are rows, each with its slot. An empty table gives no rows. Other columns are ignored.
 """
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_spread
 
 PER_BUCKET, FAN, PER_CHUNK = 20_000, 2_048, 50_000
 
@@ -113,7 +113,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     shard_of = place_groups(rows.groupBy("key").agg(F.sum("size").alias("size")), shards)
     chunks = max(1, -(-rows.count() // PER_CHUNK))
     placed = cut(
-        rows.join(shard_of, "key").select(
+        join_spread(rows, shard_of, "key", ["doc_id", "size"]).select(
             "doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(chunks * 4)).alias("chunk")
         ),
         "kk-placed",

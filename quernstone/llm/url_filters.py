@@ -22,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, heavy_keys, join_salted, join_spread
+from .common import Rounds, cut, heavy_keys, join_salted, join_spread
 
 # The rules.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -76,13 +76,14 @@ def spread(links: DataFrame, hosts: DataFrame) -> DataFrame:
     seeds = marked.select("rank", "host", share.alias("seed")).unionByName(ends.select("rank", "host", F.lit(0.0).alias("seed"))).groupBy("rank", "host").agg(F.sum("seed").alias("seed"))
     seeds = cut(seeds.join(leads_on.withColumn("on", F.lit(True)), ["rank", "host"], "left"), "host-seeds")
     ranks = seeds.select("rank", "host", "seed", "on", F.col("seed").alias("value"))
+    tables = Rounds("host-ranks")
     for _ in range(ROUNDS):
         stuck = {r["rank"]: r["v"] for r in ranks.where("on is null").groupBy("rank").agg(F.sum("value").alias("v")).collect()}  # two rows
         moved = join_salted(steps, ranks.where("value > 0").select("rank", "host", "value"), ["rank", "host"], ["to"], "inner", heavy)
         moved = moved.groupBy("rank", F.col("to").alias("host")).agg(F.sum(F.col("share") * F.col("value")).alias("come"))
         again = F.when(F.col("rank") == "trust", stuck.get("trust", 0.0)).otherwise(stuck.get("distrust", 0.0))
         value = F.col("seed") * (1 - DAMPING + DAMPING * again) + DAMPING * F.coalesce("come", F.lit(0.0))
-        new = cut(ranks.withColumnRenamed("value", "old").join(moved, ["rank", "host"], "left").select("rank", "host", "seed", "on", "old", value.alias("value")), "host-ranks")
+        new = tables.cut(ranks.withColumnRenamed("value", "old").join(moved, ["rank", "host"], "left").select("rank", "host", "seed", "on", "old", value.alias("value")))
         far = new.agg(F.sum(F.abs(F.col("value") - F.col("old")))).first()[0]
         ranks = new.drop("old")
         if far is None or far <= SETTLED:

@@ -56,6 +56,38 @@ def test_gradient():
             assert g[at] == pytest.approx((up - down) / 2e-6, rel=1e-3, abs=1e-6), name
 
 
+def test_attention_beats_the_mean():
+    """Bags of many passages of which a marked one tells: attention finds it, plain averaging drowns it."""
+    rng = np.random.default_rng(7)
+    bags, labels = [], rng.integers(0, 2, 900).astype(float)
+    for y in labels:
+        x = rng.normal(0, 0.1, (rng.integers(8, 16), quality.N_FEATURES))
+        x[:, 1:6] = rng.choice([-1.0, 1.0], len(x))[:, None]
+        at = rng.integers(len(x))
+        x[at, 6:14], x[at, 1:6] = 2.0, 2 * y - 1
+        bags.append(x.astype(np.float32))
+    right = {}
+    for attend in (True, False):
+        model = quality.Attention(attend=attend).fit(bags[:700], labels[:700])
+        x = (np.concatenate(bags[700:]) - model.mean) / model.spread
+        logit = model.forward(x, np.array(list(map(len, bags[700:]))))[0]
+        right[attend] = ((logit > 0) == (labels[700:] == 1)).mean()
+    assert right[True] >= 0.9 and right[True] >= right[False] + 0.1, right
+
+
+def test_the_sample_is_bounded_by_passages(spark, monkeypatch):
+    docs, labels = corpus(80, 3)
+    docs += [(i, "x" * 50_000) for i in range(3)] * 4  # ids that repeat, with another text
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+    fit = quality.Attention.fit
+    monkeypatch.setattr(quality.Attention, "fit", lambda self, bags, y: seen.append(sum(map(len, bags))) or fit(self, bags, y, epochs=1))
+    for most in (100_000, 60):
+        monkeypatch.setattr(quality, "TRAIN_PASSAGES", most)
+        quality.train(*frames)
+    assert 0 < seen[1] <= 60 < seen[0]
+
+
 def test_scores_do_not_depend_on_neighbours():
     model = quality.Attention()
     texts = ["", "short", "x " * 3000, "Ünï cödé " * 90, "\n\n", "A" * 801]

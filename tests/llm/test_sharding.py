@@ -61,3 +61,39 @@ def test_odd_rows(odd):
     assert {r["size"] for r in rows if r["doc_id"] in (900, 901)} == {1}
     assert len({r["shard"] for r in rows if r["doc_id"] == 903}) == 1
     assert shard_documents(df.limit(0)).count() == 0
+
+
+def best_spread(sizes, k):
+    """The smallest spread over all ways to deal the sizes."""
+    import itertools
+
+    best = None
+    for way in itertools.product(range(k), repeat=len(sizes) - 1):
+        sums = [0] * k
+        sums[0] += sizes[0]
+        for size, shard in zip(sizes[1:], way):
+            sums[shard] += size
+        spread = max(sums) - min(sums)
+        best = spread if best is None else min(best, spread)
+    return best
+
+
+def test_against_the_optimum_and_greedy():
+    import random
+
+    rng = random.Random(2)
+    near = beaten = 0
+    for _ in range(60):
+        k, n = rng.choice([2, 3]), rng.randrange(4, 9)
+        sizes = sorted((rng.randrange(1, 200) for _ in range(n)), reverse=True)
+        sums, went = sharding.differencing([[s] + [0] * (k - 1) for s in sizes])
+        own = [sum(s for s, w in zip(sizes, went) if w[0] == j) for j in range(k)]
+        assert sorted(own) == sorted(sums)
+        greedy = [0] * k
+        for s in sizes:
+            greedy[greedy.index(min(greedy))] += s
+        spread, least = max(sums) - min(sums), best_spread(sizes, k)
+        assert spread >= least
+        near += spread - least <= sizes[-1]
+        beaten += spread <= max(greedy) - min(greedy)
+    assert near >= 50 and beaten >= 50
