@@ -20,12 +20,17 @@ def short_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 12)
 
 
-def sign(secret: str):
+def signature(secret: str, payload: str) -> str:
     """HMAC-SHA256 of a payload as `sha256=<hex>`."""
+    return "sha256=" + hmac.new(secret.encode(), payload.encode(), hashlib.sha256).hexdigest()
+
+
+def sign(secret: str):
+    """The same for a column."""
 
     @F.pandas_udf("string")
     def run(payload: pd.Series) -> pd.Series:
-        return payload.map(lambda p: None if p is None else "sha256=" + hmac.new(secret.encode(), p.encode(), hashlib.sha256).hexdigest())
+        return payload.map(lambda p: None if p is None else signature(secret, p))
 
     return run
 

@@ -35,31 +35,31 @@ def bm25(docs: str) -> str:
            FROM posts JOIN df USING (term) JOIN asked USING (term), whole GROUP BY query_id, doc_id)"""
 
 
-def grams(rows: str, key: str) -> str:
+def grams(rows: str, key: str, buckets: int = 512) -> str:
     """(key, bucket, n) of hashed trigrams."""
-    return f"""SELECT {key}, (('0x' || left(md5(gram), 8))::BIGINT % 512)::BIGINT AS bucket, sum(c)::BIGINT AS n FROM (
+    return f"""SELECT {key}, (('0x' || left(md5(gram), 8))::BIGINT % {buckets})::BIGINT AS bucket, sum(c)::BIGINT AS n FROM (
         SELECT {key}, gram, count(*) AS c FROM (SELECT {key}, unnest(list_transform(generate_series(1, length(t) - 2), lambda i: substr(t, i::BIGINT, 3))) AS gram
         FROM (SELECT {key}, lower(text) AS t FROM {rows})) GROUP BY ALL) GROUP BY ALL"""
 
 
-def cosine(docs: str) -> str:
+def cosine(docs: str, buckets: int = 512) -> str:
     """CTEs up to vs(query_id, doc_id, vector_score)."""
     return f"""
-    dg AS ({grams(docs, 'doc_id')}), qg AS ({grams('q', 'query_id')}),
+    dg AS ({grams(docs, 'doc_id', buckets)}), qg AS ({grams('q', 'query_id', buckets)}),
     dl AS (SELECT doc_id, sqrt(sum(n * n)::DOUBLE) AS l FROM dg GROUP BY doc_id), ql AS (SELECT query_id, sqrt(sum(n * n)::DOUBLE) AS l FROM qg GROUP BY query_id),
     vs AS (SELECT query_id, doc_id, sum((dg.n / dl.l) * (qg.n / ql.l)) AS vector_score
            FROM dg JOIN dl USING (doc_id) JOIN qg USING (bucket) JOIN ql USING (query_id) GROUP BY query_id, doc_id)"""
 
 
-def hybrid(docs: str, weight: float, least: float, columns: str = "query_id, rank, doc_id, score, vector_score, keyword_score") -> str:
-    return f"""{bm25(docs)}, {cosine(docs)},
+def hybrid(docs: str, weight: float, least: float, columns: str = "query_id, rank, doc_id, score, vector_score, keyword_score", buckets: int = 512, only: str = "", select: str = "SELECT {columns} FROM ranked WHERE rank <= 5") -> str:
+    return f"""{bm25(docs)}, {cosine(docs, buckets)},
     best AS (SELECT query_id, max(keyword_score) AS best FROM kw GROUP BY query_id),
     scaled AS (SELECT query_id, doc_id, keyword_score / best AS keyword_score FROM kw JOIN best USING (query_id)),
     both_ AS (SELECT query_id, doc_id, coalesce(vector_score, 0) AS vs_, coalesce(keyword_score, 0) AS ks_ FROM vs FULL JOIN scaled USING (query_id, doc_id)),
-    fused AS (SELECT *, round((1 - {weight}::DOUBLE) * vs_ + {weight}::DOUBLE * ks_, 6) AS score FROM both_),
+    fused AS (SELECT *, round((1 - {weight}::DOUBLE) * vs_ + {weight}::DOUBLE * ks_, 6) AS score FROM both_ {only}),
     ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score,
                round(vs_, 6) AS vector_score, round(ks_, 6) AS keyword_score FROM fused WHERE score >= {least})
-    SELECT {columns} FROM ranked WHERE rank <= 5"""
+    {select.format(columns=columns)}"""
 
 
 DICTIONARY = "SELECT kb_id, keyword, count(*) AS df FROM (SELECT kb_id, unnest(list_distinct({words})) AS keyword FROM {rows}) GROUP BY ALL"
@@ -107,6 +107,37 @@ CHUNK_KEYS = f"""
     cposts AS (SELECT doc_id, doc_id::VARCHAR || ':' || chunk_ix::VARCHAR AS chunk, keyword, count(*) AS tf FROM (SELECT doc_id, chunk_ix, unnest({words('content')}) AS keyword FROM chunks) GROUP BY ALL),
     ck AS (SELECT doc_id, keyword, chunk, tf FROM cposts SEMI JOIN kws USING (doc_id, keyword))"""
 
+def chunk_id() -> str:
+    return "substr(sha256(doc_id::VARCHAR || chr(31) || chunk_ix::VARCHAR), 1, 12)"
+
+
+# one base's chunks from document 10 on, the mean vector of each language, and the two nearest languages of each query
+BASE = f"""b AS (SELECT * FROM d WHERE kb_id = 'src3'), every_ AS (SELECT {chunk_id()} AS doc_id, x.doc_id AS of_doc, x.content AS text, list_position(['en', 'de', 'es', 'fr'], b.lang) AS cl
+        FROM ({exploded('b', fixed('text'))}) x JOIN b ON b.doc_id = x.doc_id),
+    ch AS (SELECT * FROM every_ WHERE of_doc >= 10)""".replace("sha256(doc_id", "sha256(x.doc_id").replace("|| chunk_ix", "|| x.chunk_ix")
+NEAR = f"""eg AS ({grams('every_', 'doc_id', 128)}), el AS (SELECT doc_id, sqrt(sum(n * n)::DOUBLE) AS l FROM eg GROUP BY doc_id),
+    cn AS (SELECT cl, count(*) AS m FROM every_ GROUP BY cl),
+    cent AS (SELECT cl, bucket, sum(eg.n / el.l) / any_value(m) AS c FROM eg JOIN el USING (doc_id) JOIN every_ USING (doc_id) JOIN cn USING (cl) GROUP BY cl, bucket),
+    cl2 AS (SELECT cl, sum(c * c) AS s FROM cent GROUP BY cl),
+    nq AS (SELECT * FROM ({grams('q', 'query_id', 128)})), nl AS (SELECT query_id, sqrt(sum(n * n)::DOUBLE) AS l FROM nq GROUP BY query_id),
+    pq AS (SELECT nq.query_id, cl, sum(nq.n / nl.l * c) AS p FROM nq JOIN nl USING (query_id) JOIN cent USING (bucket) GROUP BY ALL),
+    near_ AS (SELECT q.query_id, cl2.cl FROM q CROSS JOIN cl2 LEFT JOIN pq ON pq.query_id = q.query_id AND pq.cl = cl2.cl
+        QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY round(s - 2 * coalesce(p, 0), 6), cl2.cl) <= 2)"""
+
+
+def answered(select: str) -> str:
+    return f"WITH {DOCS}, {ASKED}, {BASE}, {NEAR}, {hybrid('ch', 0.4, 0.05, buckets=128, only='JOIN ch USING (doc_id) JOIN near_ USING (query_id, cl)', select=select)}"
+
+
+HOOKS = """t AS (SELECT ['document.ingested', 'document.failed', 'clusters.retrained'] AS t),
+    hooks AS (SELECT n_regionkey::VARCHAR AS paired_client_id, n_name AS id, 'https://hooks.example/' || n_name AS url, [t[n_nationkey % 3 + 1], t[(n_nationkey + 1) % 3 + 1]] AS events FROM nation, t)"""
+ENDPOINTS = """old AS (SELECT n_regionkey::VARCHAR AS paired_client_id, 'local' AS source, n_name AS external_id, 'm0' AS model FROM nation),
+    new AS (SELECT (s_nationkey % 3)::VARCHAR AS paired_client_id, 'mirrored' AS source, s_name AS external_id, 'm' || (s_suppkey % 7) AS model FROM supplier),
+    put AS (SELECT *, substr(sha256(paired_client_id || chr(31) || source || chr(31) || external_id), 1, 12) AS id
+            FROM (SELECT * FROM old WHERE paired_client_id NOT IN (SELECT paired_client_id FROM new) UNION ALL SELECT * FROM new))"""
+TAGS = f"""{DOCS}, {TAGGED}, defs AS (SELECT DISTINCT kb_id, slot, name FROM (SELECT kb_id, 'tag1' AS slot, 'language' AS name FROM t WHERE tag1 IS NOT NULL
+    UNION ALL SELECT kb_id, 'tag2', 'quality' FROM t WHERE tag2 IS NOT NULL UNION ALL SELECT kb_id, 'tag3', 'toxic' FROM t WHERE tag3 IS NOT NULL))"""
+
 ORACLE_SQL: dict[str, str] = {
     "kb_list": f"WITH {DOCS} " + KB_LIST.format(where=""),
     "kb_get": f"WITH {DOCS} " + KB_LIST.format(where="WHERE kb_id = 'src7'"),
@@ -191,4 +222,35 @@ ORACLE_SQL: dict[str, str] = {
     "event_feed_dedupe": "SELECT DISTINCT event_id, event_type FROM events",
     "ingest_stream": f"""WITH {DOCS} SELECT kb_id, kb_part, doc_id, count(*) AS n_chunks, sum(length(content))::BIGINT AS n_chars
         FROM ({exploded('d', fixed('text'))}) JOIN d USING (doc_id) GROUP BY kb_id, kb_part, doc_id""",
+    "kb_create": f"""WITH {DOCS}, {KBS}, own AS (SELECT kb_id, substr(sha256(kb_id), 1, 12) AS kb_part, 200::BIGINT AS chunk_size, 50::BIGINT AS chunk_overlap, no % 5 + 2 AS kmeans_k FROM k),
+        new AS (SELECT CASE WHEN n_nationkey % 5 = 0 THEN 'src' || n_nationkey ELSE n_name END AS kb_id, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey + 100 ELSE 200 END::BIGINT AS chunk_size, (n_nationkey % 4 + 2)::BIGINT AS kmeans_k FROM nation)
+        SELECT * FROM own UNION ALL SELECT kb_id, substr(sha256(kb_id), 1, 12), chunk_size, 50, kmeans_k FROM new WHERE kb_id NOT IN (SELECT kb_id FROM own)""",
+    "tag_definitions": f"WITH {TAGS} SELECT * FROM defs",
+    "tag_definitions_put": f"WITH {TAGS} SELECT * FROM defs WHERE kb_id NOT IN ('src1', 'src2') UNION ALL SELECT DISTINCT kb_id, 'tag1', 'tongue' FROM d WHERE kb_id IN ('src1', 'src2')",
+    "endpoints_put": f"WITH {ENDPOINTS} SELECT paired_client_id, id, source, external_id, model FROM put",
+    "endpoints_put_ids": f"WITH {ENDPOINTS} SELECT paired_client_id, id, external_id FROM put WHERE source = 'mirrored'",
+    "endpoint_external_ids": f"""WITH {ENDPOINTS} SELECT id, external_id, CASE WHEN s_acctbal > 0 THEN 'listed' || (s_suppkey % 7) END AS model, s_acctbal > 0 AS found
+        FROM put JOIN supplier ON s_name = external_id WHERE source = 'mirrored'""",
+    "webhooks_put": f"""WITH {HOOKS} SELECT paired_client_id, id, url, array_to_string(events, ',') AS events FROM hooks WHERE paired_client_id NOT IN ('0', '1')
+        UNION ALL SELECT r_regionkey::VARCHAR, substr(sha256(r_regionkey::VARCHAR || chr(31) || 'https://new.example/' || r_name), 1, 12), 'https://new.example/' || r_name, 'document.ingested' FROM region WHERE r_regionkey < 2""",
+    "emit_events": f"""WITH {DOCS}, e AS (SELECT doc_id, kb_id, CASE WHEN length(text) >= 100 THEN 'document.ingested' ELSE 'document.failed' END AS event_type FROM d)
+        SELECT substr(sha256(event_type || chr(31) || doc_id::VARCHAR), 1, 12) AS event_id, event_type, kb_id, doc_id FROM e""",
+    "webhook_delivery": f"""WITH {HOOKS}, e AS (SELECT event_id, CASE event_type WHEN 'purchase' THEN 'document.ingested' WHEN 'error' THEN 'document.failed' WHEN 'signup' THEN 'clusters.retrained' END AS event_type FROM events),
+        p AS (SELECT id AS webhook_id, event_id, event_id % 10 <> 7 AS good FROM e JOIN (SELECT id, unnest(events) AS event_type FROM hooks) USING (event_type))
+        SELECT webhook_id, count(*) AS n_events, count(*) FILTER (good) AS n_delivered, max(CASE WHEN good THEN 1 ELSE 3 END)::BIGINT AS max_attempts, max(CASE WHEN NOT good THEN 'status 503' END) AS last_error FROM p GROUP BY 1""",
+    "failed_redeems": "SELECT user_id AS code, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'error') >= 5 AS locked FROM events GROUP BY 1",
+    "doc_delete_cascade": f"""WITH {DOCS}, l AS (SELECT * FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), c AS ({exploded('l', 'string_split(text, chr(10))')}),
+        w AS (SELECT DISTINCT doc_id, chunk_ix, unnest({words('content')}) AS term FROM c)
+        SELECT 'document' AS name, count(*) AS n_rows, count(DISTINCT doc_id) AS n_docs FROM l UNION ALL SELECT 'chunk', count(*), count(DISTINCT doc_id) FROM c UNION ALL SELECT 'chunk_keyword', count(*), count(DISTINCT doc_id) FROM w""",
+    "patch_chunk_reembed": f"""WITH {DOCS}, c AS ({LINES}), r AS (SELECT doc_id, reverse(content) AS text FROM c WHERE chunk_ix = 0), g AS (SELECT doc_id, count(*) AS n FROM ({grams('r', 'doc_id', 128)}) GROUP BY 1)
+        SELECT doc_id, chunk_ix, length(content) AS n_chars, CASE WHEN chunk_ix = 0 THEN coalesce(n, 0) ELSE -1 END AS n_buckets FROM c LEFT JOIN g USING (doc_id)""",
+    "doc_kb_join": f"WITH {DOCS}, {KBS} SELECT kb_id, doc_id, no % 5 + 2 AS kmeans_k FROM d JOIN k USING (kb_id)",
+    "chunk_doc_join": f"WITH {DOCS}, c AS ({LINES}) SELECT doc_id, chunk_ix, {chunk_id()} AS chunk_id, kb_id, lang FROM c JOIN d USING (doc_id)",
+    "kb_partition_scan": f"WITH {DOCS} SELECT doc_id, kb_id FROM d WHERE kb_id = 'src3'",
+    "job_queue": f"""WITH {DOCS} SELECT 'ingest.document' AS job, kb_id, count(*) AS n_jobs, count(*) AS n_docs FROM d GROUP BY 2 UNION ALL SELECT DISTINCT 'keywords.extract', kb_id, 1, 0 FROM d""",
+    "ingest_to_end": f"""WITH {DOCS}, c AS ({exploded('d', fixed('text'))}) SELECT doc_id, 'document.ingested' AS event_type, kb_id, count(*) AS n_chunks, count(*) AS n_embedded, (max(chunk_ix) // 32 + 1)::BIGINT AS n_batches
+        FROM c JOIN d USING (doc_id) GROUP BY doc_id, kb_id""",
+    "kb_query": answered("SELECT query_id, rank, doc_id AS chunk_id, score, vector_score, keyword_score FROM ranked WHERE rank <= 5"),
+    "kb_query_usage": f"""WITH {DOCS}, {ASKED}, {BASE} SELECT (SELECT count(*) FROM every_) AS scanned, (SELECT count(*) FROM ch) AS kept, (SELECT coalesce(sum(len({words('text')})), 0)::BIGINT FROM q) AS query_tokens""",
+    "kb_query_diagnostics": answered("SELECT query_id, count(rank) AS matches, max(score) AS best_score, min(score) AS least_score FROM q LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) USING (query_id) GROUP BY query_id"),
 }

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import kb_part
+from ..functions.keys import kb_part, short_id
 from ..functions.text import chunks_fixed, chunks_lines, chunks_recursive, chunks_sentences, html_to_text, token_count
 from ..operators import access, catalog, clusters, embedding, keywords, mutations, retrieval
+from ..operators.trigrams import TrigramEmbedder
 from ..sources.tables import chunk_table, documents, table, tagged_documents
 from ..streaming import events as feed
 from ..streaming import ingest
@@ -207,7 +208,7 @@ def embed_hash_ngram(spark, sf_dir):
     return embedding.hash_ngram(documents(spark, sf_dir), "doc_id", BUCKETS)
 
 
-# search
+# retrieval
 
 
 @query
@@ -458,3 +459,206 @@ def ingest_stream(spark, sf_dir):
     ingest.run_ingest(ingest.document_stream(spark, path, schema), sink, scratch(spark, "ingest-state"), SIZE, OVERLAP)
     chunks = spark.read.schema("kb_id string, kb_part string, doc_id long, chunk_ix int, n_chars int").parquet(sink)
     return chunks.groupBy("kb_id", "kb_part", "doc_id").agg(F.count("*").alias("n_chunks"), F.sum("n_chars").alias("n_chars"))
+
+
+# what a service changes and answers
+
+NAMES = {"tag1": "language", "tag2": "quality", "tag3": "toxic"}
+CHUNK_BUCKETS = 128
+
+
+def _nation(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("client"))
+
+
+@query
+def kb_create(spark, sf_dir):
+    """Nations become knowledge bases; some ask for an id that is taken, some leave settings out."""
+    own = _kbs(spark, sf_dir).select("kb_id", kb_part(F.col("kb_id")).alias("kb_part"), F.lit(200).cast("long").alias("chunk_size"), F.lit(50).cast("long").alias("chunk_overlap"), "kmeans_k")
+    new = _nation(spark, sf_dir).select(
+        F.when(F.col("key") % 5 == 0, F.concat(F.lit("src"), "key")).otherwise(F.col("name")).alias("kb_id"),
+        F.when(F.col("key") % 2 == 0, F.col("key") + 100).alias("chunk_size"), F.lit(None).cast("long").alias("chunk_overlap"), (F.col("key") % 4 + 2).alias("kmeans_k"),
+    )
+    return catalog.create_kbs(own, new)
+
+
+@query
+def tag_definitions(spark, sf_dir):
+    return catalog.tag_definitions(tagged_documents(spark, sf_dir), NAMES)
+
+
+@query
+def tag_definitions_put(spark, sf_dir):
+    """Two bases put one definition, which replaces all they had."""
+    old = catalog.tag_definitions(tagged_documents(spark, sf_dir), NAMES)
+    new = _kbs(spark, sf_dir).where("kb_id in ('src1', 'src2')").select("kb_id", F.lit("tag1").alias("slot"), F.lit("tongue").alias("name"))
+    return mutations.replace_set(old, new, "kb_id")
+
+
+def _put_endpoints(spark, sf_dir):
+    """Clients are regions, with their nations as endpoints; three of them declare suppliers as mirrored ones."""
+    old = _nation(spark, sf_dir).select("client", F.lit("local").alias("source"), F.col("name").alias("external_id"), F.lit("m0").alias("model"))
+    old = old.select(F.col("client").alias("paired_client_id"), short_id(F.col("client"), F.col("source"), F.col("external_id")).alias("id"), "source", "external_id", "model")
+    new = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 3).cast("string").alias("paired_client_id"), F.lit("mirrored").alias("source"), F.col("s_name").alias("external_id"), F.concat(F.lit("m"), F.col("s_suppkey") % 7).alias("model"))
+    return mutations.put_endpoints(old, new)
+
+
+@query
+def endpoints_put(spark, sf_dir):
+    return _put_endpoints(spark, sf_dir)[0]
+
+
+@query
+def endpoints_put_ids(spark, sf_dir):
+    return _put_endpoints(spark, sf_dir)[1]
+
+
+@query
+def endpoint_external_ids(spark, sf_dir):
+    """The resolver lists suppliers with money."""
+    listed = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_name").alias("external_id"), F.concat(F.lit("listed"), F.col("s_suppkey") % 7).alias("model"))
+    return catalog.resolved(_put_endpoints(spark, sf_dir)[0], listed)
+
+
+def _hooks(spark, sf_dir):
+    """Nations as webhooks, each of two event types."""
+    types = F.array(*[F.lit(t) for t in feed.EVENT_TYPES])
+    return _nation(spark, sf_dir).select(
+        F.col("client").alias("paired_client_id"), F.col("name").alias("id"), F.concat(F.lit("https://hooks.example/"), "name").alias("url"),
+        F.array(types[(F.col("key") % 3).cast("int")], types[((F.col("key") + 1) % 3).cast("int")]).alias("events"),
+    )
+
+
+@query
+def webhooks_put(spark, sf_dir):
+    new = table(spark, sf_dir, "region").where("r_regionkey < 2").select(F.col("r_regionkey").cast("string").alias("paired_client_id"), F.concat(F.lit("https://new.example/"), "r_name").alias("url"), F.array(F.lit(feed.EVENT_TYPES[0])).alias("events"))
+    return mutations.put_webhooks(_hooks(spark, sf_dir), new).select("paired_client_id", "id", "url", F.array_join("events", ",").alias("events"))
+
+
+@query
+def emit_events(spark, sf_dir):
+    """Documents of fewer than 100 characters count as failed."""
+    done = documents(spark, sf_dir).select("doc_id", "kb_id", (F.length("text") >= 100).alias("finished"))
+    return feed.of_documents(done).select("event_id", "event_type", "kb_id", F.get_json_object("payload", "$.doc_id").cast("long").alias("doc_id"))
+
+
+@query
+def webhook_delivery(spark, sf_dir):
+    """Purchases, errors and sign-ups are events of the three types. A receiver refuses an event whose number ends in 7 every time."""
+    kinds = F.when(F.col("event_type") == "purchase", feed.EVENT_TYPES[0]).when(F.col("event_type") == "error", feed.EVENT_TYPES[1]).when(F.col("event_type") == "signup", feed.EVENT_TYPES[2])
+    rows = table(spark, sf_dir, "events").select("event_id", kinds.alias("event_type"), F.to_json(F.struct("event_id", "user_id")).alias("payload")).where("event_type is not null")
+
+    def send(url: str, body: str, headers: dict[str, str]) -> str | None:
+        good = headers["x-signature"].startswith("sha256=") and not headers["x-event-id"].endswith("7")
+        return None if good else "status 503"
+
+    ledger = feed.deliver(feed.due_deliveries(rows, _hooks(spark, sf_dir)), send, "secret", lambda now: kept(spark, now, "deliveries"), most=3)
+    return feed.ledger(ledger.withColumn("created_at", F.lit(None).cast("timestamp"))).withColumn("max_attempts", F.col("max_attempts").cast("long"))
+
+
+def kept(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """Rows written and read again."""
+    path = scratch(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query
+def failed_redeems(spark, sf_dir):
+    """Events are attempts to redeem a user's code; errors failed."""
+    tries = table(spark, sf_dir, "events").select(F.col("user_id").alias("code"), (F.col("event_type") != "error").alias("ok"))
+    return access.failed_redeems(tries)
+
+
+@query
+def doc_delete_cascade(spark, sf_dir):
+    """Toxic documents go, with their chunks and the words of these: what is left in each table."""
+    docs = documents(spark, sf_dir)
+    chunks = chunk_table(docs, "line").select("doc_id", "chunk_ix", F.col("content").alias("text"))
+    words = keywords.postings(chunks.select(F.struct("doc_id", "chunk_ix").alias("key"), "text"), "key").select("key.doc_id", "key.chunk_ix", "term")
+    left = mutations.delete_documents({"document": docs, "chunk": chunks, "chunk_keyword": words}, table(spark, sf_dir, "labels").where("toxic = 1"))
+    counts = [rows.groupBy().agg(F.count("*").alias("n_rows"), F.countDistinct("doc_id").alias("n_docs")).select(F.lit(name).alias("name"), "n_rows", "n_docs") for name, rows in left.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query
+def patch_chunk_reembed(spark, sf_dir):
+    """First lines are reversed and embedded anew, all others keep their vectors: how many buckets of a vector are in use."""
+    embedder = TrigramEmbedder(CHUNK_BUCKETS)
+    chunks = chunk_table(documents(spark, sf_dir), "line").select("doc_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), "content", F.lit(None).cast("array<float>").alias("embedding"))
+    new = mutations.patch_chunks(chunks, F.col("chunk_ix") == 0, embedder, content=F.reverse("content"))
+    return new.select("doc_id", "chunk_ix", F.length("content").cast("long").alias("n_chars"), F.coalesce(F.size(F.filter("embedding", lambda x: x > 0)), F.lit(-1)).cast("long").alias("n_buckets"))
+
+
+@query
+def doc_kb_join(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", "kb_id").join(_kbs(spark, sf_dir).select("kb_id", "kmeans_k"), "kb_id")
+
+
+@query
+def chunk_doc_join(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    chunks = chunk_table(docs, "line").select("doc_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), "chunk_id")
+    return chunks.join(docs.select("doc_id", "kb_id", "lang"), "doc_id")
+
+
+@query
+def kb_partition_scan(spark, sf_dir):
+    """One base's rows of a table with a partition for each base: only its directory is read."""
+    path = scratch(spark, "by-base")
+    mutations.overwrite_partitions(documents(spark, sf_dir).select("kb_part", "doc_id", "kb_id").repartition("kb_part"), path)
+    return spark.read.schema("doc_id long, kb_id string, kb_part string").parquet(path).where(F.col("kb_part") == kb_part(F.lit("src3"))).select("doc_id", "kb_id")
+
+
+@query
+def job_queue(spark, sf_dir):
+    """Every document waits to be ingested and every base for its keywords; a worker takes both kinds."""
+    queue, done = scratch(spark, "queue"), scratch(spark, "done")
+    docs = documents(spark, sf_dir)
+    ingest.enqueue(docs.select(F.lit("ingest.document").alias("job"), "kb_id", "doc_id"), queue)
+    ingest.enqueue(docs.select(F.lit("keywords.extract").alias("job"), "kb_id", F.lit(None).cast("long").alias("doc_id")).distinct(), queue)
+
+    def handler(job: str):
+        return lambda jobs, number: jobs.write.mode("overwrite").parquet(f"{done}/job={job}/batch={number}")
+
+    ingest.work(spark, queue, scratch(spark, "queue-state"), {job: handler(job) for job in ("ingest.document", "keywords.extract")})
+    return spark.read.schema("job string, kb_id string, doc_id long").parquet(done).groupBy("job", "kb_id").agg(F.count("*").alias("n_jobs"), F.count("doc_id").alias("n_docs"))
+
+
+@query
+def ingest_to_end(spark, sf_dir):
+    """From text to event: how many chunks and batches a document has, and which event it raised."""
+    path, schema = _streamed(spark, sf_dir, "documents")
+    sink = scratch(spark, "whole-ingest")
+    ingest.run_to_end(ingest.document_stream(spark, path, schema), sink, scratch(spark, "whole-state"), TrigramEmbedder(64), SIZE, OVERLAP)
+    chunks = spark.read.schema("doc_id long, embedding array<float>").parquet(f"{sink}/chunk").groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.count("embedding").alias("n_embedded"))
+    batches = spark.read.schema("doc_id long, done boolean").parquet(f"{sink}/embed_batch").groupBy("doc_id").agg(F.count("*").alias("n_batches"))
+    events = spark.read.schema("event_type string, kb_id string, payload string").parquet(f"{sink}/event").select("event_type", "kb_id", F.get_json_object("payload", "$.doc_id").cast("long").alias("doc_id"))
+    return events.join(chunks, "doc_id").join(batches, "doc_id")
+
+
+def _answer(spark, sf_dir) -> retrieval.Answer:
+    """A client that sees two bases asks one of them; clusters stand for the languages of its chunks' documents."""
+    clients = spark.createDataFrame([("c1", ["src0", "src3"], None)], "id string, kb_ids array<string>, revoked_at timestamp")
+    docs = documents(spark, sf_dir)
+    language = F.array_position(F.array(*[F.lit(x) for x in ("en", "de", "es", "fr")]), F.col("lang")).cast("int")
+    chunks = chunk_table(docs, "fixed", SIZE, OVERLAP).join(docs.select("doc_id", language.alias("cluster_id")), "doc_id").select("chunk_id", "kb_id", "kb_part", "doc_id", "cluster_id", F.col("content").alias("text"))
+    base = chunks.where("kb_id = 'src3'").select("cluster_id", embedding.embed_with(TrigramEmbedder(CHUNK_BUCKETS))("text").alias("embedding"))
+    centroids = clusters.centroids_of(base, "cluster_id")
+    where = {"field": "doc_id", "op": ">=", "value": 10}
+    return retrieval.answer(chunks, clients, "c1", "src3", asked_texts(spark, sf_dir), TOP, where, neighbour_clusters=1, centroids=centroids, buckets=CHUNK_BUCKETS, min_score=0.05)
+
+
+@query
+def kb_query(spark, sf_dir):
+    return _answer(spark, sf_dir).matches
+
+
+@query
+def kb_query_usage(spark, sf_dir):
+    return _answer(spark, sf_dir).usage
+
+
+@query
+def kb_query_diagnostics(spark, sf_dir):
+    return _answer(spark, sf_dir).diagnostics

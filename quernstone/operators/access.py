@@ -29,3 +29,9 @@ def valid_codes(codes: DataFrame, now, attempts: int = 5) -> DataFrame:
 
 def active_clients(clients: DataFrame, revoked_serials: DataFrame) -> DataFrame:
     return clients.where("revoked_at is null").join(revoked_serials, "cert_serial", "left_anti")
+
+
+def failed_redeems(attempts: DataFrame, most: int = 5) -> DataFrame:
+    """(code, failed, locked): failed attempts to redeem a code, and whether they reach the cap."""
+    counted = attempts.groupBy("code").agg(F.sum(F.when(F.col("ok"), 0).otherwise(1)).alias("failed"))
+    return counted.withColumn("locked", F.col("failed") >= most)

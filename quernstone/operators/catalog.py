@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import kb_part
+
 SLOTS = tuple(f"tag{i}" for i in range(1, 8))
 
 
@@ -14,6 +16,30 @@ def kb_list(docs: DataFrame) -> DataFrame:
     )
 
 
+def create_kbs(kbs: DataFrame, new: DataFrame, chunk_size: int = 200, chunk_overlap: int = 50, kmeans_k: int = 8) -> DataFrame:
+    """The knowledge bases (kb_id, kb_part, chunk_size, chunk_overlap, kmeans_k) and the new ones, settings that are null by default.
+
+    A new one whose id is taken is left out; of new ones with one id the first by its settings stays.
+    """
+    settings = [F.coalesce(F.col(c), F.lit(v)).cast("long").alias(c) for c, v in (("chunk_size", chunk_size), ("chunk_overlap", chunk_overlap), ("kmeans_k", kmeans_k))]
+    made = new.join(kbs.select("kb_id"), "kb_id", "left_anti").select("kb_id", kb_part(F.col("kb_id")).alias("kb_part"), *settings)
+    first = made.groupBy("kb_id", "kb_part").agg(F.min(F.struct("chunk_size", "chunk_overlap", "kmeans_k")).alias("s")).select("kb_id", "kb_part", "s.*")
+    return kbs.unionByName(first)
+
+
+def tag_definitions(tagged: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(kb_id, slot, name): the slots that a knowledge base's documents use, and what they are called."""
+    used = F.explode(F.array(*[F.when(F.col(s).isNotNull(), F.struct(F.lit(s).alias("slot"), F.lit(n).alias("name"))) for s, n in names.items()]))
+    return tagged.select("kb_id", used.alias("t")).where("t is not null").select("kb_id", "t.slot", "t.name").distinct()
+
+
+def resolved(endpoints: DataFrame, listed: DataFrame) -> DataFrame:
+    """(id, external_id, model, found): mirrored endpoints with what the resolver lists for their external ids."""
+    known = listed.select("external_id", "model", F.lit(True).alias("found"))
+    mirrored = endpoints.where("source = 'mirrored'").select("id", "external_id")
+    return mirrored.join(known, "external_id", "left").select("id", "external_id", "model", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def page(rows: DataFrame, order: str, limit: int, offset: int = 0) -> DataFrame:
     """A page of a listing, by id."""
     return rows.orderBy(order).offset(offset).limit(limit)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..jobs.scratch import remove
+from ..functions.keys import short_id
 from ..schemas import SCHEMA_VERSION, TABLES
+from .embedding import Embedder, embed_with
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, key: list[str], version: str, tie: str) -> DataFrame:
@@ -19,6 +21,36 @@ def delete(rows: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     return rows.join(keys, on, "left_anti")
 
 
+def delete_documents(tables: dict[str, DataFrame], keys: DataFrame) -> dict[str, DataFrame]:
+    """Every table without the rows of the documents: the documents themselves, their chunks, what hangs on these."""
+    keys = keys.select("doc_id").distinct()
+    return {name: delete(rows, keys, "doc_id") for name, rows in tables.items()}
+
+
+def patch_chunks(chunks: DataFrame, where: Column, embedder: Embedder, **values: Column) -> DataFrame:
+    """Chunks (content, embedding, ...) with changes where a condition holds; only those that change are embedded anew."""
+    hit = F.coalesce(where, F.lit(False))
+    changed = chunks.where(hit).withColumns(values)
+    if "content" in values:
+        changed = changed.withColumn("embedding", embed_with(embedder)("content"))
+    return chunks.where(~hit).unionByName(changed)
+
+
+def put_endpoints(old: DataFrame, declared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The endpoints after clients declared theirs (paired_client_id, source, external_id, model), and the map (id, external_id).
+
+    What a client declares replaces all that it had. An id follows from the client, the source and the external id.
+    """
+    new = declared.withColumn("id", short_id(F.col("paired_client_id"), F.col("source"), F.col("external_id"))).select(*old.columns)
+    return replace_set(old, new, "paired_client_id"), new.select("paired_client_id", "id", "external_id")
+
+
+def put_webhooks(old: DataFrame, declared: DataFrame) -> DataFrame:
+    """The webhooks after clients declared theirs (paired_client_id, url, events)."""
+    new = declared.withColumn("id", short_id(F.col("paired_client_id"), F.col("url"))).select(*old.columns)
+    return replace_set(old, new, "paired_client_id")
+
+
 def patch(rows: DataFrame, where: Column, **values: Column) -> DataFrame:
     """Rows with some columns changed where a condition holds; where it is unknown they stay."""
     return rows.withColumns({name: F.when(where, value).otherwise(F.col(name)) for name, value in values.items()})

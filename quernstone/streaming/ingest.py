@@ -1,14 +1,21 @@
-"""Ingest as a stream: documents to chunks, batch by batch."""
+"""Ingest as a stream: documents to chunks, their vectors, keywords and events, batch by batch; a queue of jobs."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.keys import kb_part
-from ..operators.mutations import upsert_latest
+from ..operators.embedding import Embedder, embed_with
+from ..operators.keywords import dictionary
 from ..sources.tables import chunk_table
+from .events import of_documents
+
+# Kinds of jobs.
+JOBS = ("ingest.document", "embed.batch", "embed.finalize", "clusters.validate", "keywords.extract", "document.timeout-sweep")
 
 
 def document_stream(spark: SparkSession, path: str, schema: StructType, files: int = 8) -> DataFrame:
@@ -27,8 +34,49 @@ def run_ingest(docs: DataFrame, sink: str, checkpoint: str, size: int = 200, ove
     docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def merge_batches(old: DataFrame, new: DataFrame) -> DataFrame:
-    return upsert_latest(old, new, ["kb_id", "filename"], "version", "doc_id")
+def run_to_end(docs: DataFrame, sink: str, checkpoint: str, embedder: Embedder, size: int = 200, overlap: int = 50, per_batch: int = 32) -> None:
+    """Everything that has arrived, from text to event: chunk, embed in batches, count keywords, finalize, emit.
+
+    Each stage is written to a directory of its batch below `sink` (chunk, embed_batch, keyword, event) and the next one reads
+    it, so a batch that is repeated after a failure replaces itself, and no chunk is embedded twice in a batch.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+
+        def kept(rows: DataFrame, name: str) -> DataFrame:
+            path = f"{sink}/{name}/batch={number}"
+            rows.write.mode("overwrite").parquet(path)
+            return spark.read.schema(rows.schema).parquet(path)
+
+        named = batch.withColumn("kb_id", F.col("source")).withColumn("kb_part", kb_part(F.col("source")))
+        chunks = chunk_table(named, "fixed", size, overlap).withColumn("batch_ix", F.floor(F.col("chunk_ix") / per_batch).cast("int"))
+        chunks = kept(chunks.withColumn("embedding", F.when(F.length("content") > 0, embed_with(embedder)("content"))), "chunk")
+        batches = kept(chunks.groupBy("kb_id", "doc_id", "batch_ix").agg(F.bool_and(F.col("embedding").isNotNull()).alias("done")), "embed_batch")
+        kept(dictionary(named), "keyword")
+        done = named.select("doc_id", "kb_id").join(finalize(batches), "doc_id", "left")  # a document without text has no batch
+        kept(of_documents(done.withColumn("finished", F.coalesce("finished", F.lit(False)))), "event")
+
+    docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def enqueue(jobs: DataFrame, queue: str) -> None:
+    """Put jobs (job, kb_id, doc_id) into a queue's directory; workers read it as a stream."""
+    unknown = jobs.where(~F.col("job").isin(list(JOBS))).limit(1).collect()
+    if unknown:
+        raise ValueError(f"unknown job {unknown[0]['job']!r}")
+    jobs.select("job", "kb_id", "doc_id").write.mode("append").parquet(queue)
+
+
+def work(spark: SparkSession, queue: str, checkpoint: str, handlers: dict[str, Callable[[DataFrame, int], None]]) -> None:
+    """Hand each kind of waiting jobs to its handler, with the batch's number; what was handled is not handed out again."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        for job, handle in handlers.items():
+            handle(batch.where(F.col("job") == job), number)
+
+    stream = spark.readStream.schema("job string, kb_id string, doc_id long").parquet(queue)
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def finalize(batches: DataFrame) -> DataFrame:

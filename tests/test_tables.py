@@ -113,12 +113,114 @@ def test_command_line():
         parser().parse_args(["fly"])
 
 
-def test_windows_and_feed(spark, tmp_path):
+def test_feed(spark, tmp_path):
     rows = spark.createDataFrame([(1, T, "a"), (1, T, "a"), (2, T, "b")], "event_id long, ts timestamp, event_type string")
     rows.write.parquet(f"{tmp_path}/in")
     stream = events.event_stream(spark, f"{tmp_path}/in", rows.schema)
     events.append_to(events.deduplicated(stream).select("event_id"), f"{tmp_path}/out", f"{tmp_path}/state")
     assert sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
-    counted = events.windowed_counts(stream).writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
-    counted.awaitTermination()
-    assert {(r["event_type"], r["n"]) for r in spark.table("counted").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_lake_by_command_line(spark, tmp_path, capsys):
+    from quernstone.jobs import cli
+
+    lake, drop = f"{tmp_path}/lake", tmp_path / "drop"
+    drop.mkdir()
+    (drop / "a.txt").write_text("one " * 100)
+    (drop / "b.html").write_text("<p>two</p>")
+    (drop / "c.bin").write_bytes(b"\x00")
+    for argv in (["kb", "create", lake, "k"], ["kb", "create", lake, "k"], ["kb", "create", lake, "other"], ["ingest", lake, "k", str(drop)], ["ingest", lake, "other", str(drop)]):
+        cli.main(argv, spark)
+    assert "create k: done\ncreate k: taken" in capsys.readouterr().out
+    counts = lambda: {r["kb_id"]: (r["n_docs"], r["n_chunks"], r["n_embedded"]) for r in cli.status(spark, lake).collect()}
+    assert counts() == {"k": (2, 4, 4), "other": (2, 4, 4)}
+    (drop / "a.txt").write_text("short")
+    cli.main(["ingest", lake, "k", str(drop)], spark)
+    assert counts() == {"k": (2, 2, 2), "other": (2, 4, 4)}
+    cli.main(["kb", "rm", lake, "k"], spark)
+    assert counts() == {"other": (2, 4, 4)}
+    with pytest.raises(ValueError):
+        cli.main(["ingest", lake, "k", str(drop)], spark)
+
+
+def test_only_the_base_s_partition_is_read(spark, sf_dir):
+    from quernstone.jobs.queries import QUERIES
+
+    plan = QUERIES["kb_partition_scan"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(kb_part" in plan
+
+
+def test_new_bases(spark):
+    old = spark.createDataFrame([("a", "p", 1, 2, 3)], "kb_id string, kb_part string, chunk_size long, chunk_overlap long, kmeans_k long")
+    new = spark.createDataFrame([("a", 9, 9, 9), ("b", None, 7, None), ("b", None, 8, None)], "kb_id string, chunk_size long, chunk_overlap long, kmeans_k long")
+    assert {(r["kb_id"], r["chunk_size"], r["chunk_overlap"], r["kmeans_k"]) for r in catalog.create_kbs(old, new).collect()} == {("a", 1, 2, 3), ("b", 200, 7, 8)}
+
+
+def test_declared_endpoints_replace(spark):
+    schema = "paired_client_id string, id string, source string, external_id string, model string"
+    old = spark.createDataFrame([("c", "1", "local", "x", "m"), ("d", "2", "local", "y", "m")], schema)
+    new, ids = mutations.put_endpoints(old, spark.createDataFrame([("c", "mirrored", "z", "n")], "paired_client_id string, source string, external_id string, model string"))
+    rows = {r["external_id"]: r["id"] for r in new.collect()}
+    assert set(rows) == {"y", "z"} and [(r["id"], r["external_id"]) for r in ids.collect()] == [(rows["z"], "z")]
+
+
+def test_failed_deliveries_are_tried_again(spark, tmp_path):
+    hooks = spark.createDataFrame([("h", "http://a", ["document.ingested"]), ("g", "http://b", ["document.failed"])], "id string, url string, events array<string>")
+    docs = spark.createDataFrame([(1, "k", True), (2, "k", True), (3, "k", False)], "doc_id long, kb_id string, finished boolean")
+    due = events.due_deliveries(events.of_documents(docs), hooks)
+    assert due.count() == 3 and events.due_deliveries(events.of_documents(docs), hooks, few=0).count() == 3
+    log = tmp_path / "sent"
+
+    def send(url, body, headers):
+        from quernstone.functions.keys import signature
+
+        assert headers["x-signature"] == signature("s", body) and headers["x-event-id"]
+        with open(log, "a") as f:
+            f.write(f"{url}\n")
+        return "refused" if url == "http://b" else None
+
+    def keep(rows):
+        path = f"{tmp_path}/round-{len(list(tmp_path.iterdir()))}"
+        rows.write.parquet(path)
+        return spark.read.parquet(path)
+
+    rows = events.deliver(due, send, "s", keep, most=3).collect()
+    assert sorted((r["webhook_id"], r["status"], r["attempts"]) for r in rows) == [("g", "failed", 1), ("g", "failed", 2), ("g", "failed", 3), ("h", "delivered", 1), ("h", "delivered", 1)]
+    assert sorted(log.read_text().split()) == ["http://a"] * 2 + ["http://b"] * 3
+
+
+def test_training_event(spark):
+    rows = spark.createDataFrame([(0, 3), (1, 4)], "cluster_id int, size long")
+    row = events.of_clusters("k", rows).first()
+    assert row["event_type"] == "clusters.retrained" and row["payload"] == '{"event_type":"clusters.retrained","kb_id":"k","n_clusters":2,"n_rows":7}'
+
+
+def test_only_changed_chunks_are_embedded(spark):
+    class Loud:
+        dimension = 1
+
+        def embed(self, texts):
+            assert not any(t == "kept" for t in texts)
+            return texts.map(lambda t: [float(len(t))])
+
+    rows = spark.createDataFrame([(1, "kept", [9.0]), (2, "old", [9.0])], "id long, content string, embedding array<float>")
+    new = mutations.patch_chunks(rows, F.col("id") == 2, Loud(), content=F.lit("newer"))
+    assert {r["id"]: (r["content"], r["embedding"]) for r in new.collect()} == {1: ("kept", [9.0]), 2: ("newer", [5.0])}
+
+
+def test_unknown_jobs_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError):
+        ingest.enqueue(spark.createDataFrame([("fly", "k", 1)], "job string, kb_id string, doc_id long"), f"{tmp_path}/queue")
+
+
+def test_jobs_are_handed_out_once(spark, tmp_path):
+    queue, state, seen = f"{tmp_path}/queue", f"{tmp_path}/state", []
+    for doc in (1, 2):
+        ingest.enqueue(spark.createDataFrame([("embed.batch", "k", doc)], "job string, kb_id string, doc_id long"), queue)
+        ingest.work(spark, queue, state, {"embed.batch": lambda jobs, number: seen.extend(r["doc_id"] for r in jobs.collect())})
+    assert seen == [1, 2]
+
+
+def test_redeems(spark):
+    rows = spark.createDataFrame([("a", False)] * 5 + [("b", True), ("b", False)], "code string, ok boolean")
+    assert {tuple(r) for r in access.failed_redeems(rows).collect()} == {("a", 5, True), ("b", 1, False)}
