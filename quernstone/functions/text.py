@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +18,18 @@ def token_count(text: Column) -> Column:
     return F.size(tokens(text)).cast("long")
 
 
+def runs(ordered: Column, key: Callable[[Column], Column] = lambda x: x) -> Column:
+    """(first, many) for each run of elements with an equal key in a sorted array: where it begins, from 1, and how long it is."""
+    every = F.when(F.size(ordered) > 0, F.sequence(F.lit(1), F.size(ordered))).otherwise(F.array().cast("array<int>"))
+    heads = F.filter(every, lambda i: (i == 1) | (key(F.element_at(ordered, i)) != key(F.element_at(ordered, F.greatest(i - 1, F.lit(1))))))
+    return F.transform(heads, lambda i, j: F.struct(i.alias("first"), (F.coalesce(F.try_element_at(heads, j + 2), F.size(ordered) + 1) - i).alias("many")))
+
+
+def counted(values: Column) -> Column:
+    """(value, n) for each different value of an array, without leaving the row."""
+    return F.transform(F.array(F.sort_array(values)), lambda v: F.transform(runs(v), lambda r: F.struct(F.element_at(v, r["first"]).alias("value"), r["many"].cast("long").alias("n"))))[0]
+
+
 def html_to_text(html: Column) -> Column:
     """Without scripts, styles and tags, white space collapsed. A plain parser for ingest."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")

@@ -297,11 +297,7 @@ def cluster_pruned_topk(spark, sf_dir):
     centroids = labelled_centroids(spark, sf_dir)
     rows = clusters.assign(table(spark, sf_dir, "embeddings"), centroids).select("vec_id", "embedding", "cluster_id")
     asked = asked_vectors(spark, sf_dir)
-    chosen = clusters.nearest_clusters(asked, centroids, 2).join(asked, "query_id").select("query_id", "cluster_id", F.col("embedding").alias("q"))
-    from ..functions.vector import cosine
-
-    scored = rows.join(chosen, "cluster_id").select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
-    return retrieval.rank_matches(scored, 10, item="vec_id").select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "score")
+    return retrieval.vector_topk(rows, asked, 10, allowed=clusters.nearest_clusters(asked, centroids, 2))
 
 
 @query

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import gram_bucket, trigrams
+from ..functions.text import counted, gram_bucket, runs, trigrams
 
 
 class Embedder(Protocol):
@@ -54,7 +54,14 @@ class EndpointRegistry:
 def hash_ngram(rows: DataFrame, key: str, buckets: int, text: str = "text") -> DataFrame:
     """(key, bucket, n): how many trigrams of a text fall into a bucket; the sparse form of its vector.
 
-    Trigrams are counted before they are hashed, so each distinct one of a text is hashed once.
+    Everything happens in the row, and each distinct trigram of a text is hashed once.
     """
-    grams = rows.select(key, F.explode(trigrams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("c"))
-    return grams.groupBy(key, gram_bucket(F.col("gram"), buckets).alias("bucket")).agg(F.sum("c").alias("n"))
+    hashed = F.transform(counted(trigrams(F.col(text))), lambda g: F.struct(gram_bucket(g["value"], buckets).alias("bucket"), g["n"].alias("n")))
+    summed = F.transform(
+        F.array(F.sort_array(hashed)),
+        lambda p: F.transform(
+            runs(p, lambda x: x["bucket"]),
+            lambda r: F.struct(F.element_at(p, r["first"])["bucket"].alias("bucket"), F.aggregate(F.slice(p, r["first"], r["many"]), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n")),
+        ),
+    )[0]
+    return rows.select(key, F.explode(summed).alias("b")).select(key, "b.bucket", "b.n")

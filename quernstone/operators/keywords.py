@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import counted, tokens
+from .spread import FEW, cut, join_salted
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, term, tf): term counts of each row."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf): term counts of each row, without a shuffle."""
+    return docs.select(key, F.explode(counted(tokens(F.col(text)))).alias("p")).select(key, F.col("p.value").alias("term"), F.col("p.n").alias("tf"))
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -19,10 +20,16 @@ def dictionary(docs: DataFrame) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, most: int) -> DataFrame:
-    """The `most` words of each document with the highest tf * ln(N / df), ties by the word."""
-    posts = postings(docs)
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))  # one row
-    scored = posts.join(df, "term").crossJoin(F.broadcast(n)).withColumn("score", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 6))
+    """The `most` words of each document with the highest tf * ln(N / df), ties by the word.
+
+    Words that more documents have than a mean partition holds words are dealt into parts before they meet their df; there are
+    fewer of them than partitions.
+    """
+    words = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    df = cut(words.groupBy("term").agg(F.count("*").alias("df")), "df")
+    n, total = docs.count(), df.agg(F.sum("df")).first()[0] or 0
+    part = max(FEW, -(-total // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    heavy = df.where(F.col("df") > part).select("term", F.ceil(F.col("df") / part).cast("int").alias("salts"))
+    scored = join_salted(postings(docs), df, ["term"], ["doc_id"], "inner", heavy).withColumn("score", F.round(F.col("tf") * F.log(F.lit(float(n)) / F.col("df")), 6))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "term"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "rank", F.col("term").alias("keyword"), "tf", "score")

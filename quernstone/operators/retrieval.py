@@ -25,7 +25,7 @@ from .access import scoped
 from .embedding import embed_with
 from .trigrams import TrigramEmbedder, unit_vectors
 
-DECIMALS, QUERIES, CELLS, K1, B = 6, 256, 4_000_000, 1.2, 0.75
+DECIMALS, QUERIES, CELLS, K1, B, PACKED = 6, 256, 4_000_000, 1.2, 0.75, 16_000_000
 
 
 def compile_filter(spec: dict | None, columns: list[str]) -> Column:
@@ -70,36 +70,79 @@ def rank_matches(scored: DataFrame, k: int, by: str = "query_id", item: str = "d
     return rounded.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _blocks(rows: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
-    """Rows gathered into blocks of about `size`."""
+def _sized(rows: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
+    """Rows of each cluster gathered into blocks of about `size`."""
     n = rows.count()
     block = F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // size))))
-    return rows.groupBy(block.alias(name)).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))).alias(f"{name}_rows"))
-
-
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, min_score: float | None = None, size: int = 2_000) -> DataFrame:
+    rows = rows.groupBy("cluster_id", block.alias(name)).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))).alias(f"{name}_rows"))
+    return rows.drop(name)
+
+
+def _nearest(ids: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k: int, min_score: float | None, open_: np.ndarray | None = None) -> pd.DataFrame:
+    """The k best rows of each query among these, by cosine; ties by the smaller id."""
+    size_x, size_q = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
+    order = np.argsort(ids)
+    ids, x, size_x = ids[order], x[order], size_x[order]
+    scores = np.round((x / np.maximum(size_x, 1e-300)[:, None]) @ (q / np.maximum(size_q, 1e-300)[:, None]).T, DECIMALS)
+    match = (size_x > 0)[:, None] & (size_q > 0)[None]
+    if open_ is not None:
+        match &= open_[order]
+    if min_score is not None:
+        match &= scores >= min_score
+    top = np.argsort(np.where(match, -scores, np.inf), axis=0, kind="stable")[:k]
+    row, at = top.ravel(), np.tile(np.arange(len(own)), len(top))
+    good = match[row, at]
+    return pd.DataFrame({"query_id": own[at[good]], "vec_id": ids[row[good]], "score": scores[row[good], at[good]]})
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, min_score: float | None = None, size: int = 2_000, packed: int = PACKED, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows by cosine for each query (query_id, embedding).
 
-    Both sides are cut into blocks of bounded size; each pair of blocks is one matrix product that keeps the
-    k best of each query, so only blocks * k rows of a query are ranked at the end.
+    Queries that pack into `packed` bytes go to all tasks; a task keeps the k best of each, and nothing else is shuffled. More
+    queries meet the rows in pairs of blocks of bounded size. With `allowed` (query_id, cluster_id) a query looks only at rows
+    of these clusters, and rows have a cluster_id.
     """
+    vectors, queries = vectors.where("embedding is not null"), queries.where("embedding is not null")
+    kind = "query_id long, vec_id long, score double"
+    width = queries.agg(F.sum(F.size("embedding").cast("long"))).first()[0] or 0
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    if 8 * width <= packed:
+        rows = asked.collect()
+        own, q = np.array([r["query_id"] for r in rows]), np.array([r["embedding"] for r in rows])
+        clusters: dict[int, list] = {}
+        pruned = allowed is not None
+        if pruned:
+            at = {o: i for i, o in enumerate(own.tolist())}
+            for r in allowed.collect():  # a few clusters for each query
+                clusters.setdefault(at[r["query_id"]], []).append(r["cluster_id"])
+
+        def near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = []
+            step = max(1, CELLS // max(1, len(own)))
+            for part in parts:
+                for a in range(0, len(part) if len(own) else 0, step):
+                    some = part.iloc[a : a + step]
+                    open_ = None if not pruned else np.stack([some["cluster_id"].isin(clusters.get(i, [])).to_numpy() for i in range(len(own))], 1)
+                    held.append(_nearest(some["vec_id"].to_numpy(), np.array(some["embedding"].to_list(), float), own, q, k, min_score, open_))
+            if held:
+                best = pd.concat(held).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+                yield best.groupby("query_id").head(k)
+
+        found = vectors.select("vec_id", "embedding", *(["cluster_id"] if pruned else [])).mapInPandas(near, kind)
+        return rank_matches(found, k, item="vec_id").select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "score")
 
     def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for rows, asked in zip(part["d_rows"], part["q_rows"]):
-                ids, own = np.array([r["id"] for r in rows]), np.array([r["id"] for r in asked])
-                x, q = np.stack([r["v"] for r in rows]), np.stack([r["v"] for r in asked])
-                size_x, size_q = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
-                some_x, some_q = size_x > 0, size_q > 0
-                ids, own, x, q = ids[some_x], own[some_q], x[some_x] / size_x[some_x, None], q[some_q] / size_q[some_q, None]
-                for at, scores in enumerate(np.round(q @ x.T, DECIMALS)):
-                    top = np.lexsort((ids, -scores))[:k]
-                    if min_score is not None:
-                        top = top[scores[top] >= min_score]
-                    yield pd.DataFrame({"query_id": own[at], "vec_id": ids[top], "score": scores[top]})
-
-    pairs = _blocks(vectors, "vec_id", "embedding", size, "d").crossJoin(_blocks(queries, "query_id", "embedding", size, "q"))
-    found = pairs.select("d_rows", "q_rows").mapInPandas(best, "query_id long, vec_id long, score double")
+            for rows, some in zip(part["d_rows"], part["q_rows"]):
+                yield _nearest(np.array([r["id"] for r in rows]), np.stack([r["v"] for r in rows]), np.array([r["id"] for r in some]), np.stack([r["v"] for r in some]), k, min_score)
+
+    if allowed is None:
+        vectors, asked = vectors.withColumn("cluster_id", F.lit(0)), asked.withColumn("cluster_id", F.lit(0))
+    else:
+        asked = asked.join(allowed.select("query_id", "cluster_id"), "query_id")
+    pairs = _sized(vectors, "vec_id", "embedding", size, "d").join(_sized(asked, "query_id", "embedding", size, "q"), "cluster_id")
+    pairs = pairs.repartition(F.xxhash64(F.col("d_rows")[0]["id"], F.col("q_rows")[0]["id"]))  # pairs of blocks, not their cluster, are the units of work
+    found = pairs.select("d_rows", "q_rows").mapInPandas(best, kind)
     return rank_matches(found, k, item="vec_id").select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "score")
 
 

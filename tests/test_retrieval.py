@@ -69,8 +69,17 @@ def test_unknown_mode(corpus):
 def test_vectors_with_zero_and_blocks(spark):
     rows = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(9)] + [(9, [0.0, 0.0])], "vec_id long, embedding array<double>")
     asked = rows.where("vec_id in (0, 9)").withColumnRenamed("vec_id", "query_id")
-    found = retrieval.vector_topk(rows, asked, 3, size=2).orderBy("query_id", "rank").collect()
-    assert [(r["query_id"], r["vec_id"], r["score"]) for r in found] == [(0, 0, 1.0), (0, 3, 1.0), (0, 6, 1.0)]
+    for packed in (0, 10**6):
+        found = retrieval.vector_topk(rows, asked, 3, size=2, packed=packed).orderBy("query_id", "rank").collect()
+        assert [(r["query_id"], r["vec_id"], r["score"]) for r in found] == [(0, 0, 1.0), (0, 3, 1.0), (0, 6, 1.0)]
+
+
+def test_clusters_in_blocks_and_packed(spark):
+    rows = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)], i % 4) for i in range(60)], "vec_id long, embedding array<double>, cluster_id int")
+    asked = rows.where("vec_id < 6").select(F.col("vec_id").alias("query_id"), "embedding")
+    allowed = spark.createDataFrame([(q, c) for q in range(6) for c in (q % 4, (q + 1) % 4)], "query_id long, cluster_id int")
+    one, two = (sorted(map(tuple, retrieval.vector_topk(rows, asked, 7, size=5, packed=p, allowed=allowed).collect())) for p in (0, 10**6))
+    assert one == two and len(one) == 42 and all(r[2] % 4 in (r[0] % 4, (r[0] + 1) % 4) for r in one)
 
 
 def test_all_clusters_is_no_pruning(spark, sf_dir):

@@ -72,3 +72,12 @@ def test_keys(spark):
     assert row["part"] == hashlib.sha256(b"src0").hexdigest()[:12]
     assert row["sig"] == "sha256=" + hmac.new(b"s", b"payload", hashlib.sha256).hexdigest()
     assert row["back"] == "payload"
+
+
+def test_counted_in_the_row(spark):
+    from quernstone.functions.text import counted
+
+    rows = spark.createDataFrame([(1, ["b", "a", "b", "c", "b"]), (2, []), (3, ["x"]), (4, None)], "id long, words array<string>")
+    found = {r["id"]: r["n"] and [tuple(x) for x in r["n"]] for r in rows.select("id", counted(F.col("words")).alias("n")).collect()}
+    assert found[1] == [("a", 1), ("b", 3), ("c", 1)] and not found[2] and found[3] == [("x", 1)] and not found[4]
+    assert "Exchange" not in rows.select(counted(F.col("words")))._jdf.queryExecution().executedPlan().toString()
