@@ -19,10 +19,14 @@ def token_count(text: Column) -> Column:
 
 
 def runs(ordered: Column, key: Callable[[Column], Column] = lambda x: x) -> Column:
-    """(first, many) for each run of elements with an equal key in a sorted array: where it begins, from 1, and how long it is."""
+    """(first, many) for each run of elements with an equal key in a sorted array: where it begins, from 1, and how long it is.
+
+    Arrays are wrapped and named, as an expression within a lambda is worked out anew for each element.
+    """
     every = F.when(F.size(ordered) > 0, F.sequence(F.lit(1), F.size(ordered))).otherwise(F.array().cast("array<int>"))
     heads = F.filter(every, lambda i: (i == 1) | (key(F.element_at(ordered, i)) != key(F.element_at(ordered, F.greatest(i - 1, F.lit(1))))))
-    return F.transform(heads, lambda i, j: F.struct(i.alias("first"), (F.coalesce(F.try_element_at(heads, j + 2), F.size(ordered) + 1) - i).alias("many")))
+    ends = F.array(F.struct(heads.alias("h"), F.size(ordered).alias("n")))
+    return F.transform(ends, lambda e: F.transform(e["h"], lambda i, j: F.struct(i.alias("first"), (F.coalesce(F.try_element_at(e["h"], j + 2), e["n"] + 1) - i).alias("many"))))[0]
 
 
 def counted(values: Column) -> Column:
@@ -121,13 +125,3 @@ def chunker(strategy: str, size: int = 200, overlap: int = 50):
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
     return lambda text: CHUNKERS[strategy](text, size, overlap)
-
-
-def trigrams(text: Column) -> Column:
-    """All runs of three characters of the lower-cased text, in one pass of a look-ahead."""
-    return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))."), F.lit(1))
-
-
-def gram_bucket(gram: Column, buckets: int) -> Column:
-    """First 8 hexadecimal digits of the md5, modulo the number of buckets."""
-    return F.pmod(F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("long"), F.lit(buckets))

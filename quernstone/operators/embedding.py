@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import counted, gram_bucket, runs, trigrams
+from .trigrams import bucket_counts
 
 
 class Embedder(Protocol):
@@ -52,16 +55,14 @@ class EndpointRegistry:
 
 
 def hash_ngram(rows: DataFrame, key: str, buckets: int, text: str = "text") -> DataFrame:
-    """(key, bucket, n): how many trigrams of a text fall into a bucket; the sparse form of its vector.
-
-    Everything happens in the row, and each distinct trigram of a text is hashed once.
-    """
-    hashed = F.transform(counted(trigrams(F.col(text))), lambda g: F.struct(gram_bucket(g["value"], buckets).alias("bucket"), g["n"].alias("n")))
-    summed = F.transform(
-        F.array(F.sort_array(hashed)),
-        lambda p: F.transform(
-            runs(p, lambda x: x["bucket"]),
-            lambda r: F.struct(F.element_at(p, r["first"])["bucket"].alias("bucket"), F.aggregate(F.slice(p, r["first"], r["many"]), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n")),
-        ),
-    )[0]
-    return rows.select(key, F.explode(summed).alias("b")).select(key, "b.bucket", "b.n")
+    """(key, bucket, n): how many trigrams of a text fall into a bucket; the sparse form of its vector. Nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                counts = bucket_counts([t or "" for t in part.column(1).to_pylist()], buckets)
+                row, bucket = np.nonzero(counts)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(bucket), pa.array(counts[row, bucket].astype(np.int64))], names=[key, "bucket", "n"])
+
+    return rows.select(key, F.lower(text).alias("low")).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, bucket long, n long")

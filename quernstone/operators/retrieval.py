@@ -23,6 +23,7 @@ from ..functions.keys import kb_part
 from ..functions.text import tokens
 from .access import scoped
 from .embedding import embed_with
+from .spread import cut
 from .trigrams import TrigramEmbedder, unit_vectors
 
 DECIMALS, QUERIES, CELLS, K1, B, PACKED = 6, 256, 4_000_000, 1.2, 0.75, 16_000_000
@@ -182,10 +183,10 @@ def _asked_words(block: Block) -> Column:
     return F.filter(words, lambda w: w.isin(block.terms)) if block.terms else F.array().cast("array<string>")
 
 
-def _weigh(rows: DataFrame, block: Block) -> None:
-    """Document frequencies and the mean length, over all rows; at most a row for each term reaches the driver."""
-    seen = rows.select(F.size(tokens(F.col("text"))).alias("len"), F.array_distinct(_asked_words(block)).alias("hit"))
-    counted = seen.select(F.explode(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("len"))), F.transform("hit", lambda w: F.struct(w.alias("term"), F.lit(0).alias("len"))))).alias("x"))
+def _weigh(seen: DataFrame, block: Block) -> None:
+    """Document frequencies and the mean length, over all rows (len, hit); at most a row for each term reaches the driver."""
+    length = F.struct(F.lit(None).cast("string").alias("term"), F.col("len"))
+    counted = seen.select(F.explode(F.concat(F.array(length), F.transform(F.array_distinct("hit"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("len"))))).alias("x"))
     found = {r["term"]: r for r in counted.groupBy("x.term").agg(F.count("*").alias("df"), F.avg("x.len").alias("mean")).collect()}
     whole = found.pop(None, None)
     n = whole["df"] if whole else 0
@@ -210,8 +211,8 @@ def _slices(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
-def _best_keyword_scores(rows: DataFrame, block: Block) -> np.ndarray:
-    """The highest keyword score of each query over all rows."""
+def _best_keyword_scores(seen: DataFrame, block: Block) -> np.ndarray:
+    """The highest keyword score of each query over all rows (len, hit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.zeros(len(block.ids))
@@ -220,9 +221,8 @@ def _best_keyword_scores(rows: DataFrame, block: Block) -> np.ndarray:
                 best = np.maximum(best, _keyword_scores(block, part.column(0).to_numpy(), pa.concat_arrays([part.column(1)])).max(0, initial=0))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(best)), pa.int32()), pa.array(best)], names=["at", "best"])
 
-    seen = rows.select(F.size(tokens(F.col("text"))).alias("len"), _asked_words(block).alias("hit")).where(F.size("hit") > 0)
     out = np.zeros(len(block.ids))
-    for r in seen.mapInArrow(run, "at int, best double").groupBy("at").agg(F.max("best").alias("best")).collect():
+    for r in seen.where(F.size("hit") > 0).mapInArrow(run, "at int, best double").groupBy("at").agg(F.max("best").alias("best")).collect():
         out[r["at"]] = r["best"]
     return out
 
@@ -281,8 +281,11 @@ def scored(rows: DataFrame, queries: DataFrame, ranks: dict[str, int], keyword_w
     found = []
     for block in query_blocks(queries, buckets):
         if block.terms and ("keyword" in names or "hybrid" in names):
-            _weigh(rows, block)
-            block.best = _best_keyword_scores(rows, block) if "hybrid" in names else None
+            seen = rows.select(F.size(tokens(F.col("text"))).alias("len"), _asked_words(block).alias("hit"))
+            if "hybrid" in names:  # then it is read twice; the words that are asked for are few
+                seen = cut(seen, "asked-words")
+            _weigh(seen, block)
+            block.best = _best_keyword_scores(seen, block) if "hybrid" in names else None
         if block.best is None:
             block.best = np.zeros(len(block.ids))
         if allowed is not None:

@@ -44,9 +44,22 @@ def test_recursive_keeps_everything(value, size):
     assert all(0 < len(p) <= size for p in pieces)
 
 
-def test_trigrams(spark):
-    values = ["abcd", "ab", "", "Äöü1"]
-    assert column(spark, values, text.trigrams) == [["abc", "bcd"], [], [], ["äöü", "öü1"]]
+def test_trigrams():
+    import numpy as np
+    import pandas as pd
+
+    from quernstone.operators.trigrams import TrigramEmbedder, bucket_counts
+
+    wide = "".join(chr(0x4E00 + i) for i in range(300))  # more characters than a table takes
+    texts = ["abcab", "", "ab", "déjà déjà", "😀😀😀😀", wide, "x" * 5]
+    for own in (texts, texts[:4]):
+        want = np.zeros((len(own), 7))
+        for i, t in enumerate(own):
+            for j in range(len(t) - 2):
+                want[i, int(hashlib.md5(t[j : j + 3].encode()).hexdigest()[:8], 16) % 7] += 1
+        assert (bucket_counts(own, 7) == want).all()
+    vectors = TrigramEmbedder(16).embed(pd.Series(["Some text", None], index=[3, 9]))
+    assert list(vectors.index) == [3, 9] and abs((vectors[3] ** 2).sum() - 1) < 1e-6 and not vectors[9].any()
 
 
 def test_chunker_arguments():
