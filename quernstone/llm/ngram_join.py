@@ -300,6 +300,11 @@ def _shared_tokens(rows: DataFrame, key: str, name: str) -> DataFrame:
     return known.where("salt < 0").unionByName(cut(found, name)).drop("high")
 
 
+def salting(tokens: int, partitions: int) -> int:
+    """How many tokens of one slot a task takes: a mean partition's."""
+    return max(FEW, -(-tokens // partitions))
+
+
 def join_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Summaries (doc_id, n, set_id, text_key) of all documents, and (node, component) of linked sets."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
@@ -310,7 +315,7 @@ def join_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = every.where("set_id is not null").groupBy("set_id").agg(F.min("text_key").alias("text_key"))
     plain = texts.where("text is not null").select("text", "text_key")
 
-    most = max(FEW, -(-int(ranks.sum()) // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    most = salting(int(ranks.sum()), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     first = plain.select("text").mapInArrow(_first_parts(ranks, most), "token long, salt int, set_id long, n int")
     live = _shared_tokens(first, "set_id", "live").withColumn("pivot", F.col("low.key")).withColumn("pivot_n", F.col("low.n")).drop("low")
 

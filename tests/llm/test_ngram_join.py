@@ -100,3 +100,24 @@ def test_words_are_split_on_bytes_only():
     texts = ["é x y a b c d", None, "", "x" * 70, "A\x0bB\x1cC d e f"]
     assert [len(s) for s in nj.shingle_sets(pa.array(texts))] == [len(shingles(t)) for t in texts]
     assert [len(s) for s in nj.shingle_sets(pa.array(texts).slice(3))] == [len(shingles(t)) for t in texts[3:]]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(150_000)]
+    other = list(words)
+    for at in range(0, len(other), 60):
+        other[at] = "x"
+    half = words[:75_000] + [f"y{i}" for i in range(75_000)]
+    rows = [(7, " ".join(words)), (3, " ".join(other)), (5, " ".join(half)), (9, "z" * 2_000_000)]
+    found = nj.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found), key=str) == brute(rows)
+
+
+def test_salted_tokens_give_the_same(spark, monkeypatch):
+    """Slots of more than two tokens are salted: what the holders of a token have in common is found over the salts."""
+    monkeypatch.setattr(nj, "salting", lambda tokens, partitions: 2)
+    rows = corpus(4)[:110]
+    rows += [(1_000 + i, rows[3][1] + f" own{i}") for i in range(25)]
+    found = nj.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found), key=str) == brute(rows)

@@ -132,3 +132,8 @@ def test_odd_rows(odd):
     assert sum(r["length"] for r in rows) == sum(len(x) + 1 for x in library([r["text"] or "" for r in df.collect()]))
     assert {r["doc_id"] for r in rows} == set(texts)
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_very_long_text(spark):
+    texts = {0: "long words of a text " * 60_000, 1: "x", 2: "long words " * 300}
+    check(packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), PATH).collect(), texts)

@@ -97,3 +97,10 @@ def test_against_the_optimum_and_greedy():
         near += spread - least <= sizes[-1]
         beaten += spread <= max(greedy) - min(greedy)
     assert near >= 50 and beaten >= 50
+
+
+def test_very_long_text_and_many_copies(spark):
+    texts = {i: "copy of a text" for i in range(300)} | {1_000: "y" * 5_000_000} | {2_000 + i: f"small {i}" for i in range(100)}
+    rows = shard_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    check(rows, texts)
+    assert len({r["shard"] for r in rows if r["doc_id"] < 300}) == 1 and len(rows) == len(texts)
