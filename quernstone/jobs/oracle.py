@@ -208,7 +208,7 @@ ORACLE_SQL: dict[str, str] = {
     "exclude_docs": f"WITH {DOCS} SELECT doc_id, kb_id, doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AS included FROM d",
     "patch_document": f"WITH {DOCS} SELECT doc_id, CASE WHEN lang = 'fr' THEN kb_id || '-fr' ELSE kb_id END AS kb_id, CASE WHEN lang = 'fr' THEN 'fr-FR' ELSE lang END AS lang FROM d",
     "patch_chunk": f"WITH {DOCS} SELECT doc_id, chunk_ix, CASE WHEN chunk_ix = 0 THEN reverse(content) ELSE content END AS content FROM ({LINES})",
-    "put_replace_set": f"""WITH {DOCS}, o AS (SELECT * FROM d WHERE lang <> 'de'), g AS (SELECT * FROM d WHERE lang = 'de' AND doc_id % 2 = 0),
+    "put_replace_set": f"""WITH {DOCS}, o AS (SELECT * FROM d WHERE lang <> 'de'), g AS (SELECT * FROM d WHERE lang = 'de'),
         o_ AS ({DICTIONARY.format(words=words('text'), rows='o')}), g_ AS ({DICTIONARY.format(words=words('text'), rows='g')})
         SELECT kb_id, keyword, df FROM o_ WHERE kb_id NOT IN (SELECT kb_id FROM g_) UNION ALL SELECT kb_id, keyword, df FROM g_""",
     "partition_create_drop": f"WITH {DOCS} SELECT kb_part, kb_id, count(*) AS n_docs FROM d WHERE kb_id <> 'src3' GROUP BY ALL",
@@ -253,4 +253,6 @@ ORACLE_SQL: dict[str, str] = {
     "kb_query": answered("SELECT query_id, rank, doc_id AS chunk_id, score, vector_score, keyword_score FROM ranked WHERE rank <= 5"),
     "kb_query_usage": f"""WITH {DOCS}, {ASKED}, {BASE} SELECT (SELECT count(*) FROM every_) AS scanned, (SELECT count(*) FROM ch) AS kept, (SELECT coalesce(sum(len({words('text')})), 0)::BIGINT FROM q) AS query_tokens""",
     "kb_query_diagnostics": answered("SELECT query_id, count(rank) AS matches, max(score) AS best_score, min(score) AS least_score FROM q LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) USING (query_id) GROUP BY query_id"),
+    "retrain_event": f"""WITH {VECTORS}, {C0}, {nearest('a', 'v', 'c0')}
+        SELECT 'clusters.retrained' AS event_type, 'all' AS kb_id, count(DISTINCT cluster_id) AS n_clusters, count(*) AS n_rows FROM a""",
 }

@@ -363,7 +363,7 @@ def patch_chunk(spark, sf_dir):
 def put_replace_set(spark, sf_dir):
     """Keywords of the German documents replace all keywords of the bases that have such documents."""
     old = keywords.dictionary(documents(spark, sf_dir).where("lang <> 'de'"))
-    return mutations.replace_set(old, keywords.dictionary(documents(spark, sf_dir).where("lang = 'de' and doc_id % 2 = 0")), "kb_id")
+    return mutations.replace_set(old, keywords.dictionary(documents(spark, sf_dir).where("lang = 'de'")), "kb_id")
 
 
 @query
@@ -658,3 +658,10 @@ def kb_query_usage(spark, sf_dir):
 @query
 def kb_query_diagnostics(spark, sf_dir):
     return _answer(spark, sf_dir).diagnostics
+
+
+@query
+def retrain_event(spark, sf_dir):
+    """The event that a training raises: how many clusters of how many rows."""
+    made = feed.of_clusters("all", clusters.lloyd(table(spark, sf_dir, "embeddings"), labelled_centroids(spark, sf_dir), 1))
+    return made.select("event_type", "kb_id", *[F.get_json_object("payload", f"$.{c}").cast("long").alias(c) for c in ("n_clusters", "n_rows")])

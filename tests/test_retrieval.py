@@ -137,3 +137,15 @@ def test_lsh_recall_against_all_pairs(spark, monkeypatch, n, clusters_of, spread
     want, found = pairs(retrieval.vector_topk(vectors, asked, 10)), pairs(clusters.lsh_topk(vectors, asked, 10))
     assert len(want & found) >= 0.9 * len(want) and len(found) <= len(want)
     assert (plans[0][0] > 0) == hashed
+
+
+def test_projection_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 6)) * [5, 3, 1, 0.5, 0.2, 0.1]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = np.array([r["projected"] for r in clusters.project(rows, "vec_id").orderBy("vec_id").collect()])
+    _, _, axes = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    want = x @ axes[:2].T
+    assert np.allclose(np.abs(found), np.abs(want), atol=1e-6)
