@@ -116,3 +116,13 @@ def test_odd_rows(odd, spark):
     assert kept.columns == df.columns and kept.count() == df.count() - 1
     assert d.drop_contaminated(df, items.limit(0)).count() == df.count()
     assert d.contaminated(df.limit(0), items).count() == 0
+
+
+def test_very_long_text_and_equal_items():
+    """Equal items are separate: each is found at every place."""
+    rng = random.Random(3)
+    filler = lambda: " ".join("".join(rng.choice("etaoinsh") for _ in range(6)) for _ in range(40_000))
+    text = f" {ITEM} ".join(filler() for _ in range(4))
+    found = d.occurrences([text, "x"], d.Index([(1, ITEM), (2, ITEM)]))
+    assert [text[s:e] for item, s, e, _ in found[0] if item == 0] == [ITEM] * 3 == [text[s:e] for item, s, e, _ in found[0] if item == 1]
+    assert len(found[0]) == 6 and not found[1]
