@@ -376,7 +376,7 @@ def _linked(docs: DataFrame) -> DataFrame:
     named = least.join(parts.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     named = cut(named, "named")
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_set = cut(named.join(smallest, "component").select("set_id", "component_id"), "of-set")
+    of_set = cut(join_spread(named, smallest, "component", ["set_id"]).select("set_id", "component_id"), "of-set")
     some = join_spread(every.where("set_id is not null"), of_set, "set_id", ["doc_id", "text_key"], "left")
     none = every.where("set_id is null").withColumn("component_id", F.lit(None).cast(dict(some.dtypes)["component_id"]))  # no key for a join
     return some.unionByName(none).select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
