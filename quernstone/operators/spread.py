@@ -30,7 +30,7 @@ class Rounds:
         return spark.read.schema(df.schema).parquet(self.paths[-1])
 
 
-FEW = 500  # rows of one key that a task takes in any case
+FEW = 20_000  # rows of one key that a task takes in any case
 
 
 def heavy_keys(rows: DataFrame, key: list[str], few: int = FEW) -> DataFrame | None:
@@ -43,8 +43,9 @@ def heavy_keys(rows: DataFrame, key: list[str], few: int = FEW) -> DataFrame | N
     if total <= most:
         return None
     counts = rows.groupBy(*key).agg(F.count("*").alias("salts")).where(F.col("salts") > most)
-    found = cut(counts.withColumn("salts", F.ceil(F.col("salts") / most).cast("int")), "heavy-keys")
-    return None if found.isEmpty() else found
+    if counts.isEmpty():
+        return None
+    return cut(counts.withColumn("salts", F.ceil(F.col("salts") / most).cast("int")), "heavy-keys")
 
 
 def join_spread(left: DataFrame, right: DataFrame, key: str | list[str], by: list[str], how: str = "inner", few: int = FEW) -> DataFrame:
