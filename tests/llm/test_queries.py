@@ -16,6 +16,9 @@ COLUMNS = {
     "op8_packing": (None, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"),
     "op9_secret_scans": ("documents", "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"),
     "op10_quality_classifier": ("documents", "doc_id bigint, held_out boolean, score double, predicted int"),
+    "op11_embedding_whitening": (None, "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"),
+    "op12_chat_formatting": (None, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"),
+    "op13_conversation_repair": (None, "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string"),
 }
 
 
@@ -34,7 +37,7 @@ def test_query(name, spark, sf_dir):
         assert len(rows) == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
     if name in ORACLE_SQL:
         con = duckdb.connect()
-        for t in ("documents", "embeddings"):
+        for t in ("documents", "embeddings", "conversations"):
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
         found = con.sql(ORACLE_SQL[name])
         assert found.columns == df.columns
