@@ -255,4 +255,19 @@ ORACLE_SQL: dict[str, str] = {
     "kb_query_diagnostics": answered("SELECT query_id, count(rank) AS matches, max(score) AS best_score, min(score) AS least_score FROM q LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) USING (query_id) GROUP BY query_id"),
     "retrain_event": f"""WITH {VECTORS}, {C0}, {nearest('a', 'v', 'c0')}
         SELECT 'clusters.retrained' AS event_type, 'all' AS kb_id, count(DISTINCT cluster_id) AS n_clusters, count(*) AS n_rows FROM a""",
+    "vector_index_topk": f"WITH {VECTORS}, r AS ({TOPV}) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM r QUALIFY rank <= 10",
+    "vector_index_base": f"WITH {VECTORS}, r AS ({TOPV} WHERE label = 3) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM r WHERE score >= 0.1 QUALIFY rank <= 5",
+    "vector_index_contents": "SELECT substr(sha256('label' || label::VARCHAR), 1, 12) AS kb_part, vec_id FROM embeddings WHERE label <> 3",
+    "webhook_backoff": f"""WITH {HOOKS}, e AS (SELECT event_id, CASE event_type WHEN 'purchase' THEN 'document.ingested' WHEN 'error' THEN 'document.failed' WHEN 'signup' THEN 'clusters.retrained' END AS event_type FROM events),
+        p AS (SELECT id AS webhook_id, event_id, event_id % 10 = 7 AS never, event_id % 10 = 3 AS late FROM e JOIN (SELECT id, unnest(events) AS event_type FROM hooks) USING (event_type))
+        SELECT webhook_id, count(*) AS n_events, sum(CASE WHEN never THEN 4 WHEN late THEN 3 ELSE 1 END)::BIGINT AS n_attempts, count(*) FILTER (NOT never) AS n_delivered, count(*) FILTER (never) AS n_failed,
+               sum(CASE WHEN never THEN 100 + 200 + 400 WHEN late THEN 100 + 200 END)::BIGINT AS wait_ms, max(CASE WHEN never OR late THEN 'status 503' END) AS last_error FROM p GROUP BY 1""",
+    "timeout_sweep_stream": "SELECT event_id AS doc_id FROM events WHERE event_type = 'purchase' AND ts < (SELECT max(ts) FROM events) - INTERVAL 60 MINUTES",
+    "url_ingest": """SELECT page_id, url, CASE WHEN url IS NULL OR length(url) % 10 IN (0, 3) THEN 'failed' ELSE 'completed' END AS status,
+        CASE WHEN url IS NULL THEN 'no url' WHEN length(url) % 10 = 0 THEN 'status 404' WHEN length(url) % 10 = 3 THEN 'ConnectionError: refused' END AS error,
+        CASE WHEN length(url) % 10 = 2 THEN url || '#moved' WHEN length(url) % 10 NOT IN (0, 3) THEN url END AS text FROM pages""",
+    "keyword_dictionary_stream": f"""WITH {DOCS}, now AS (SELECT kb_id, CASE WHEN doc_id % 9 = 1 THEN string_split(text, chr(10))[1] ELSE text END AS text FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) """
+    + DICTIONARY.format(words=words("text"), rows="now"),
+    "embed_resume": f"""WITH {DOCS}, c AS ({exploded('d', fixed('text'))}), b AS (SELECT doc_id, chunk_ix // 8 AS b, count(*) AS n, arg_min(length(content), chunk_ix) % 7 = 0 AS bad FROM c GROUP BY ALL)
+        SELECT doc_id, count(*) AS n_batches, sum(CASE WHEN bad THEN 2 ELSE 1 END)::BIGINT AS n_tries, true AS done, sum(n)::BIGINT AS n_vectors FROM b GROUP BY 1""",
 }

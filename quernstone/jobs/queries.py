@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import kb_part, short_id
+from ..functions.keys import kb_part, seal, short_id, signature
 from ..functions.text import chunks_fixed, chunks_lines, chunks_recursive, chunks_sentences, html_to_text, token_count
-from ..operators import access, catalog, clusters, embedding, keywords, mutations, retrieval
+from ..operators import access, catalog, clusters, dictionary, embedding, keywords, mutations, retrieval, vector_index
 from ..operators.trigrams import TrigramEmbedder
+from ..sources import urls
 from ..sources.tables import chunk_table, documents, table, tagged_documents
+from ..streaming import delivery, ingest, sweep
+from ..streaming import embedding as embed_stream
 from ..streaming import events as feed
-from ..streaming import ingest
 from .scratch import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,6 +243,35 @@ def hybrid_query_rrf(spark, sf_dir):
     return retrieval.hybrid_rrf(documents(spark, sf_dir), asked_texts(spark, sf_dir), TOP)
 
 
+def _indexed(spark, sf_dir) -> str:
+    """An index of all vectors, each label a base; the path."""
+    path = scratch(spark, "vector-index")
+    vector_index.build(table(spark, sf_dir, "embeddings").select(kb_part(F.concat(F.lit("label"), "label")).alias("kb_part"), "vec_id", "embedding"), path)
+    return path
+
+
+@query
+def vector_index_topk(spark, sf_dir):
+    """From the stored graphs of all bases. A base of at most 128 vectors is searched whole, larger ones by a walk."""
+    return vector_index.search(vector_index.stored(spark, _indexed(spark, sf_dir)), asked_vectors(spark, sf_dir), 10)
+
+
+@query
+def vector_index_base(spark, sf_dir):
+    """From one base's directory; similar ones only."""
+    part = spark.range(1).select(kb_part(F.lit("label3"))).first()[0]
+    return vector_index.search(vector_index.stored(spark, _indexed(spark, sf_dir), part), asked_vectors(spark, sf_dir), 5, min_score=0.1)
+
+
+@query
+def vector_index_contents(spark, sf_dir):
+    """What the index holds of each base once another base was dropped."""
+    path = _indexed(spark, sf_dir)
+    part = spark.range(1).select(kb_part(F.lit("label3"))).first()[0]
+    mutations.drop_partition(spark, path, "kb_part", part)
+    return vector_index.contents(vector_index.stored(spark, path))
+
+
 FILTER = {"and": [{"field": "lang", "op": "in", "value": ["en", "de"]}, {"not": {"field": "n_chars", "op": "<", "value": 300}}]}
 
 
@@ -665,3 +696,101 @@ def retrain_event(spark, sf_dir):
     """The event that a training raises: how many clusters of how many rows."""
     made = feed.of_clusters("all", clusters.lloyd(table(spark, sf_dir, "embeddings"), labelled_centroids(spark, sf_dir), 1))
     return made.select("event_type", "kb_id", *[F.get_json_object("payload", f"$.{c}").cast("long").alias(c) for c in ("n_clusters", "n_rows")])
+
+
+# streams with state, and jobs that go on where they stopped
+
+
+def _kinds() -> Column:
+    """Purchases, errors and sign-ups are events of the three types."""
+    kind = F.col("event_type")
+    return F.when(kind == "purchase", feed.EVENT_TYPES[0]).when(kind == "error", feed.EVENT_TYPES[1]).when(kind == "signup", feed.EVENT_TYPES[2])
+
+
+@query
+def webhook_backoff(spark, sf_dir):
+    """Each hook has its own sealed secret. A receiver refuses an event whose number ends in 7 every time, in 3 twice: attempts and waits of each hook."""
+    path, schema = _streamed(spark, sf_dir, "events")
+    rows = spark.readStream.schema(schema).parquet(path).select("event_id", _kinds().alias("event_type"), F.to_json(F.struct("event_id", "user_id")).alias("payload")).where("event_type is not null")
+    keys = spark.range(1).select(F.unhex(F.lit("000102030405060708090a0b0c0d0e0f")).alias("key"))
+    hooks = _hooks(spark, sf_dir).crossJoin(F.broadcast(keys)).withColumn("secret_ciphertext", seal(F.concat(F.lit("secret of "), "id"), F.col("key")))
+
+    def send(url: str, body: str, headers: dict[str, str]) -> str | None:
+        if headers["x-signature"] != signature("secret of " + url.rsplit("/", 1)[1], body):
+            return "status 401"
+        last, attempt = headers["x-event-id"][-1], int(headers["x-attempt"])
+        return "status 503" if last == "7" or last == "3" and attempt < 3 else None
+
+    sink = scratch(spark, "deliveries")
+    stream = delivery.start(delivery.signed(rows, hooks, keys), sink, scratch(spark, "deliveries-state"), send, first_ms=100, most=4, slots=4)
+    delivery.settle(stream, spark, sink)
+    return delivery.ledger(spark, sink).groupBy("webhook_id").agg(
+        F.countDistinct("event_id").alias("n_events"), F.count("*").alias("n_attempts"), F.count_if(F.col("status") == "delivered").alias("n_delivered"),
+        F.count_if(F.col("status") == "failed").alias("n_failed"), F.sum("wait_ms").alias("wait_ms"), F.max("last_error").alias("last_error"),
+    )
+
+
+@query
+def timeout_sweep_stream(spark, sf_dir):
+    """The sweep by timers, the events' time being the clock: the same documents as `timeout_sweep`."""
+    path, schema = _streamed(spark, sf_dir, "events")
+    changes = feed.event_stream(spark, path, schema).select(F.col("event_id").alias("doc_id"), F.when(F.col("event_type") == "purchase", "processing").otherwise("completed").alias("status"), F.col("ts").alias("at"))
+    sink = scratch(spark, "swept")
+    feed.append_to(sweep.swept(changes, 60, slots=32, event_time=True), sink, scratch(spark, "swept-state"))
+    return spark.read.schema("doc_id long").parquet(sink)
+
+
+@query
+def url_ingest(spark, sf_dir):
+    """Every page's url, fetched through a transport that answers by the url's length: there, moved, not now, not there, no line."""
+    asked: dict[str, int] = {}
+
+    def transport(url: str) -> urls.Answer:
+        asked[url] = asked.get(url, 0) + 1
+        kind = -1 if url.endswith("#moved") else len(url) % 10
+        if kind == 3:
+            raise ConnectionError("refused")
+        if kind == 2:
+            return urls.Answer(302, location=url + "#moved")
+        if kind == 0 or kind == 1 and asked[url] == 1:
+            return urls.Answer(404 if kind == 0 else 503)
+        return urls.Answer(200, "text/plain; charset=utf-8", url.encode())
+
+    rows = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.ingest_urls(rows, "page_id", transport, urls.Rules(tries=2, first_wait=0.0)).select("page_id", "url", "status", "error", "text")
+
+
+@query
+def keyword_dictionary_stream(spark, sf_dir):
+    """Two thirds of the documents, then the others and new texts for some of the first, then toxic ones go: the counts after three batches."""
+    docs = documents(spark, sf_dir).select("doc_id", "kb_id", "text")
+    drop, store = scratch(spark, "changes"), scratch(spark, "dictionary")
+    first = docs.where("doc_id % 3 <> 0").withColumns({"version": F.lit(1), "deleted": F.lit(False)})
+    replaced = docs.where("doc_id % 9 = 1").withColumn("text", F.substring_index("text", "\n", 1))
+    second = docs.where("doc_id % 3 = 0").unionByName(replaced).withColumns({"version": F.lit(2), "deleted": F.lit(False)})
+    gone = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.lit(None).cast("string").alias("kb_id"), F.lit(None).cast("string").alias("text"), F.lit(3).alias("version"), F.lit(True).alias("deleted"))
+    state = scratch(spark, "dictionary-state")
+    for batch in (first, second, gone):
+        batch.write.mode("append").parquet(drop)
+        changes = spark.readStream.schema("doc_id long, kb_id string, text string, version int, deleted boolean").parquet(drop)
+        dictionary.run_stream(changes, store, state)
+    return dictionary.current(spark, store)
+
+
+@query
+def embed_resume(spark, sf_dir):
+    """A batch whose first text has a length that 7 divides fails at first; a second run embeds those alone."""
+
+    class Flaky(TrigramEmbedder):
+        def embed(self, texts):
+            if len(texts.iloc[0]) % 7 == 0:
+                raise TimeoutError("no answer")
+            return super().embed(texts)
+
+    chunks = chunk_table(documents(spark, sf_dir), "fixed", SIZE, OVERLAP).select("doc_id", "chunk_ix", "chunk_id", "content")
+    store = scratch(spark, "vectors")
+    embed_stream.resume(chunks, store, Flaky(64), per_batch=8, waves=2)
+    embed_stream.resume(chunks, store, TrigramEmbedder(64), per_batch=8)
+    state = embed_stream.ledger(spark, store).groupBy("doc_id").agg(F.count("*").alias("n_batches"), F.sum("tries").alias("n_tries"), F.bool_and("done").alias("done"))
+    made = embed_stream.vectors(spark, store).groupBy("doc_id").agg(F.count("embedding").alias("n_vectors"))
+    return state.join(made, "doc_id", "left")

@@ -39,13 +39,22 @@ EMBED_BATCH = _struct(doc_id=_l, batch_ix=_i, done=_b)
 PAIRED_CLIENT = _struct(id=_s, label=_s, platform=_s, cert_serial=_s, scopes=ArrayType(_s), kb_ids=ArrayType(_s), status=_s, last_seen_at=_t, revoked_at=_t, created_at=_t)
 PAIRING_CODE = _struct(code=_s, paired_client_id=_s, label=_s, expires_at=_t, consumed_at=_t, attempts=_i, created_at=_t)
 MODEL_ENDPOINT = _struct(
-    id=_s, paired_client_id=_s, kind=_s, provider=_s, model=_s, dimension=_i, base_url=_s, key_ciphertext=BinaryType(), source=_s, external_id=_s, label=_s
+    id=_s, paired_client_id=_s, kind=_s, provider=_s, template=_s, model=_s, dimension=_i, base_url=_s, key_ciphertext=BinaryType(), source=_s, external_id=_s,
+    label=_s, created_at=_t, updated_at=_t,
 )
-WEBHOOK = _struct(id=_s, paired_client_id=_s, url=_s, events=ArrayType(_s), created_at=_t)
-WEBHOOK_DELIVERY = _struct(id=_s, webhook_id=_s, event_id=_l, status=_s, attempts=_i, last_error=_s, created_at=_t)
+KNOWLEDGE_BASE = _struct(
+    id=_s, paired_client_id=_s, owner_id=_s, name=_s, embedding_endpoint_id=_s, inference_endpoint_id=_s, chunk_size=_i, chunk_overlap=_i, kmeans_k=_i, created_at=_t
+)
+EMBEDDING_KEYWORD = _struct(kb_id=_s, chunk_id=_s, keyword=_s, tf=_l)
+DOCUMENT_KEYWORD = _struct(kb_id=_s, doc_id=_l, keyword=_s, rank=_i, score=_d)
+WEBHOOK = _struct(id=_s, paired_client_id=_s, url=_s, secret_ciphertext=BinaryType(), events=ArrayType(_s), created_at=_t)
+WEBHOOK_DELIVERY = _struct(id=_s, webhook_id=_s, event_id=_s, status=_s, attempts=_i, last_error=_s, created_at=_t)
 MATCH = _struct(query_id=_l, rank=_i, doc_id=_l, score=_d, vector_score=_d, keyword_score=_d, content=_s)
 
 TABLES = {
+    "knowledge_base": KNOWLEDGE_BASE,
+    "embedding_keyword": EMBEDDING_KEYWORD,
+    "document_keyword": DOCUMENT_KEYWORD,
     "document": DOCUMENT,
     "chunk": CHUNK,
     "cluster": CLUSTER,

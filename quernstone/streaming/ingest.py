@@ -55,7 +55,7 @@ def run_to_end(docs: DataFrame, sink: str, checkpoint: str, embedder: Embedder,
         batches = kept(chunks.groupBy("kb_id", "doc_id", "batch_ix").agg(F.bool_and(F.col("embedding").isNotNull()).alias("done")), "embed_batch")
         kept(dictionary(named), "keyword")
         done = named.select("doc_id", "kb_id").join(finalize(batches), "doc_id", "left")  # a document without text has no batch
-        kept(of_documents(done.withColumn("finished", F.coalesce("finished", F.lit(False)))), "event")
+        kept(of_documents(done.withColumns({"finished": F.coalesce("finished", F.lit(False)), "version": F.lit(number)})), "event")
 
     docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -69,14 +69,15 @@ def enqueue(jobs: DataFrame, queue: str) -> None:
 
 
 def work(spark: SparkSession, queue: str, checkpoint: str, handlers: dict[str, Callable[[DataFrame, int], None]]) -> None:
-    """Hand each kind of waiting jobs to its handler, with the batch's number; what was handled is not handed out again."""
+    """Hand each kind of waiting jobs to its handler, with the batch's number; what was handled is not handed out again.
 
-    def run(batch: DataFrame, number: int) -> None:
-        for job, handle in handlers.items():
-            handle(batch.where(F.col("job") == job), number)
-
-    stream = spark.readStream.schema("job string, kb_id string, doc_id long").parquet(queue)
-    stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    Each kind is a stream with a place of its own in the checkpoint: jobs that this worker has no handler for wait for one that has.
+    """
+    for job, handle in handlers.items():
+        if job not in JOBS:
+            raise ValueError(f"unknown job {job!r}")
+        stream = spark.readStream.schema("job string, kb_id string, doc_id long").parquet(queue).where(F.col("job") == job)
+        stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{checkpoint}/{job}").trigger(availableNow=True).start().awaitTermination()
 
 
 def finalize(batches: DataFrame) -> DataFrame:
