@@ -138,6 +138,43 @@ ENDPOINTS = """old AS (SELECT n_regionkey::VARCHAR AS paired_client_id, 'local'
 TAGS = f"""{DOCS}, {TAGGED}, defs AS (SELECT DISTINCT kb_id, slot, name FROM (SELECT kb_id, 'tag1' AS slot, 'language' AS name FROM t WHERE tag1 IS NOT NULL
     UNION ALL SELECT kb_id, 'tag2', 'quality' FROM t WHERE tag2 IS NOT NULL UNION ALL SELECT kb_id, 'tag3', 'toxic' FROM t WHERE tag3 IS NOT NULL))"""
 
+
+def far(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+
+def kmeans_bases() -> str:
+    """k-means|| of three bases in three turns, the pick of k seeds, three rounds."""
+
+    def drawn(turn: int) -> str:
+        return f"('0x' || substr(md5('0:{turn}:' || kb || ':' || vec_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496"
+
+    steps = ["b AS (SELECT 'b' || (label % 3)::VARCHAR AS kb, vec_id, embedding::DOUBLE[] AS e, label % 3 + 2 AS k FROM embeddings)", f"c0 AS (SELECT kb, arg_min(vec_id, {drawn(0)}) AS vec_id FROM b GROUP BY kb)"]
+    for t in (1, 2, 3):
+        steps += [
+            f"d{t} AS (SELECT b.kb, b.vec_id, b.k, min({far('b.e', 'x.e')}) AS d2 FROM b JOIN c{t - 1} c ON c.kb = b.kb JOIN b x ON x.vec_id = c.vec_id GROUP BY ALL)",
+            f"c{t} AS (SELECT kb, vec_id FROM c{t - 1} UNION SELECT kb, vec_id FROM (SELECT *, sum(d2) OVER (PARTITION BY kb) AS phi FROM d{t}) WHERE d2 > 0 AND {drawn(t)} < 2 * k * d2 / phi)",
+        ]
+    steps += [
+        "c AS (SELECT b.* FROM c3 JOIN b USING (kb, vec_id))",
+        f"w AS (SELECT kb, own AS vec_id, count(*) AS n FROM (SELECT b.kb, b.vec_id, arg_min(c.vec_id, (round({far('b.e', 'c.e')}, 6), c.vec_id)) AS own FROM b JOIN c ON c.kb = b.kb GROUP BY ALL) GROUP BY ALL)",
+        "cand AS (SELECT c.*, n FROM c JOIN w USING (kb, vec_id))",
+        f"""picks AS (SELECT kb, 1 AS i, [arg_min(vec_id, (-n, vec_id))] AS ids FROM cand GROUP BY kb UNION ALL
+            SELECT kb, i + 1, list_append(ids, arg_min(vec_id, (-gain, vec_id))) FROM (
+              SELECT p.kb, p.i, p.ids, c.vec_id, round(c.n * min({far('c.e', 's.e')}), 6) AS gain FROM picks p JOIN cand c ON c.kb = p.kb JOIN cand s ON s.kb = p.kb AND list_contains(p.ids, s.vec_id)
+              WHERE p.i < c.k AND NOT list_contains(p.ids, c.vec_id) GROUP BY p.kb, p.i, p.ids, c.vec_id, c.n) WHERE gain > 0 GROUP BY kb, i, ids)""",
+        "m0 AS (SELECT b.kb, b.vec_id AS cid, b.e AS c FROM b JOIN (SELECT kb, unnest(arg_max(ids, i)) AS vec_id FROM picks GROUP BY kb) USING (kb, vec_id))",
+    ]
+    for r in (1, 2, 3):
+        steps += [
+            f"a{r} AS (SELECT b.kb, b.vec_id, b.e, arg_min(m.cid, (round({far('b.e', 'm.c')}, 6), m.cid)) AS cid FROM b JOIN m{r - 1} m ON m.kb = b.kb GROUP BY ALL)",
+            f"m{r} AS (SELECT kb, cid, list(x ORDER BY pos) AS c FROM (SELECT kb, cid, pos, avg(x) AS x FROM (SELECT kb, cid, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM a{r}) GROUP BY ALL) GROUP BY ALL)",
+        ]
+    return f"""WITH RECURSIVE {', '.join(steps)}, z AS (SELECT kb, cid, count(*) AS size FROM a3 GROUP BY ALL),
+        o AS (SELECT kb, row_number() OVER (PARTITION BY kb ORDER BY cid) - 1 AS cluster_id, size, c FROM m3 JOIN z USING (kb, cid))
+        SELECT kb AS kb_id, cluster_id, size, generate_subscripts(c, 1) - 1 AS pos, round(unnest(c), 6) AS x FROM o"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "kb_list": f"WITH {DOCS} " + KB_LIST.format(where=""),
     "kb_get": f"WITH {DOCS} " + KB_LIST.format(where="WHERE kb_id = 'src7'"),
@@ -270,4 +307,13 @@ ORACLE_SQL: dict[str, str] = {
     + DICTIONARY.format(words=words("text"), rows="now"),
     "embed_resume": f"""WITH {DOCS}, c AS ({exploded('d', fixed('text'))}), b AS (SELECT doc_id, chunk_ix // 8 AS b, count(*) AS n, arg_min(length(content), chunk_ix) % 7 = 0 AS bad FROM c GROUP BY ALL)
         SELECT doc_id, count(*) AS n_batches, sum(CASE WHEN bad THEN 2 ELSE 1 END)::BIGINT AS n_tries, true AS done, sum(n)::BIGINT AS n_vectors FROM b GROUP BY 1""",
+    "recluster_bases": kmeans_bases(),
+    "cluster_silhouette": f"""WITH b AS (SELECT 'b' || (label % 3)::VARCHAR AS kb_id, label AS cluster_id, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        d AS (SELECT x.kb_id, x.cluster_id, x.vec_id, y.cluster_id AS other, sum({far('x.e', 'y.e')}) AS s, count(*) AS n FROM b x JOIN b y ON x.kb_id = y.kb_id GROUP BY ALL),
+        s AS (SELECT kb_id, cluster_id, vec_id, sum(s) FILTER (other = cluster_id) / greatest(sum(n) FILTER (other = cluster_id) - 1, 1) AS a, min(s / n) FILTER (other <> cluster_id) AS b, sum(n) FILTER (other = cluster_id) AS own FROM d GROUP BY ALL)
+        SELECT kb_id, cluster_id::BIGINT AS cluster_id, count(*) AS size, round(avg(CASE WHEN own > 1 AND b IS NOT NULL AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette FROM s GROUP BY ALL""",
+    "retrain_stream": """SELECT 'clusters.retrained' AS event_type, 'b' || (label % 3)::VARCHAR AS kb_id, 0::BIGINT AS batch, (label % 3 + 2)::BIGINT AS n_clusters, count(*) AS n_rows FROM embeddings WHERE vec_id % 10 < 7 GROUP BY label % 3
+        UNION ALL SELECT 'clusters.retrained', 'b' || (label % 3)::VARCHAR, 2, (label % 3 + 2)::BIGINT, count(*) FROM embeddings GROUP BY label % 3""",
+    "filter_nested": """SELECT doc_id FROM documents WHERE (doc_id % 7 <> 0 AND n_chars >= 1500 AND doc_id % 11 <> 0 AND 'de' IN (lang, source))
+        OR (doc_id % 11 <> 0 AND source IN ('src1', 'src2') AND doc_id % 7 <> 0 AND n_chars >= 900.5) OR doc_id % 97 = 0""",
 }

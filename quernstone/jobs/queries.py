@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import kb_part, seal, short_id, signature
+from ..functions.metadata import variant
 from ..functions.text import chunks_fixed, chunks_lines, chunks_recursive, chunks_sentences, html_to_text, token_count
-from ..operators import access, catalog, clusters, dictionary, embedding, keywords, mutations, retrieval, vector_index
+from ..operators import access, catalog, clusters, dictionary, embedding, keywords, kmeans, mutations, retrieval, vector_index
 from ..operators.trigrams import TrigramEmbedder
 from ..sources import urls
 from ..sources.tables import chunk_table, documents, table, tagged_documents
-from ..streaming import delivery, ingest, sweep
+from ..streaming import delivery, ingest, sweep, training
 from ..streaming import embedding as embed_stream
 from ..streaming import events as feed
 from .scratch import scratch
@@ -794,3 +795,56 @@ def embed_resume(spark, sf_dir):
     state = embed_stream.ledger(spark, store).groupBy("doc_id").agg(F.count("*").alias("n_batches"), F.sum("tries").alias("n_tries"), F.bool_and("done").alias("done"))
     made = embed_stream.vectors(spark, store).groupBy("doc_id").agg(F.count("embedding").alias("n_vectors"))
     return state.join(made, "doc_id", "left")
+
+
+def _based_vectors(spark, sf_dir):
+    """Vectors of three bases, by their label; a base's number plus 2 is its k."""
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("b"), F.col("label") % 3).alias("kb_id"), "vec_id", "embedding")
+    return rows, spark.range(3).select(F.concat(F.lit("b"), "id").alias("kb_id"), (F.col("id") + 2).alias("k"))
+
+
+@query
+def recluster_bases(spark, sf_dir):
+    """Seeds by k-means|| and three rounds, for all bases in one job."""
+    rows, ks = _based_vectors(spark, sf_dir)
+    done = kmeans.train(rows, ks, 3)
+    return done.select("kb_id", "cluster_id", "size", F.posexplode("centroid").alias("pos", "x")).select("kb_id", "cluster_id", "size", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@query
+def cluster_silhouette(spark, sf_dir):
+    """Labels are the clusters of three bases."""
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("b"), F.col("label") % 3).alias("kb_id"), "vec_id", "embedding", F.col("label").cast("long").alias("cluster_id"))
+    return kmeans.silhouette(rows)
+
+
+@query
+def retrain_stream(spark, sf_dir):
+    """Three batches of 70, 10 and 20 percent: trained at the first and, grown by more than a fifth, at the third."""
+    rows, ks = _based_vectors(spark, sf_dir)
+    drop, store, state = scratch(spark, "vectors"), scratch(spark, "training"), scratch(spark, "training-state")
+    for part in ("vec_id % 10 < 7", "vec_id % 10 = 7", "vec_id % 10 > 7"):
+        rows.where(part).write.mode("append").parquet(drop)
+        training.run(spark.readStream.schema("kb_id string, vec_id long, embedding array<float>").parquet(drop), store, state, ks, rounds=2)
+    made = training.read(spark, store, "event", training.EVENTS)
+    return made.select("event_type", "kb_id", "batch", *[F.get_json_object("payload", f"$.{c}").cast("long").alias(c) for c in ("n_clusters", "n_rows")])
+
+
+NESTED = {"or": [
+    {"and": [{"field": "metadata.size.chars", "op": ">=", "value": 1500}, {"field": "metadata.tags", "op": "contains", "value": "de"}]},
+    {"and": [{"field": "metadata.tags[1]", "op": "in", "value": ["src1", "src2", 7]}, {"not": {"field": "metadata.size.chars", "op": "<", "value": 900.5}}]},
+    {"field": "metadata.odd", "op": "exists", "value": True},
+]}
+
+
+@query
+def filter_nested(spark, sf_dir):
+    """Metadata as JSON, nested; every seventh document tells its size as a text, every eleventh has no tags, every 97th has something odd, every 98th null for it."""
+    number = F.col("doc_id")
+    size = F.when(number % 7 == 0, F.to_json(F.struct(F.col("n_chars").cast("string").alias("chars")))).otherwise(F.to_json(F.struct("n_chars"))).alias("size")
+    json = F.concat(
+        F.lit('{"size":'), F.regexp_replace(size, "n_chars", "chars"), F.when(number % 11 != 0, F.concat(F.lit(',"tags":'), F.to_json(F.array("lang", "source")))).otherwise(""),
+        F.when(number % 97 == 0, ',"odd":{"a":[]}').when(number % 98 == 0, ',"odd":null').otherwise(""), F.lit("}"),
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", json.alias("json"))
+    return retrieval.filtered(docs.withColumn("metadata", variant(F.col("json"))), where=NESTED).select("doc_id")

@@ -18,8 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from ..functions.keys import kb_part
+from ..functions.metadata import condition
 from ..functions.text import tokens
 from .access import scoped
 from .embedding import embed_with
@@ -29,17 +31,23 @@ from .trigrams import TrigramEmbedder, unit_vectors
 DECIMALS, QUERIES, CELLS, K1, B, PACKED = 6, 256, 4_000_000, 1.2, 0.75, 16_000_000
 
 
-def compile_filter(spec: dict | None, columns: list[str]) -> Column:
-    """A filter such as {"and": [{"field": "lang", "op": "=", "value": "en"}, ...]} as a column."""
+def compile_filter(spec: dict | None, columns: list[str], variants: tuple[str, ...] = ()) -> Column:
+    """A filter such as {"and": [{"field": "lang", "op": "=", "value": "en"}, ...]} as a column.
+
+    A field is a column, or a path below one of the variant columns, such as `metadata.size.chars`.
+    """
     if not spec:
         return F.lit(True)
     if "and" in spec:
-        return reduce(lambda a, b: a & b, [compile_filter(s, columns) for s in spec["and"]], F.lit(True))
+        return reduce(lambda a, b: a & b, [compile_filter(s, columns, variants) for s in spec["and"]], F.lit(True))
     if "or" in spec:
-        return reduce(lambda a, b: a | b, [compile_filter(s, columns) for s in spec["or"]], F.lit(False))
+        return reduce(lambda a, b: a | b, [compile_filter(s, columns, variants) for s in spec["or"]], F.lit(False))
     if "not" in spec:
-        return ~compile_filter(spec["not"], columns)
+        return ~compile_filter(spec["not"], columns, variants)
     field, op, value = spec["field"], spec["op"], spec.get("value")
+    root = next((v for v in variants if field.startswith((f"{v}.", f"{v}["))), None)
+    if root is not None and field not in columns:
+        return condition(F.col(root), field[len(root) :], op, value)
     if field not in columns:
         raise ValueError(f"unknown field {field!r}")
     column = F.col(field)
@@ -361,14 +369,21 @@ def query(
     return found
 
 
+def _variants(rows: DataFrame) -> tuple[str, ...]:
+    return tuple(f.name for f in rows.schema.fields if isinstance(f.dataType, VariantType))
+
+
 def filtered(rows: DataFrame, mode: str = "hybrid", where: dict | None = None, tags: dict[str, str] | None = None) -> DataFrame:
     """The rows that a query looks at."""
+    return rows.where(_kept(rows, mode, where, tags))
+
+
+def _kept(rows: DataFrame, mode: str, where: dict | None, tags: dict[str, str] | None) -> Column:
     if mode not in ("hybrid", "v1-tags"):
         raise ValueError(f"unknown mode {mode!r}")
-    if "included" in rows.columns:
-        rows = rows.where("included")
-    rows = rows.where(compile_filter(where, rows.columns))
-    return rows.where(tag_filter(tags or {})) if mode == "v1-tags" else rows
+    included = F.col("included") if "included" in rows.columns else F.lit(True)
+    kept = included & compile_filter(where, rows.columns, _variants(rows))
+    return kept & tag_filter(tags or {}) if mode == "v1-tags" else kept
 
 
 @dataclass
@@ -388,8 +403,7 @@ def answer(chunks: DataFrame, clients: DataFrame, client_id: str, kb_id: str, qu
     base = chunks.where((F.col("kb_id") == kb_id) & (F.col("kb_part") == kb_part(F.lit(kb_id))))
     seen = scoped(base, clients, client_id)
     matches = query(seen, queries, k, mode, where, tags, item="chunk_id", **options)
-    kept = filtered(seen, mode, where, tags)
-    counted = seen.agg(F.count("*").alias("scanned")).crossJoin(kept.agg(F.count("*").alias("kept")))  # one row each
+    counted = seen.agg(F.count("*").alias("scanned"), F.count_if(_kept(seen, mode, where, tags)).alias("kept"))
     words = queries.agg(F.coalesce(F.sum(F.size(tokens(F.coalesce("text", F.lit(""))))), F.lit(0)).alias("query_tokens"))
     found = matches.groupBy("query_id").agg(F.count("*").alias("matches"), F.max("score").alias("best_score"), F.min("score").alias("least_score"))
     return Answer(matches, counted.crossJoin(words), queries.select("query_id").join(found, "query_id", "left").fillna(0, ["matches"]))

@@ -149,3 +149,28 @@ def test_projection_against_numpy(spark):
     _, _, axes = np.linalg.svd(x - x.mean(0), full_matrices=False)
     want = x @ axes[:2].T
     assert np.allclose(np.abs(found), np.abs(want), atol=1e-6)
+
+
+def test_nested_filters(spark):
+    rows = [
+        (1, '{"n": 5, "s": "five", "l": [1, "x", 2.5], "d": {"e": [{"f": true}]}}'), (2, '{"n": 5.5, "s": 5, "l": []}'), (3, '{"n": "5", "l": "text with x"}'),
+        (4, '{"n": null}'), (5, None), (6, "no json"), (7, '{"n": 9007199254740993, "d": {"e": []}}'), (8, '{"n": 9007199254740992}'),
+    ]
+    df = spark.createDataFrame(rows, "id int, json string").select("id", F.try_parse_json("json").alias("m"))
+
+    def kept(spec):
+        return [r["id"] for r in retrieval.filtered(df, where=spec).orderBy("id").collect()]
+
+    def one(path, op, value):
+        return kept({"field": f"m{path}", "op": op, "value": value})
+
+    assert one(".n", "=", 5) == [1] and one(".n", ">", 5) == [2, 7, 8] and one(".n", "<=", 5.5) == [1, 2]
+    assert one(".n", "=", 9007199254740993) == [7]
+    assert one(".n", "=", "5") == [3] and one(".s", "<>", "five") == [] and one(".s", "in", ["five", 5]) == [1, 2] and one(".s", "in", []) == []
+    assert one(".l", "contains", "x") == [1, 3] and one(".l", "contains", 2.5) == [1] and one(".l", "contains", 7) == []
+    assert one(".d.e[0].f", "=", True) == [1] and one(".d.e[0]", "exists", True) == [1] and one(".n", "exists", False) == [4, 5, 6]
+    assert kept({"not": {"field": "m.n", "op": ">", "value": 5}}) == [1]  # neither a text nor what is missing
+    with pytest.raises(ValueError):
+        one(".n; drop", "=", 1)
+    with pytest.raises(ValueError):
+        one(".n", "like", 1)
