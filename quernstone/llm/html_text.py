@@ -4,14 +4,18 @@ The standard library's parser streams its events into lines, one for each block
 met in it. The text-to-tag ratio of each line is smoothed by a Gaussian kernel and split into two clusters
 by a threshold; lines of the upper cluster are content, and they decide which region of the page is the article:
 
-- If an article or main element is around nearly all content, its lines are the region, short ones and all.
-- Otherwise the content lines are, with every line between the first and the last of them that isn't all links,
-  and with the headings and text blocks beside the elements that hold them which adjoin these (a main heading may
-  lie anywhere).
+- If article elements hold nearly all content, the region is all of them, short lines and all, but for teasers: articles without
+  a content line that are mostly links or whose heading is one. Headings right before an article, a main heading where the
+  articles have none, and content lines beside them in the same main element belong to it too.
+- Otherwise, if main elements hold nearly all content, their lines are the region.
+- Otherwise the content lines are, with every line between the first and the last of them that isn't all links or is a
+  paragraph between paragraphs, and with the headings and text blocks beside the elements that hold them which adjoin these (a
+  main heading may lie anywhere).
 
 Elements that say by their tag or role, or by a whole class or id, that they are navigation, adverts, forms, notices
 or comments never count as text. A class such as `cookie-notice` or `sidebar-left` says so, as all of its parts do or
-say where it is; `no-sidebar`, `ad-free` or `notice-period` don't.
+say where it is; `no-sidebar`, `ad-free` or `notice-period` don't. A single block of text inside an article whose name is also an
+ordinary word, such as `search` or `share`, is text if it is a content line.
 
 Nulls: null html gives an empty text and 0 characters; a null id or url is kept. Pages without any text,
 and pages whose every block is furniture, give an empty text. Character references are decoded, white space
@@ -43,8 +47,10 @@ BLOCKS = frozenset(
 )
 # What classes, ids and roles of page furniture are called.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar nav navbar navigation menu menubar breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert newsletter subscribe signup login popup modal overlay comment comments commentlist disqus respond replies reply related recommended share sharing social widget widgets pagination pager toolbar skip contentinfo complementary search".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar nav navbar navigation menu menubar breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert newsletter subscribe signup login popup modal overlay comment comments commentlist disqus respond replies reply related recommended share sharing social widget widgets pagination pager toolbar skip contentinfo complementary search copyright colophon".split()
 )
+# Those of them that running text may be named by, too.
+ORDINARY = frozenset("search share sharing social related recommended reply replies respond menu skip signup subscribe login toolbar popup".split())
 NOT_IN_ARTICLE = frozenset("header banner".split())
 # Parts of such names that only say where or what kind of element it is.
 PLACES = frozenset(
@@ -72,7 +78,7 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, whether it is furniture, number of the element
+        self.stack: list[tuple[str, bool, int, bool]] = []  # tag, whether it is furniture, number of the element, whether it is doubtful
         self.parents: list[int] = [0]  # of each element, from the page itself at 0
         self.names: list[str] = [""]
         self.lines: list[tuple[str, int, int]] = []
@@ -81,6 +87,7 @@ class Lines(HTMLParser):
         self.anchors = 0
         self.plain = False  # whether the buffer has text outside links
         self.links: set[int] = set()  # lines that are all links
+        self.doubtful: set[int] = set()  # lines in blocks that may be furniture by their name
         self.hidden = 0
         self.inside = 0
 
@@ -88,21 +95,28 @@ class Lines(HTMLParser):
         if text := " ".join("".join(self.buffer).split()):
             if not self.plain:
                 self.links.add(len(self.lines))
+            if any(x[3] for x in self.stack):
+                self.doubtful.add(len(self.lines))
             self.lines.append((text, self.tags, self.stack[-1][2] if self.stack else 0))
             self.tags = 0
         self.buffer.clear()
         self.anchors, self.plain = 0, False
 
-    def furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def furniture(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool | None:
+        """Whether an element is furniture; None: perhaps."""
+        doubt = False
         if tag in FURNITURE or tag == "header" and not self.inside:
             return True
         for key, value in attrs:
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in (value or "").replace(" ", ""):
                 return True
             if key in ("class", "id", "role") and value and tag not in ("html", "body", "article", "main"):
-                if any(says_furniture(name, bool(self.inside)) for name in value.split()):
+                named = [name for name in value.split() if says_furniture(name, bool(self.inside))]
+                if named and self.inside and tag in TEXTS and key != "role" and all(name.lower() in ORDINARY for name in named):
+                    doubt = True
+                elif named:
                     return True
-        return False
+        return None if doubt else False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -113,7 +127,8 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         block = tag in BLOCKS or tag in FURNITURE
-        hides = self.furniture(tag, attrs)
+        said = self.furniture(tag, attrs)
+        hides = bool(said)
         if not block and not hides:
             return
         if block:
@@ -124,7 +139,7 @@ class Lines(HTMLParser):
                 self.pop()
         self.parents.append(self.stack[-1][2] if self.stack else 0)
         self.names.append(tag)
-        self.stack.append((tag, hides, len(self.parents) - 1))
+        self.stack.append((tag, hides, len(self.parents) - 1, said is None))
         self.hidden += hides
         self.inside += tag in ("article", "main")
 
@@ -134,7 +149,7 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def pop(self) -> None:
-        tag, hides, _ = self.stack.pop()
+        tag, hides, _, _ = self.stack.pop()
         self.hidden -= hides
         self.inside -= tag in ("article", "main")
 
@@ -191,33 +206,61 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.8) -> str:
     ratios = np.array([len(text) / max(1, tags) for text, tags, _ in lines])
     smoothed = smooth(np.log1p(ratios), sigma)
     content = smoothed >= threshold(smoothed)
-    held = np.zeros(len(parser.parents))
-    for (text, _, at), is_content in zip(lines, content):
-        if is_content:
-            held[at] += len(text)
-    for at in range(len(held) - 1, 0, -1):  # an element has a larger number than the one around it
-        held[parser.parents[at]] += held[at]
-    best = max(at for at in range(len(held)) if held[at] >= share * held[0] and parser.names[at] in HOLDERS)
-    around = [best]
-    while around[-1]:
-        around.append(parser.parents[around[-1]])
-    whole = [at for name in ("article", "main") for at in around if parser.names[at] == name]
-    if whole:
-        inside = np.zeros(len(held), bool)
-        inside[whole[0]] = True
-        for at in range(whole[0] + 1, len(held)):
-            inside[at] = inside[parser.parents[at]]
-        kept = np.array([inside[at] for _, _, at in lines])
+    sizes = np.array([len(text) for text, _, _ in lines])
+    for name in ("article", "main"):
+        root = roots(parser, name)
+        own = np.array([root[at] for _, _, at in lines])
+        if sizes[content & (own > 0)].sum() >= share * sizes[content].sum() and own.any():
+            kept = articles(parser, content, own, sizes) if name == "article" else own > 0
+            break
     else:
         kept = region(parser, content)
+    doubtful = np.array([i in parser.doubtful for i in range(len(lines))])
+    kept &= ~doubtful | content
     return "\n".join(text for (text, _, _), keep in zip(lines, kept) if keep)
 
 
+def roots(parser: Lines, name: str) -> np.ndarray:
+    """The outermost element of a name around each element, 0 if there is none."""
+    root = np.zeros(len(parser.parents), int)
+    for at in range(1, len(root)):  # an element has a larger number than the one around it
+        root[at] = root[parser.parents[at]] or (at if parser.names[at] == name else 0)
+    return root
+
+
+def articles(parser: Lines, content: np.ndarray, own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The lines of all articles (own: each line's, 0 outside) but teasers, and what belongs to them in front and beside."""
+    tags = [parser.names[at] for _, _, at in parser.lines]
+    links = np.array([i in parser.links for i in range(len(own))])
+    heads = np.array([tag in HEADINGS for tag in tags])
+    kept = np.zeros(len(own), bool)
+    for root in np.unique(own[own > 0]):
+        mine = own == root
+        teaser = 2 * sizes[mine & links].sum() > sizes[mine].sum() or (mine & links & heads).any()
+        if (mine & content).any() or not teaser:
+            kept |= mine
+            before = np.flatnonzero(mine)[0] - 1
+            while before >= 0 and not own[before] and heads[before] and not links[before]:
+                kept[before] = True
+                before -= 1
+    main = roots(parser, "main")
+    around = np.array([main[at] for _, _, at in parser.lines])
+    beside = (own == 0) & ~links & (around > 0) & np.isin(around, around[kept])
+    title = np.array([tag == "h1" for tag in tags])
+    if not (kept & title).any():
+        kept |= title & ~links & (own == 0) & (np.arange(len(own)) < np.flatnonzero(kept)[0])
+    return kept | beside & (content | title)
+
+
 def region(parser: Lines, content: np.ndarray) -> np.ndarray:
     """Which lines are the article: content, what lies between, and the blocks of text that adjoin it beside its elements."""
     kept = content.copy()
     first, last = np.nonzero(content)[0][[0, -1]]
     kept[first : last + 1] |= [i not in parser.links for i in range(first, last + 1)]
+    # a paragraph that is one link, between blocks of running text beside it
+    for i in range(first + 1, last):
+        near = [j for j in (i - 1, i + 1) if kept[j] and j not in parser.links and parser.parents[parser.lines[j][2]] == parser.parents[parser.lines[i][2]]]
+        kept[i] |= len(near) == 2 and parser.names[parser.lines[i][2]] in ("p", "blockquote")
     beside = {0}
     for i in np.nonzero(content)[0]:
         at = parser.lines[i][2]

@@ -125,3 +125,69 @@ def test_rows(spark):
     found = extract_pages(rows).collect()
     assert sorted(r["n_chars"] for r in found) == [0, len(main_text(PAGE)), len(main_text(PAGE))]
     assert extract_pages(rows.limit(0)).count() == 0
+
+
+LONG = "words of the text " * 20
+
+
+def test_all_articles_of_a_page():
+    second = "<article><h2>Second</h2><p>A short one.</p></article>"
+    page = f"<body><article><h1>First</h1><p>{LONG}</p><p>{LONG}</p></article>{second}</body>"
+    assert main_text(page) == f"First\n{LONG.strip()}\n{LONG.strip()}\nSecond\nA short one."
+    teaser = "<article><h3><a href=x>Other story</a></h3><p>Read it.</p></article>"
+    assert main_text(page.replace(second, teaser)) == f"First\n{LONG.strip()}\n{LONG.strip()}"
+    assert main_text(page.replace(second, "<article><p><a href=x>One</a></p><p><a href=y>Two</a></p></article>")) == f"First\n{LONG.strip()}\n{LONG.strip()}"
+
+
+def test_heading_before_the_article():
+    for start in ("<h1>Title</h1>", "<div><h1>Title</h1></div>", "<h1>Title</h1><h2>Below</h2>"):
+        want = "Title\nBelow" if "h2" in start else "Title"
+        assert main_text(f"<body><nav>x</nav>{start}<article><p>{LONG}</p></article><p>By us</p></body>") == f"{want}\n{LONG.strip()}"
+    page = f"<body><main><h1>Title</h1><p>By</p><article>{f'<p>{LONG}</p>' * 6}</article><p>{LONG}</p><p><a href=x>{LONG}</a></p></main></body>"
+    assert main_text(page).startswith("Title\n") and main_text(page).count(LONG.strip()) == 7
+    assert main_text(f"<body><header><h1>Site</h1></header><article><p>{LONG}</p></article></body>") == LONG.strip()
+
+
+def test_ordinary_words_as_names():
+    page = f'<article><p>{LONG}</p><p class="search">{LONG}</p><p id="share">{LONG}</p><p>{LONG}</p></article>'
+    assert main_text(page) == "\n".join([LONG.strip()] * 4)
+    short = f'<article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p class="share"><a>X</a> <a>Y</a> <a>Z</a></p><div class="share">{LONG}</div><p class="ad">{LONG}</p><p class=cookie>{LONG}</p></article>'
+    assert main_text(short) == "\n".join([LONG.strip()] * 3)
+
+
+def test_a_linked_paragraph_between_paragraphs():
+    page = f"<body><ul><li><a href=a>Menu</a></ul><div><p>{LONG}</p><p><a href=x>One linked sentence of text.</a></p><p>{LONG}</p></div></body>"
+    assert main_text(page) == f"{LONG.strip()}\nOne linked sentence of text.\n{LONG.strip()}"
+    assert main_text(f'<body><p>{LONG}</p><div class="copyright">All rights</div></body>') == LONG.strip()
+
+
+def built_with_articles(seed):
+    """A page of articles, teasers and lists of links in a main element, and its articles' blocks."""
+    import random
+
+    rng = random.Random(seed)
+    words = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 10))) for _ in range(n))
+    parts, blocks = [], []
+    for _ in range(rng.randrange(1, 4)):
+        mine = [words(5)] + [words(rng.randrange(30, 120)) for _ in range(rng.randrange(1, 5))]
+        parts.append("<article><h2>" + mine[0] + "</h2>" + "".join(f"<p>{b}</p>" for b in mine[1:]) + f'<p class="share">{words(2)}</p></article>')
+        blocks += mine
+    for _ in range(rng.randrange(1, 5)):
+        parts.append(f"<article><h3><a href=x>{words(4)}</a></h3><p>{words(3)}</p></article>")
+    parts.append("<p>" + words(2) + "</p>")
+    return f"<body><main>{''.join(parts)}</main></body>", blocks
+
+
+def test_clusters_decide_on_article_pages(monkeypatch):
+    def measure():
+        found = right = wanted = 0
+        for seed in range(100):
+            page, blocks = built_with_articles(seed)
+            got = main_text(page).split("\n")
+            found, right, wanted = found + sum(map(len, got)), right + sum(len(b) for b in blocks if b in got), wanted + sum(map(len, blocks))
+        return right / wanted, right / found
+
+    recall, precision = measure()
+    assert recall == 1 and precision >= 0.99
+    monkeypatch.setattr("quernstone.llm.html_text.threshold", lambda values: float(values.min()))
+    assert measure()[1] < precision - 0.01
