@@ -126,3 +126,65 @@ def test_very_long_text_and_equal_items():
     found = d.occurrences([text, "x"], d.Index([(1, ITEM), (2, ITEM)]))
     assert [text[s:e] for item, s, e, _ in found[0] if item == 0] == [ITEM] * 3 == [text[s:e] for item, s, e, _ in found[0] if item == 1]
     assert len(found[0]) == 6 and not found[1]
+
+
+def test_progressions():
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(200):
+        rows = sorted({(rng.randrange(3), rng.randrange(40) * rng.choice([1, 1, 100])) for _ in range(rng.randrange(30))})
+        group, at = np.array([g for g, _ in rows], np.int64), np.array([x for _, x in rows], np.int64)
+        first, step, times = d.progressions(group, at)
+        back = [(int(group[f]), int(at[f] + s * i)) for f, s, n in zip(first, step, times) for i in range(n)]
+        assert back == rows
+    assert [x.tolist() for x in d.progressions(np.zeros(50, np.int64), np.arange(50) * 2)] == [[0, 49], [2, 1], [49, 1]]
+
+
+def test_repeated_characters_take_little_memory():
+    import time
+    import tracemalloc
+
+    rng = random.Random(2)
+    side = lambda n: "".join(rng.choice("abcdefgh jklm") for _ in range(n))
+    for text, item in (("=" * 200_000, side(260) + "=" * 480 + side(260)), ("=" * 400_000, side(500) + "=" * 1000 + side(500)), ("- " * 100_000, side(260) + "- " * 240 + side(260))):
+        index = d.Index([(1, item)])
+        began = time.time()
+        assert d.occurrences([text, item], index)[0] == []
+        assert time.time() - began < 20
+        tracemalloc.start()
+        assert len(d.occurrences([text[:50_000] + item], index)[0]) == 1
+        assert tracemalloc.get_traced_memory()[1] < 300e6
+        tracemalloc.stop()
+
+
+@given(st.integers(0, 10**6))
+@settings(max_examples=25, deadline=None)
+def test_rules_and_repeats_against_full_tables(seed):
+    rng = random.Random(seed)
+    piece = lambda: rng.choice(["=" * rng.randrange(1, 60), "-=" * rng.randrange(1, 30), "abc" * rng.randrange(1, 15), "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(40)))])
+    items = ["".join(piece() for _ in range(rng.randrange(1, 5))) for _ in range(3)]
+    index = d.Index(list(enumerate(items)))
+    texts = ["".join(rng.choice([piece(), *items]) for _ in range(rng.randrange(1, 5))) for _ in range(3)]
+    for text, found in zip(texts, d.occurrences(texts, index)):
+        for at, item in enumerate(index.ids):
+            assert sorted((s, e, c) for i, s, e, c in found if i == at) == every(items[item], text, int(index.k[at]))
+
+
+def test_short_items_are_found_exactly(spark):
+    rng = random.Random(3)
+    items = ["a", "b ", "ab", "abc", "aaaaaaaaa", "abcabcab", "", "a b", "\u00e9a"]
+    index = d.Index(list(enumerate(items)))
+    for _ in range(30):
+        text = " ".join("".join(rng.choice("aabc\u00e9 ") for _ in range(rng.randrange(60))).split())
+        found = d.occurrences([text], index)[0]
+        for at, item in enumerate(index.ids):
+            want, start = [], 0
+            while (start := text.find(items[item].strip(), start)) >= 0:
+                want.append((start, start + len(items[item].strip()), 0))
+                start = want[-1][1]
+            assert sorted((s, e, c) for i, s, e, c in found if i == at) == want
+    docs = spark.createDataFrame([(1, "xx abc xx"), (2, None), (3, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "abc"), (2, ""), (3, None)], "item_id long, text string")
+    assert [tuple(r) for r in d.contaminated(docs, bench).collect()] == [(1, 1, 3, 6, 0)]
+    assert d.drop_contaminated(docs, bench).count() == 3 and d.drop_contaminated(docs, bench, shortest=1).count() == 2
