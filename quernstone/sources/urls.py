@@ -102,7 +102,8 @@ def fetch(urls: DataFrame, transport: Transport, rules: Rules = Rules(), lanes:
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=[c.split()[0] for c in ANSWER.split(", ")])
 
     different = urls.select("url").where("url is not null").distinct()
-    dealt = different.repartition(host(F.col("url")), F.pmod(F.xxhash64("url"), F.lit(lanes)))
+    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, as few bytes of urls are much to wait for
+    dealt = different.repartition(parts, host(F.col("url")), F.pmod(F.xxhash64("url"), F.lit(lanes)))
     return dealt.mapInArrow(run, ANSWER)
 
 

@@ -73,7 +73,8 @@ def embed_batches(chunks: DataFrame, embedder: Embedder) -> DataFrame:
             yield called(held)
 
     rows = chunks.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("chunk_ix").cast("int").alias("chunk_ix"), "chunk_id", F.col("batch_ix").cast("int").alias("batch_ix"), "content")
-    dealt = rows.repartition("doc_id", "batch_ix").sortWithinPartitions("doc_id", "batch_ix", "chunk_ix")
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, as an embedder's time doesn't go by bytes
+    dealt = rows.repartition(parts, "doc_id", "batch_ix").sortWithinPartitions("doc_id", "batch_ix", "chunk_ix")
     return dealt.mapInArrow(run, "doc_id long, chunk_ix int, chunk_id string, batch_ix int, embedding array<float>, error string")
 
 
