@@ -4,10 +4,12 @@ Base findings come from three patterns and always stay. Every further candidate,
 more token characters that isn't made of plain words, is scored with its surrounding context by a small
 convolutional network written in numpy; a run of more than BODY characters is scored in windows that overlap by
 half, and the highest score counts. The network is trained on labelled findings of a bounded sample of documents
-(TRAIN_DOCS, at most TRAIN_SPANS of each class). Positive are the values that the base patterns find, each with its
+(TRAIN_DOCS, at most TRAIN_SPANS windows of each of the five kinds). Positive are the values that the base patterns find, each with its
 keyword, with its keyword taken out of the context, and so again with its characters redrawn from the other
-ALPHABETS of keys, as secrets of other makers look. Negative are candidates of a known harmless form: addresses,
-numbers, dates, words joined with short numbers, and such names made of words of the text. Candidates that are neither are not trained on. A held-out third
+ALPHABETS of keys, as secrets of other makers look; and values made as keys are built, of random runs with or without a
+short name or numbers in front. Negative are candidates of a known harmless form: addresses, numbers, dates, words joined with
+short numbers, such names made of words of the text, and identifiers as catalogues, journals, sites and build tools give them.
+Made values stand between words of the sampled texts. Candidates that are neither are not trained on. A held-out third
 calibrates the scores (Platt scaling) and sets the threshold: the highest one, so the lowest false-positive rate,
 that finds at least RECALL of the held-out positives; the rates reached are kept with the network.
 
@@ -40,8 +42,9 @@ KINDS = ("assign", "access", "hex", "network")
 
 LEAST, BEFORE, BODY, AFTER = 12, 32, 48, 16
 WIDTH = BEFORE + BODY + AFTER
-TRAIN_DOCS, TRAIN_SPANS, RECALL = 3_000, 4_000, 0.99
-HARMLESS_FOUND, SECRET, NAME = 0, 1, 2
+TRAIN_DOCS, TRAIN_SPANS, RECALL = 3_000, 2_500, 0.99
+HARMLESS_FOUND, SECRET, NAME, MADE_KEY, MADE_ID = 0, 1, 2, 3, 4
+LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_=.@-]{{{LEAST},}}")
 WORD = r"(?:[A-Z]?[a-z]+|[A-Z]+)"
 WORDS = re.compile(rf"[+/_=.@-]*{WORD}(?:[+/_=.@-]+{WORD})*[+/_=.@-]*")
@@ -103,7 +106,7 @@ def windows(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
 
 
 class Network:
-    """Embedding, one convolution, maxima over left context, body and right context and the body's mean, a hidden layer, a logistic output.
+    """Embedding, one convolution, maxima over left context, body and right context, the body's mean and length, a hidden layer, a logistic output.
 
     A position counts if a character stands there; padding takes no part in any maximum or mean.
     """
@@ -118,7 +121,7 @@ class Network:
             "embed": rng.normal(0, 0.5, (64, self.SIZE)).astype(np.float32),
             "conv": norm(self.KERNEL * self.SIZE, self.FILTERS),
             "conv_b": np.zeros(self.FILTERS, np.float32),
-            "hidden": norm(self.FILTERS * 4, self.HIDDEN),
+            "hidden": norm(self.FILTERS * 4 + 1, self.HIDDEN),
             "hidden_b": np.zeros(self.HIDDEN, np.float32),
             "out": norm(self.HIDDEN, 1),
             "out_b": np.zeros(1, np.float32),
@@ -136,7 +139,7 @@ class Network:
         body = act[:, self.PARTS[1]]
         filled = np.maximum(1, there[:, self.PARTS[1]].sum(1)).astype(np.float32)
         best = [part.start + act[:, part].argmax(1) for part in self.PARTS]
-        pooled = np.concatenate([body.sum(1) / filled, *[act[:, part].max(1) for part in self.PARTS]], 1)
+        pooled = np.concatenate([body.sum(1) / filled, *[act[:, part].max(1) for part in self.PARTS], 4 * filled / BODY], 1)
         hidden = np.maximum(pooled @ w["hidden"] + w["hidden_b"], 0)
         logit = (hidden @ w["out"] + w["out_b"])[:, 0]
         return logit, (ids, patches, act, pooled, hidden, filled, best)
@@ -163,7 +166,7 @@ class Network:
         g["embed"] = np.stack([np.bincount(flat, inside[:, j], 64) for j in range(self.SIZE)], 1) * (np.arange(64) > 0)[:, None]
         return g
 
-    def fit(self, ids: np.ndarray, labels: np.ndarray, epochs: int = 6, least_steps: int = 400, seed: int = 11) -> Network:
+    def fit(self, ids: np.ndarray, labels: np.ndarray, epochs: int = 8, least_steps: int = 400, seed: int = 11) -> Network:
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(ids))
         held, train = order[: len(ids) // 3], order[len(ids) // 3 :]
@@ -233,6 +236,67 @@ def names(text: str) -> list[tuple[str, list[tuple[int, int]], int]]:
     return out
 
 
+def drawn(rng: np.random.Generator, alphabet: str, size: int) -> str:
+    return "".join(alphabet[i] for i in rng.integers(0, len(alphabet), size).tolist())
+
+
+def key_like(rng: np.random.Generator) -> str:
+    """A value as keys are built: perhaps a short name in front, then one to three runs of characters drawn from an alphabet."""
+    alphabet = (LETTERS + DIGITS, LETTERS + DIGITS, LETTERS + DIGITS + "+/", LETTERS + DIGITS + "-_", LETTERS.lower()[:26] + DIGITS, LETTERS.upper()[:26] + DIGITS)[rng.integers(6)]
+    parts = [drawn(rng, alphabet, int(rng.integers(20, 27) if rng.random() < 0.4 else rng.integers(27, 56)))]
+    if rng.random() < 0.35:  # numbers before it
+        parts = [drawn(rng, DIGITS, int(rng.integers(6, 14))) for _ in range(rng.integers(1, 3))] + parts
+    sign = "_-."[rng.integers(3)]
+    if rng.random() < 0.55:
+        name = [drawn(rng, LETTERS[:26], int(rng.integers(2, 6))) for _ in range(rng.integers(1, 3))]
+        parts = [*(name if rng.random() < 0.8 else [n.upper() for n in name]), *parts]
+    return sign.join(parts) + ("=" * int(rng.integers(1, 3)) if rng.random() < 0.1 else "")
+
+
+def id_like(rng: np.random.Generator, words: list[str]) -> str:
+    """A harmless value that isn't made of words: identifiers as catalogues, journals, sites and build tools give them."""
+    n = lambda a, b: drawn(rng, DIGITS, int(rng.integers(a, b)))
+    word = lambda: words[rng.integers(len(words))].lower()
+    low, up = LETTERS[:26] + DIGITS, LETTERS[26:] + DIGITS
+    hexes = lambda k: drawn(rng, "0123456789abcdef", k)
+    kind = int(rng.integers(15))
+    if kind < 2:
+        made = "-".join(hexes(k) for k in (8, 4, 4, 4, 12))
+        return made.upper() if kind else made
+    if kind > 11:  # a short random id, alone or as a field of an address
+        front = ("", "v=", "id=", "p=", word()[:4] + "/", "watch/v=")[rng.integers(6)]
+        return front + drawn(rng, LETTERS + DIGITS + "-_", int(rng.integers(max(6, LEAST - len(front)), 14)))
+    return (
+        f"{'vip'[rng.integers(3)]}={drawn(rng, LETTERS + DIGITS + '-_', 11)}",
+        f"10.{n(4, 6)}/{word()[:4]}.{n(4, 5)}.{n(3, 8)}",
+        f"10.{n(4, 6)}/{drawn(rng, low, int(rng.integers(4, 9)))}-{n(2, 6)}",
+        "-".join([drawn(rng, LETTERS[26:], int(rng.integers(2, 4))), n(3, 7), drawn(rng, up, int(rng.integers(2, 6)))]),
+        f"{drawn(rng, LETTERS[26:], 2)}{n(4, 9)}-{drawn(rng, up, int(rng.integers(2, 5)))}/{n(1, 4)}",
+        f"{word()}.{hexes(int(rng.integers(7, 11)))}.{word()[:3]}",
+        f"/{word()}/{word()}/{drawn(rng, low, int(rng.integers(5, 11)))}.{word()[:3]}",
+        f"{word()}-{word()}-{hexes(int(rng.integers(5, 10)))}-{drawn(rng, low, 5)}",
+        f"{n(4, 5)}-{n(2, 3)}-{n(2, 3)}T{n(2, 3)}.{n(2, 3)}.{n(2, 3)}.{n(3, 7)}Z",
+        f"/{word()}.{word()[:3]}/{word()}/{drawn(rng, LETTERS + DIGITS, int(rng.integers(6, 12)))}",
+    )[kind - 2]
+
+
+def made_windows(text: str) -> list[tuple[bytes, int]]:
+    """Windows of values made for the text, between its words: some as keys are built, some as harmless identifiers are."""
+    words, out = re.findall(r"[^\W\d_]{2,12}", text), []
+    for at in range(0, len(words) - 8, 160):
+        rng = np.random.default_rng(zlib.crc32(" ".join(words[at : at + 8]).encode()))
+        for label in (MADE_KEY, MADE_ID, MADE_ID):
+            value = key_like(rng) if label == MADE_KEY else id_like(rng, [w for w in words[at : at + 8] if w.isascii()] or ["x"])
+            if len(value) < LEAST or HEX.search(value) or ASSIGN.search(value) or not CANDIDATE.fullmatch(value):
+                continue
+            cut_off = int(rng.integers(0, 5))  # words on the left
+            left = " ".join(words[at : at + cut_off]) + (" ", "\n", "=", ": ", ' "', "(")[rng.integers(6)] if cut_off else ""
+            right = (" ", "\n", '"', ", ", ") ", ".")[rng.integers(6)] + " ".join(words[at + 4 : at + 8]) if rng.random() < 0.9 else ""
+            for row in windows(left + value + right, [(len(left) + a, len(left) + b) for a, b in pieces(0, len(value))]):
+                out.append((row.tobytes(), label))
+    return out
+
+
 def labelled_windows(text: str) -> list[tuple[bytes, int]]:
     """(window, class) of each labelled span of a text."""
     taken, out = base_spans(text), []
@@ -249,7 +313,7 @@ def labelled_windows(text: str) -> list[tuple[bytes, int]]:
     for part, spans, label in shown:
         if spans:
             out += [(row.tobytes(), label) for row in windows(part, spans)]
-    return out
+    return out + made_windows(text)
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,9 +332,9 @@ def train(docs: DataFrame) -> Network | None:
     sample = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (key <= last)).select("doc_id", "text")
     spans = cut(sample.mapInArrow(_labelled, "window binary, label int").distinct(), "findings")
     rows = []
-    for label in (SECRET, HARMLESS_FOUND, NAME):
+    for label in (SECRET, HARMLESS_FOUND, NAME, MADE_KEY, MADE_ID):
         rows += spans.where(F.col("label") == label).orderBy(F.xxhash64("window"), "window").limit(TRAIN_SPANS).collect()
-    labels = np.array([r["label"] == SECRET for r in rows], np.float32)
+    labels = np.array([r["label"] in (SECRET, MADE_KEY) for r in rows], np.float32)
     if not 0 < labels.sum() < len(labels):
         return None
     return Network().fit(np.array([np.frombuffer(r["window"], np.uint8) for r in rows]), labels)

@@ -163,3 +163,41 @@ def test_candidates_touch_no_finding():
     text = "secret=aaaaaa1234567890 zz1234567890zz deadbeefdeadbeefdeadbeef1 password:qqqqqq99999999"
     taken = secrets.base_spans(text)
     assert [text[a:b] for a, b in secrets.candidates(text, taken)] == ["zz1234567890zz"]
+
+
+def random_text(rng, value, n=20):
+    word = lambda: "".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9)))
+    words = [word() for _ in range(n)]
+    return " ".join(words[: n // 2]) + f" {value} " + " ".join(words[n // 2 :])
+
+
+def test_forms_that_were_never_trained_on(spark, sf_dir):
+    """Real makers' forms, none of which the training draws, and real identifiers."""
+    import uuid
+
+    net = secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rng = np.random.default_rng(12)
+    every, base58, digits = secrets.LETTERS + secrets.DIGITS, "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz", secrets.DIGITS
+    draw = lambda alphabet, n: secrets.drawn(rng, alphabet, n)
+    keys = (
+        lambda: "sk_live_" + draw(every, 24), lambda: f"xoxb-{draw(digits, 12)}-{draw(digits, 12)}-{draw(every, 24)}", lambda: "5" + draw(base58, 50), lambda: draw(every + "+/", 40),
+        lambda: "ghp_" + draw(every, 36), lambda: "AIza" + draw(every + "-_", 35),
+    )
+    ids = (
+        lambda: str(uuid.UUID(bytes=rng.bytes(16))), lambda: "v=" + draw(every + "-_", 11), lambda: f"10.{draw(digits, 4)}/j.jmb.{draw(digits, 4)}.{draw(digits, 2)}.{draw(digits, 3)}",
+        lambda: f"10.1038/s41586-020-{draw(digits, 4)}-x", lambda: f"{draw(every[26:52], 3)}-{draw(digits, 4)}-{draw(every[26:52], 4)}", lambda: f"IMG_{draw(digits, 8)}_{draw(digits, 6)}.jpg",
+    )
+
+    def rate(make):
+        values = [make() for _ in range(200)]
+        texts = [random_text(rng, v) for v in values]
+        return np.mean([any(k == 3 and s < t.index(v) + len(v) and e > t.index(v) for s, k, e in x) for v, t, x in zip(values, texts, secrets.find_spans(texts, net))])
+
+    assert min(rate(make) for make in keys) >= 0.9
+    assert np.mean([rate(make) for make in ids]) <= 0.01
+
+
+def test_made_values_are_the_same_for_a_text():
+    text = "some words of a text that goes on and on " * 40
+    assert secrets.made_windows(text) == secrets.made_windows(text) != []
+    assert secrets.made_windows("") == secrets.made_windows("a few words") == []
