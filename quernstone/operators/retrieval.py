@@ -23,6 +23,7 @@ from pyspark.sql.types import VariantType
 from ..functions.keys import kb_part
 from ..functions.metadata import condition
 from ..functions.text import tokens
+from ..jobs.scratch import scratch
 from .access import scoped
 from .embedding import embed_with
 from .spread import cut
@@ -107,9 +108,9 @@ def _nearest(ids: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k:
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, min_score: float | None = None, size: int = 2_000, packed: int = PACKED, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows by cosine for each query (query_id, embedding).
 
-    Queries that pack into `packed` bytes go to all tasks; a task keeps the k best of each, and nothing else is shuffled. More
-    queries meet the rows in pairs of blocks of bounded size. With `allowed` (query_id, cluster_id) a query looks only at rows
-    of these clusters, and rows have a cluster_id.
+    Queries that pack into about `packed` bytes go to all tasks; a task keeps the k best of each, and nothing else is shuffled. More
+    queries take more passes. With `allowed` (query_id, cluster_id) a query looks only at rows of these clusters, and rows
+    have a cluster_id; more queries then meet the rows of their clusters in pairs of blocks of bounded size.
     """
     vectors, queries = vectors.where("embedding is not null"), queries.where("embedding is not null")
     kind = "query_id long, vec_id long, score double"
@@ -140,15 +141,21 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, min_score: float
         found = vectors.select("vec_id", "embedding", *(["cluster_id"] if pruned else [])).mapInPandas(near, kind)
         return rank_matches(found, k, item="vec_id").select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "score")
 
+    if allowed is None:
+        # further queries are further passes over the rows; only the k best of each query leave a pass
+        spark, path = vectors.sparkSession, scratch(vectors.sparkSession, "nearest")
+        parts = min(-(-8 * width // max(1, packed)), queries.count())
+        for part in range(parts):
+            some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+            vector_topk(vectors, some, k, min_score, size, 1 << 62).write.mode("append").parquet(path)
+        return spark.read.schema("query_id long, rank long, vec_id long, score double").parquet(path)
+
     def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for rows, some in zip(part["d_rows"], part["q_rows"]):
                 yield _nearest(np.array([r["id"] for r in rows]), np.stack([r["v"] for r in rows]), np.array([r["id"] for r in some]), np.stack([r["v"] for r in some]), k, min_score)
 
-    if allowed is None:
-        vectors, asked = vectors.withColumn("cluster_id", F.lit(0)), asked.withColumn("cluster_id", F.lit(0))
-    else:
-        asked = asked.join(allowed.select("query_id", "cluster_id"), "query_id")
+    asked = asked.join(allowed.select("query_id", "cluster_id"), "query_id")
     pairs = _sized(vectors, "vec_id", "embedding", size, "d").join(_sized(asked, "query_id", "embedding", size, "q"), "cluster_id")
     pairs = pairs.repartition(F.xxhash64(F.col("d_rows")[0]["id"], F.col("q_rows")[0]["id"]))  # pairs of blocks, not their cluster, are the units of work
     found = pairs.select("d_rows", "q_rows").mapInPandas(best, kind)
