@@ -209,7 +209,7 @@ ORACLE_SQL: dict[str, str] = {
     "chunk_keywords": f"WITH {DOCS}, {TFIDF}, {CHUNK_KEYS} SELECT * FROM ck",
     "chunk_keyword_list": f"WITH {DOCS}, {TFIDF}, {CHUNK_KEYS} SELECT keyword, count(*) AS n_chunks, sum(tf)::BIGINT AS n_uses FROM ck GROUP BY keyword",
     "embed_hash_ngram": f"WITH {DOCS} {grams('d', 'doc_id')}",
-    "keyword_search_bm25": f"""WITH {DOCS}, {ASKED}, {bm25('d')}, r AS (SELECT query_id, doc_id, round(keyword_score, 6) AS score FROM kw)
+    "keyword_match_bm25": f"""WITH {DOCS}, {ASKED}, {bm25('d')}, r AS (SELECT query_id, doc_id, round(keyword_score, 6) AS score FROM kw)
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM r QUALIFY rank <= 5""",
     "vector_topk": f"WITH {VECTORS}, r AS ({TOPV}) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM r QUALIFY rank <= 10",
     "vector_topk_minscore": f"WITH {VECTORS}, r AS ({TOPV}) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM r WHERE score >= 0.2 QUALIFY rank <= 10",

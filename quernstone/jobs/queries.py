@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 TOP, BUCKETS, SIZE, OVERLAP, KEYWORDS, K = 5, 512, 200, 50, 5, 4
-#: Searches take every row whose id this divides as a query.
+#: Queries of nearest rows take every row whose id this divides as a query.
 EVERY = 20
 
 
@@ -215,7 +215,7 @@ def embed_hash_ngram(spark, sf_dir):
 
 
 @query
-def keyword_search_bm25(spark, sf_dir):
+def keyword_match_bm25(spark, sf_dir):
     return retrieval.keyword_matches(documents(spark, sf_dir), asked_texts(spark, sf_dir), TOP)
 
 
@@ -253,15 +253,15 @@ def _indexed(spark, sf_dir) -> str:
 
 @query
 def vector_index_topk(spark, sf_dir):
-    """From the stored graphs of all bases. A base of at most 128 vectors is searched whole, larger ones by a walk."""
-    return vector_index.search(vector_index.stored(spark, _indexed(spark, sf_dir)), asked_vectors(spark, sf_dir), 10)
+    """From the stored graphs of all bases. A base of at most 128 vectors is compared whole, larger ones by a walk."""
+    return vector_index.nearest(vector_index.stored(spark, _indexed(spark, sf_dir)), asked_vectors(spark, sf_dir), 10)
 
 
 @query
 def vector_index_base(spark, sf_dir):
     """From one base's directory; similar ones only."""
     part = spark.range(1).select(kb_part(F.lit("label3"))).first()[0]
-    return vector_index.search(vector_index.stored(spark, _indexed(spark, sf_dir), part), asked_vectors(spark, sf_dir), 5, min_score=0.1)
+    return vector_index.nearest(vector_index.stored(spark, _indexed(spark, sf_dir), part), asked_vectors(spark, sf_dir), 5, min_score=0.1)
 
 
 @query

@@ -1,4 +1,4 @@
-"""Filters, vector search, hybrid ranking.
+"""Filters, nearest vectors, hybrid ranking.
 
 A query's keywords are scored by BM25 and its text by the cosine of hashed trigrams. Queries are few and packed into blocks
 of QUERIES, which go to all tasks; rows are read in Arrow batches, scored against a whole block by matrix products, and

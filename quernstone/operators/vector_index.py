@@ -1,12 +1,12 @@
-"""A stored vector index: navigable small-world graphs, built once for each base and searched best-first.
+"""A stored vector index: navigable small-world graphs, built once for each base and walked best-first.
 
 The vectors of a base are dealt by a hash into segments of about `SEGMENT` rows, so the largest base is as many equal tasks as
 it needs. A segment becomes one row of the index: its vectors, the ids that share a vector, and a graph over the vectors. The
-index is a table with a directory for each base: a search of one base reads no other, dropping a base removes its directory,
+index is a table with a directory for each base: a query of one base reads no other, dropping a base removes its directory,
 and new vectors are appended as further segments.
 
 A graph links each vector to near ones in different directions (one that lies nearer to a link than to the vector itself is left
-out), back, and to a few drawn ones, which keep it connected. A search walks from the best of the segment's pivots along the
+out), back, and to a few drawn ones, which keep it connected. A query walks from the best of the segment's pivots along the
 links, always on from the nearest vectors not yet looked at, until the `breadth` best ones are all looked at. All queries of a
 block walk in step, as matrix operations. Only the k best of each query and segment are shuffled.
 
@@ -166,7 +166,7 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.array([x["query_id"] for x in rows], np.int64)[good], q[good]
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, min_score: float | None = None, breadth: int = BREADTH) -> DataFrame:
+def nearest(index: DataFrame, queries: DataFrame, k: int, min_score: float | None = None, breadth: int = BREADTH) -> DataFrame:
     """(query_id, rank, vec_id, score): about the k nearest indexed vectors by cosine for each query (query_id, embedding)."""
 
     def near(own: np.ndarray, q: np.ndarray):

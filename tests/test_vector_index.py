@@ -23,7 +23,7 @@ def test_recall(spark, tmp_path, centres, spread):
     rows = frame(spark, x)
     vector_index.build(rows, f"{tmp_path}/index")
     queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    found = {(r["query_id"], r["vec_id"]): r["score"] for r in vector_index.search(vector_index.stored(spark, f"{tmp_path}/index"), queries, 10).collect()}
+    found = {(r["query_id"], r["vec_id"]): r["score"] for r in vector_index.nearest(vector_index.stored(spark, f"{tmp_path}/index"), queries, 10).collect()}
     exact = {(r["query_id"], r["vec_id"]): r["score"] for r in retrieval.vector_topk(rows, queries, 10).collect()}
     assert len(found) == len(exact) == 1500
     assert len(found.keys() & exact.keys()) >= 0.95 * len(exact)
@@ -38,7 +38,7 @@ def test_walks_through_segments(spark, tmp_path, monkeypatch):
     assert index.count() == 2 + 3
     queries = rows.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), "embedding")
     for part, own in ((None, rows), ("a", rows.where("kb_part = 'a'"))):
-        found = {tuple(r) for r in vector_index.search(vector_index.stored(spark, f"{tmp_path}/index", part), queries, 5).select("query_id", "vec_id").collect()}
+        found = {tuple(r) for r in vector_index.nearest(vector_index.stored(spark, f"{tmp_path}/index", part), queries, 5).select("query_id", "vec_id").collect()}
         exact = {tuple(r) for r in retrieval.vector_topk(own, queries, 5).select("query_id", "vec_id").collect()}
         assert len(found & exact) >= 0.95 * len(exact)
 
@@ -52,8 +52,8 @@ def test_is_not_built_again(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(vector_index, "graph", None)
     mutations.remove(spark, source)
     index = vector_index.stored(spark, f"{tmp_path}/index")
-    once = sorted(map(tuple, vector_index.search(index, queries, 3).collect()))
-    assert once == sorted(map(tuple, vector_index.search(index, queries, 3).collect())) and len(once) == 3 * first
+    once = sorted(map(tuple, vector_index.nearest(index, queries, 3).collect()))
+    assert once == sorted(map(tuple, vector_index.nearest(index, queries, 3).collect())) and len(once) == 3 * first
 
 
 def test_append_and_drop(spark, tmp_path):
@@ -63,7 +63,7 @@ def test_append_and_drop(spark, tmp_path):
     vector_index.append(frame(spark, x[:10], range(900, 910), part="q"), path)
     assert {r["vec_id"] for r in vector_index.contents(vector_index.stored(spark, path, "p")).collect()} == set(range(300))
     query = frame(spark, x[250:251]).select(F.lit(1).alias("query_id"), "embedding")
-    assert vector_index.search(vector_index.stored(spark, path), query, 1).first()["vec_id"] == 250
+    assert vector_index.nearest(vector_index.stored(spark, path), query, 1).first()["vec_id"] == 250
     mutations.drop_partition(spark, path, "kb_part", "p")
     assert {r["vec_id"] for r in vector_index.contents(vector_index.stored(spark, path)).collect()} == set(range(900, 910))
 
@@ -76,9 +76,9 @@ def test_odd_rows(spark, tmp_path):
     index = vector_index.stored(spark, f"{tmp_path}/index")
     assert sorted(r["vec_id"] for r in vector_index.contents(index).collect()) == [1, 2, 8, *range(100, 150)]
     asked = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 2.0, 3.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0])], "query_id long, embedding array<double>")
-    found = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vector_index.search(index, asked, 3, min_score=0.5).orderBy("query_id", "rank").collect()]
+    found = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vector_index.nearest(index, asked, 3, min_score=0.5).orderBy("query_id", "rank").collect()]
     assert found == [(1, 1, 100, 1.0), (1, 2, 101, 1.0), (1, 3, 102, 1.0), (2, 1, 8, 1.0)]
-    assert vector_index.search(index, asked.limit(0), 3).count() == 0
+    assert vector_index.nearest(index, asked.limit(0), 3).count() == 0
 
 
 def test_many_queries_take_more_passes(spark, tmp_path, monkeypatch):
@@ -86,9 +86,9 @@ def test_many_queries_take_more_passes(spark, tmp_path, monkeypatch):
     vector_index.build(rows, f"{tmp_path}/index")
     queries = rows.select(F.col("vec_id").alias("query_id"), "embedding")
     index = vector_index.stored(spark, f"{tmp_path}/index")
-    once = sorted(map(tuple, vector_index.search(index, queries, 2).collect()))
+    once = sorted(map(tuple, vector_index.nearest(index, queries, 2).collect()))
     monkeypatch.setattr(vector_index, "PACKED", 2_000)
-    assert sorted(map(tuple, vector_index.search(index, queries, 2).collect())) == once
+    assert sorted(map(tuple, vector_index.nearest(index, queries, 2).collect())) == once
 
 
 def test_graph_reaches_everything():
