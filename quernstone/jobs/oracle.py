@@ -316,4 +316,7 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT 'clusters.retrained', 'b' || (label % 3)::VARCHAR, 2, (label % 3 + 2)::BIGINT, count(*) FROM embeddings GROUP BY label % 3""",
     "filter_nested": """SELECT doc_id FROM documents WHERE (doc_id % 7 <> 0 AND n_chars >= 1500 AND doc_id % 11 <> 0 AND 'de' IN (lang, source))
         OR (doc_id % 11 <> 0 AND source IN ('src1', 'src2') AND doc_id % 7 <> 0 AND n_chars >= 900.5) OR doc_id % 97 = 0""",
+    "worker_documents": f"""WITH {DOCS}, c AS ({exploded('d', fixed('text'))}) SELECT doc_id, 'document.ingested' AS event_type, kb_id, (max(chunk_ix) // 8 + 1)::BIGINT AS n_batches, (max(chunk_ix) // 8 + 1)::BIGINT AS n_tries,
+        count(*) AS n_vectors, CASE WHEN regexp_extract(kb_id, '([0-9]+)$', 1)::INT % 2 = 0 THEN 64 ELSE 32 END::BIGINT AS width FROM c JOIN d USING (doc_id) GROUP BY doc_id, kb_id""",
+    "worker_keywords": f"WITH {DOCS} " + DICTIONARY.format(words=words("text"), rows="d"),
 }

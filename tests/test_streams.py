@@ -14,7 +14,9 @@ from quernstone.functions.text import tokens
 from quernstone.operators import dictionary
 from quernstone.operators.trigrams import TrigramEmbedder
 from quernstone.sources import urls
+from quernstone.operators.embedding import EndpointRegistry
 from quernstone.streaming import delivery, embedding, events, ingest, sweep
+from quernstone.streaming.worker import EVENTS, STATUS, TIGHT, Worker
 
 T = dt.datetime(2024, 1, 1, 12)
 
@@ -294,3 +296,51 @@ def test_a_document_that_comes_again_raises_another_event(spark):
     rows = spark.createDataFrame([(1, "k", True)], "doc_id long, kb_id string, finished boolean")
     ids = [events.of_documents(rows.withColumn("version", F.lit(v))).first()["event_id"] for v in (1, 1, 2)]
     assert ids[0] == ids[1] != ids[2]
+
+
+def test_worker(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a", "some text to cut into chunks " * 6), (2, "b", "short"), (3, "b", None), (4, "a", "other words here " * 9)], "doc_id long, kb_id string, text string")
+    bound = spark.createDataFrame([("a", "c", "e1"), ("b", "c", "e2")], "kb_id string, paired_client_id string, embedding_endpoint_id string")
+
+    class Down(TrigramEmbedder):
+        def embed(self, texts):
+            raise TimeoutError("down")
+
+    registry = EndpointRegistry()
+    registry.add_local("e1", TrigramEmbedder(16))
+    registry.add_local("e2", Down(8))
+    queue, store, state = f"{tmp_path}/queue", f"{tmp_path}/store", f"{tmp_path}/state"
+
+    def put(job, kb, doc):
+        ingest.enqueue(spark.createDataFrame([(job, kb, doc)], "job string, kb_id string, doc_id long"), queue)
+
+    for doc, kb in ((1, "a"), (2, "b"), (3, "b")):
+        put("ingest.document", kb, doc)
+    put("keywords.extract", "a", None)
+    worker = Worker(spark, store, queue, docs, bound, registry, 40, 10, per_batch=2, minutes=0)
+    first = ("ingest.document", "embed.batch", "embed.finalize", "keywords.extract")
+    worker.run(state, first)
+
+    def raised():
+        return sorted((r["event_type"], r["payload"].split('"doc_id":')[1].rstrip("}")) for r in worker.read("event", EVENTS).collect())
+
+    assert raised() == [("document.failed", "2"), ("document.failed", "3"), ("document.ingested", "1")]
+    worker.run(state, first)
+    assert len(raised()) == 3  # nothing is handed out again
+    assert {r["keyword"] for r in dictionary.current(spark, f"{store}/dictionary").collect()} >= {"some", "other"}
+    registry.add_local("e2", TrigramEmbedder(8))
+    put("embed.batch", "b", 2)  # asked for again, the endpoint answers
+    worker.run(state, first)
+    assert ("document.ingested", "2") in raised()
+    assert {r["doc_id"] for r in embedding.vectors(spark, f"{store}/vector").collect()} == {1, 2}
+    # clusters and the sweep
+    spark.createDataFrame([("a", 0, [1.0] * 16, 1), ("a", 1, [0.0] * 16, 1)], "kb_id string, cluster_id long, centroid array<double>, size long").write.parquet(f"{store}/centroid")
+    put("clusters.validate", "a", None)
+    put("ingest.document", "a", 4)
+    worker.run(state, ("clusters.validate", "ingest.document"))
+    assert worker.read("validation", TIGHT).agg(F.sum("size")).first()[0] == worker.chunks().where("doc_id = 1").count()
+    time.sleep(0.1)
+    put("document.timeout-sweep", None, None)
+    worker.run(state, ("document.timeout-sweep",))
+    assert ("document.failed", "4") in raised()
+    assert {r["doc_id"] for r in worker.read("status_end", STATUS).collect()} == {1, 2, 3, 4}
