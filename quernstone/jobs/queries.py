@@ -851,7 +851,7 @@ def filter_nested(spark, sf_dir):
     return retrieval.filtered(docs.withColumn("metadata", variant(F.col("json"))), where=NESTED).select("doc_id")
 
 
-def _worked(spark, sf_dir) -> Worker:
+def _worked(spark, sf_dir, *kinds: str) -> Worker:
     """Jobs of all documents, and of all bases for their keywords, worked off; bases are bound to one of two endpoints by their number."""
     docs = documents(spark, sf_dir).select("doc_id", "kb_id", "text")
     number = F.regexp_extract("kb_id", "([0-9]+)$", 1).cast("int")
@@ -863,14 +863,14 @@ def _worked(spark, sf_dir) -> Worker:
     ingest.enqueue(docs.select(F.lit("ingest.document").alias("job"), "kb_id", "doc_id"), queue)
     ingest.enqueue(docs.select("kb_id").distinct().select(F.lit("keywords.extract").alias("job"), "kb_id", F.lit(None).cast("long").alias("doc_id")), queue)
     worker = Worker(spark, scratch(spark, "store"), queue, docs, bindings, registry, SIZE, OVERLAP, per_batch=8)
-    worker.run(scratch(spark, "worker-state"), ("ingest.document", "embed.batch", "embed.finalize", "keywords.extract"))
+    worker.run(scratch(spark, "worker-state"), kinds)
     return worker
 
 
 @query
 def worker_documents(spark, sf_dir):
     """From a job to an event: a document's batches, vectors and their length, and the event that it raised."""
-    worker = _worked(spark, sf_dir)
+    worker = _worked(spark, sf_dir, "ingest.document", "embed.batch", "embed.finalize")
     made = embed_stream.vectors(spark, f"{worker.store}/vector").groupBy("doc_id").agg(F.count("*").alias("n_vectors"), F.max(F.size("embedding")).cast("long").alias("width"))
     batches = embed_stream.ledger(spark, f"{worker.store}/vector").groupBy("doc_id").agg(F.count("*").alias("n_batches"), F.sum("tries").alias("n_tries"))
     events = worker.read("event", EVENTS).select("event_type", "kb_id", F.get_json_object("payload", "$.doc_id").cast("long").alias("doc_id"))
@@ -880,4 +880,4 @@ def worker_documents(spark, sf_dir):
 @query
 def worker_keywords(spark, sf_dir):
     """The dictionary that the worker's jobs made."""
-    return dictionary.current(spark, f"{_worked(spark, sf_dir).store}/dictionary")
+    return dictionary.current(spark, f"{_worked(spark, sf_dir, "keywords.extract").store}/dictionary")
