@@ -46,3 +46,26 @@ def test_run_is_all_stages(spark, save):
     found = corpus_pipeline.run(spark, folder)
     assert found.columns[:4] == ["doc_id", "start", "length", "ids_crc32"] and found.count() >= 290
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "secrets", "packing"]
+
+
+def test_odd_rows(spark, save, odd):
+    """Nulls, empty texts, repeated and missing ids, clashing columns, a very long text; then tables without rows."""
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("aeiourstln") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    docs = odd([text(80) for _ in range(40)] + [text(60_000)])
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(40)] + [(None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, text(30)), (2, None), (None, "")], "item_id long, text string")
+    folder = save(documents=docs, labels=labels, benchmark=bench)
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        columns = now.columns
+        now = corpus_pipeline.cut(stage(spark, now, folder), name)
+        assert name == "packing" or now.columns == columns
+    assert now.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 2048").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_no_rows(spark, save):
+    _, made = tables(spark)
+    folder = save(**{name: df.limit(0) for name, df in made.items()})
+    assert corpus_pipeline.run(spark, folder).collect() == []
