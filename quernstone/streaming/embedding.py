@@ -2,13 +2,15 @@
 
 A batch is `per_batch` chunks of one document, one call of the embedder. A wave is a share of all batches, dealt by a hash; its
 vectors are written before the next wave starts. A batch whose call fails is written with its error and its chunks without
-vectors, and the others go on. `resume` embeds what no finished batch covers, so a repeated run embeds nothing twice.
+vectors, and the others go on. `resume` embeds what no finished batch covers, so a repeated run embeds nothing twice. Chunks without a document's id belong to no batch and are left
+out; a null text is embedded as an empty one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,31 +50,45 @@ def pending(chunks: DataFrame, store: str) -> DataFrame:
 
 def embed_batches(chunks: DataFrame, embedder: Embedder) -> DataFrame:
     """(doc_id, chunk_ix, chunk_id, batch_ix, embedding, error): one call of the embedder for each batch, in the tasks."""
-    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.float32()), pa.string()]
     names = ["doc_id", "chunk_ix", "chunk_id", "batch_ix", "embedding", "error"]
 
-    def called(rows: list[dict]) -> pa.RecordBatch:
+    def called(texts: pd.Series) -> tuple[list, str | None]:
         try:
-            made, error = [None if v is None else [float(c) for c in v] for v in embedder.embed(pd.Series([r["content"] or "" for r in rows]))], None
-            if len(made) != len(rows):
-                raise ValueError(f"{len(made)} vectors for {len(rows)} texts")
+            made = list(embedder.embed(texts))
+            if len(made) != len(texts):
+                raise ValueError(f"{len(made)} vectors for {len(texts)} texts")
+            return made, None
         except Exception as e:  # noqa: BLE001  (an embedder's failure is the batch's error)
-            made, error = [None] * len(rows), f"{type(e).__name__}: {e}"[:500]
-        columns = [[r[n] for r in rows] for n in names[:4]] + [made, [error] * len(rows)]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+            return [None] * len(texts), f"{type(e).__name__}: {e}"[:500]
+
+    def embedded(part: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        """Whole batches, each from one of the starts on."""
+        texts, vectors, errors = part["content"].to_pandas().fillna(""), [], []
+        for at, to in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
+            made, error = called(texts.iloc[at:to].reset_index(drop=True))
+            vectors += made
+            errors += [error] * len(made)
+        sizes = np.array([0 if v is None else len(v) for v in vectors])
+        flat = np.concatenate([np.asarray(v, np.float32) for v in vectors if v is not None] or [np.zeros(0, np.float32)])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat), mask=pa.array([v is None for v in vectors]))
+        columns = [part[n].combine_chunks() for n in names[:4]] + [lists, pa.array(errors, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and (row["doc_id"], row["batch_ix"]) != (held[0]["doc_id"], held[0]["batch_ix"]):
-                    yield called(held)
-                    held = []
-                held.append(row)
+            held.append(batch)
+            part = pa.Table.from_batches(held)
+            doc, number = part["doc_id"].to_numpy(), part["batch_ix"].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])]))
+            if len(starts) > 1:  # the last batch may go on
+                yield embedded(part.slice(0, int(starts[-1])), starts[:-1])
+                held = part.slice(int(starts[-1])).combine_chunks().to_batches()
         if held:
-            yield called(held)
+            part = pa.Table.from_batches(held)
+            yield embedded(part, np.zeros(1, int))
 
-    rows = chunks.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("chunk_ix").cast("int").alias("chunk_ix"), "chunk_id", F.col("batch_ix").cast("int").alias("batch_ix"), "content")
+    rows = chunks.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("chunk_ix").cast("int").alias("chunk_ix"), "chunk_id", F.col("batch_ix").cast("int").alias("batch_ix"), "content")
     parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, as an embedder's time doesn't go by bytes
     dealt = rows.repartition(parts, "doc_id", "batch_ix").sortWithinPartitions("doc_id", "batch_ix", "chunk_ix")
     return dealt.mapInArrow(run, "doc_id long, chunk_ix int, chunk_id string, batch_ix int, embedding array<float>, error string")
