@@ -3,7 +3,7 @@
 Null and empty texts, null and repeated ids, very long texts and columns of any name pass through every stage; what a stage does with
 them its operator's module states: a text without words is scored like others, is near to nothing, holds no item and no secret,
 and is one piece of its end mark. Ties are settled by the operators (the smallest id of a group stays). Empty tables give no rows,
-and where no label or finding can be learned from, a stage keeps all documents. All columns are kept until the packing.
+and without labels or findings to learn from all documents stay. All columns are kept until the packing.
 """
 
 from __future__ import annotations
