@@ -9,10 +9,10 @@ exact edit distance at every end that is within the budget. Where a q-gram repea
 rule of dashes, the steps are one entry that counts for all bands it crosses, and entries are added up in parts of PAIRS, so
 repeated characters take no more memory than others. Items shorter than a q-gram are looked up exactly.
 
-Every document is searched as a whole. The items are sent to all tasks in parts of about ITEM_CHARS
+Every document is read as a whole. The items are sent to all tasks in parts of about ITEM_CHARS
 characters, a part a pass; the driver holds one part at a time. Nulls: null texts and null items contain nothing, and neither do empty items; a null
 doc_id is kept. `drop_contaminated` leaves items of fewer than `shortest` characters out, as most documents hold a letter or
-a short word. Very long texts are searched whole; other columns don't matter, whatever their names. Equal items are separate. For each
+a short word. Very long texts are read whole; other columns don't matter, whatever their names. Equal items are separate. For each
 end the fewest edits count, then the latest start; of overlapping occurrences of one item the one with the fewest
 edits stays, then the leftmost. Empty tables give no rows. Repeated rows are separate.
 Offsets are code points of the given text, the end exclusive.
@@ -337,7 +337,7 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start_at, end_at and edits of each occurrence."""
 
-    def search(index: Index):
+    def finder(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, texts in _parts(batch):
@@ -354,7 +354,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, start_at long, end_at long, edits long"
     found, passes = None, Rounds("found")
     for left, index in item_parts(benchmark):
-        now = docs.select("doc_id", "text").mapInArrow(search(index), schema)
+        now = docs.select("doc_id", "text").mapInArrow(finder(index), schema)
         found = now if found is None else found.unionByName(now)
         if left:  # so that this part's index is done with
             found = passes.cut(found)
