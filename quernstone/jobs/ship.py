@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -22,4 +23,7 @@ def ship(spark: SparkSession) -> None:
         for file in sorted(root.rglob("*.py")):
             out.write(file, file.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(path))
+    # streams with state start a Python process on the driver that knows no Python files but those on its path
+    environment = spark.sparkContext.environment
+    environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), str(path)]))
     _sent.add(app)
