@@ -24,7 +24,7 @@ from .url_filters import judge
 from .whitening import whiten
 
 
-PII_KEY = "spark.quernstone.pii.key"
+PII_KEY = "spark.quernstone.pii.secret"  # Spark hides the values of settings with such names
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from quernstone.llm.pseudonyms import KINDS, feistel, permute_digits, pseudonymi
 
 VALUES = {
     "email": ["ann.b-1@mail.example.com", "x@y.org"],
+    "iban": ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606"],
     "ip": ["10.0.0.1", "255.255.255.255"],
     "card": ["4111 1111 1111 1111", "4111-1111-1111-1111", "5500005555555559"],
     "phone": ["+1 (017) 555-7713", "(030) 555-1234"],
@@ -18,6 +19,11 @@ def luhn(number):
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10
 
 
+def remainder(iban):
+    bare = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97
+
+
 def done(spark, texts, key="k"):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return [r["text"] for r in pseudonymise(df, key).orderBy("doc_id").collect()]
@@ -36,13 +42,15 @@ def test_format_and_linking(spark, kind):
             assert [c.isdigit() for c in own] == [c.isdigit() for c in v]
         if kind == "card":
             assert luhn(own) == luhn(v)
+        if kind == "iban":
+            assert remainder(own) == 1 and own[:2] == v[:2] and [c.isdigit() for c in own] == [c.isdigit() for c in v]
         if kind == "ip":
             assert all(0 <= int(p) <= 255 for p in own.split("."))
     assert done(spark, texts[:1], "another")[0] != new[0]
 
 
 def test_other_text_stays(spark):
-    texts = ["1234567890123456 and 1700000000000", "4111 1111 1111 1112", "000-12-3456 666-12-3456 923-12-3456 123-00-4567 123-45-0000", "", "version 4.0. and 12", "2023-02-31 is no day", "1.2.3.4.5", "deadbeef0123456789012345678901234567890123", "no at @ all", None]
+    texts = ["1234567890123456 and 1700000000000", "4111 1111 1111 1112", "000-12-3456 666-12-3456 923-12-3456 123-00-4567 123-45-0000", "", "version 4.0. and 12", "2023-02-31 is no day", "1.2.3.4.5", "deadbeef0123456789012345678901234567890123", "no at @ all", "order 20231105, t=1700000000 and DE88370400440532013000", None]
     assert done(spark, texts) == texts
 
 
@@ -117,6 +125,32 @@ def test_feistel_is_one_to_one(spark):
     assert len({r["x"] for r in back}) == 200 and all((r["y"]["l"], r["y"]["r"]) == (r["l"], r["r"]) for r in back)
 
 
+def test_addresses_that_begin_alike_do_not_stay_alike(spark):
+    new = [a.split("@")[0] for a in done(spark, [f"john{i}@x.com" for i in "123456789s"])]
+    assert len(set(new)) == 10 and len({a[:2] for a in new}) > 5
+    assert all(a[:4].isalpha() and a[4:].isdigit() for a in new[:9]) and new[9].isalpha()
+
+
+def test_accounts_are_one_to_one(spark):
+    numbers = [f"{i:018}" for i in range(0, 10**6, 7919)]
+    ibans = [f"DE{98 - int(n + '131400') % 97:02}{n}" for n in numbers]
+    new = done(spark, ibans)
+    assert all(remainder(i) == 1 for i in ibans + new) and len(set(new)) == len(ibans) and not set(new) & set(ibans)
+
+
+def test_numbers_do_not_become_days_or_seconds(spark):
+    ten = [f"{i}" for i in range(4155550000, 4155550300)]
+    new = done(spark, ten)
+    assert len(set(new)) == 300 and not any(n[0] in "01" for n in new)
+    df = spark.createDataFrame(list(enumerate(new)), "doc_id long, text string")
+    assert [r["text"] for r in restore(df, "k").orderBy("doc_id").collect()] == ten
+
+
+def test_the_key_is_not_in_the_plan(spark):
+    df = pseudonymise(spark.createDataFrame([(1, "a@b.org")], "doc_id long, text string"), "q7!hidden")
+    assert df.count() == 1 and "q7!hidden" not in df._jdf.queryExecution().toString()
+
+
 def test_a_key_is_needed(spark):
     with pytest.raises(ValueError):
         pseudonymise(spark.createDataFrame([(1, "a@b.org")], "doc_id long, text string"), "")
