@@ -87,6 +87,27 @@ def test_waits_double_and_a_restart_repeats_nothing(spark, tmp_path):
     assert sent.count("a-now-1") == sent.count("b-now-1") == 1 and len(sent) == len(set(sent)) == len(rows)
 
 
+def test_long_secrets_sign_as_hmac_does(spark):
+    keys, hooks = hooks_of(spark, ["ä", "x" * 90])
+    rows = spark.createDataFrame([("e1", "document.ingested", "grüße")], "event_id string, event_type string, payload string")
+    got = {r["webhook_id"]: r["signature"] for r in delivery.signed(rows, hooks, keys).collect()}
+    assert got == {n: "sha256=" + hmac.new(f"s-{n}".encode(), "grüße".encode(), hashlib.sha256).hexdigest() for n in ("ä", "x" * 90)}
+
+
+def test_settling_takes_longer_than_its_patience(spark, tmp_path):
+    """Waits of 0.4 + 0.8 + 1.6 s and a patience of 2.5 s; deliveries that wait are many values of the state."""
+    keys, hooks = hooks_of(spark, ["a"])
+    put(spark, f"{tmp_path}/in", [f"e{i}" for i in range(1000)])
+
+    def send(url, body, headers):
+        return "refused" if headers["x-event-id"] != "e7" else None
+
+    stream = delivery.start(delivery.signed(stream_of(spark, f"{tmp_path}/in"), hooks, keys), f"{tmp_path}/ledger", f"{tmp_path}/state", send, first_ms=400, most=4, slots=1)
+    delivery.settle(stream, spark, f"{tmp_path}/ledger", 2.5)
+    got = {(r["attempts"], r["status"]): r["count"] for r in delivery.ledger(spark, f"{tmp_path}/ledger").groupBy("attempts", "status").count().collect()}
+    assert got == {(1, "delivered"): 1, (1, "retry"): 999, (2, "retry"): 999, (3, "retry"): 999, (4, "failed"): 999}
+
+
 # the sweep
 
 
