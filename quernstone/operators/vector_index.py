@@ -10,6 +10,9 @@ out), back, and to a few drawn ones, which keep it connected. A query walks from
 links, always on from the nearest vectors not yet looked at, until the `breadth` best ones are all looked at. All queries of a
 block walk in step, as matrix operations. Only the k best of each query and segment are shuffled.
 
+A walk may miss some. So its k-th best score is a bar, and an exact check follows: a segment's vectors lie in cells around its pivots,
+and a query is compared with the cells that, by the angles to their pivot and their farthest vector, can hold one above the bar.
+
 Vectors that are null, empty, all zero or hold null or non-finite entries are not indexed; vectors of several lengths lie in
 segments of their own, and a query meets those of its length.
 """
@@ -109,6 +112,35 @@ def walk(x: np.ndarray, links: np.ndarray, pivots: np.ndarray, q: np.ndarray, br
         beam[going, -wide:], sims[going, -wide:], open_[going, -wide:] = ahead, new, ahead >= 0
 
 
+def cells(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of each unit vector, and each pivot's angle to the farthest of its vectors (-1: it has none)."""
+    own, angles = np.zeros(len(x), np.int64), np.full(len(pivots), -1.0)
+    for at in range(0, len(x), 1024):
+        sims = x[at : at + 1024] @ x[pivots].T
+        own[at : at + 1024] = sims.argmax(1)
+        np.maximum.at(angles, own[at : at + 1024], np.arccos(np.clip(sims.max(1), -1, 1)))
+    return own, angles
+
+
+def above(x: np.ndarray, q: np.ndarray, bars: np.ndarray, pivots: np.ndarray, own: np.ndarray, angles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, node, score) of all unit vectors whose rounded cosine is at least the query's bar."""
+    # the least angle that a vector of a cell can have to a query, and the angle of the bar; both with room for rounding
+    least = np.arccos(np.clip(q @ x[pivots].T, -1, 1)) - angles
+    near = (least <= np.arccos(np.clip(bars - 10.0**-DECIMALS, -1, 1))[:, None] + 1e-6) & (angles >= 0)
+    found = []
+    order = np.argsort(own, kind="stable")
+    ends = np.searchsorted(own[order], np.arange(len(pivots) + 1))
+    for group in np.unique(near, axis=0):  # queries that look into the same cells
+        some, nodes = np.flatnonzero((near == group).all(1)), np.concatenate([order[ends[c] : ends[c + 1]] for c in np.flatnonzero(group)] or [order[:0]])
+        for at in range(0, len(nodes), 8192):
+            part = nodes[at : at + 8192]
+            scores = np.round(q[some] @ x[part].T, DECIMALS)
+            i, j = np.nonzero(scores >= bars[some][:, None])
+            found.append((some[i], part[j], scores[i, j]))
+    who, node, score = (np.concatenate(c) for c in zip(*found))
+    return who, node, score
+
+
 def _segment(table: pa.Table) -> pa.Table:
     """The rows of a segment (kb_part, segment, dim, vec_id, embedding) as one row of the index."""
     dim = table["dim"][0].as_py()
@@ -167,7 +199,7 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def nearest(index: DataFrame, queries: DataFrame, k: int, min_score: float | None = None, breadth: int = BREADTH) -> DataFrame:
-    """(query_id, rank, vec_id, score): about the k nearest indexed vectors by cosine for each query (query_id, embedding)."""
+    """(query_id, rank, vec_id, score): the k nearest indexed vectors by cosine for each query (query_id, embedding), ties by the smaller id."""
 
     def near(own: np.ndarray, q: np.ndarray):
         unit = q / np.linalg.norm(q, axis=1, keepdims=True)
@@ -182,17 +214,19 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, min_score: float | Non
             units, links, pivots = whole.astype(np.float32), np.frombuffer(row["links"], np.int32).reshape(size, -1), np.frombuffer(row["pivots"], np.int32)
             ids, copies = np.asarray(row["ids"]), np.asarray(row["copies"])
             starts = np.cumsum(copies) - copies
+            own_cells, angles = cells(whole, pivots)
             for at in range(0, len(q), TOGETHER):
                 some = unit[at : at + TOGETHER]
                 nodes = walk(units, links, pivots, some.astype(np.float32), max(breadth, k))
                 scores = np.where(nodes >= 0, np.round(np.einsum("qmd,qd->qm", whole[nodes], some), DECIMALS), -np.inf)
-                for i, (node, score) in enumerate(zip(nodes, scores)):
-                    best = np.flatnonzero(node >= 0)
-                    best = best[np.argsort(-score[best], kind="stable")]
-                    # ids of equal vectors ascend, so the first k of each are enough
-                    take = [ids[starts[node[b]] : starts[node[b]] + min(k, copies[node[b]])] for b in best]
-                    got = pd.DataFrame({"query_id": own[at + i], "vec_id": np.concatenate(take), "score": np.repeat(score[best], [len(t) for t in take])})
-                    yield got.sort_values(["score", "vec_id"], ascending=[False, True]).head(k)
+                ordered = -np.sort(-scores, axis=1)
+                bars = ordered[:, k - 1] if ordered.shape[1] >= k else np.full(len(some), -np.inf)
+                who, node, score = above(whole, some, bars, pivots, own_cells, angles)
+                # ids of equal vectors ascend, so the first k of each are enough
+                many = np.minimum(copies[node], k)
+                first = np.repeat(starts[node] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                got = pd.DataFrame({"query_id": own[at + np.repeat(who, many)], "vec_id": ids[first], "score": np.repeat(score, many)})
+                yield got.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
