@@ -30,6 +30,27 @@ def test_recall(spark, tmp_path, centres, spread):
     assert all(abs(found[k] - exact[k]) < 2e-6 for k in found.keys() & exact.keys())
 
 
+@pytest.mark.parametrize("breadth, spread", [(10, 1.0), (64, 1.0), (10, 0.05)])
+def test_finds_what_the_walk_misses(spark, tmp_path, breadth, spread):
+    rows = frame(spark, clouds(2500, 64, 40, spread=spread))
+    vector_index.build(rows, f"{tmp_path}/index")
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = vector_index.nearest(vector_index.stored(spark, f"{tmp_path}/index"), queries, 10, breadth=breadth)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, retrieval.vector_topk(rows, queries, 10).collect()))
+
+
+def test_cells_that_cannot_reach_the_bar_are_left_out():
+    x = clouds(2000, 16, 8, spread=0.02)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pivots = np.arange(0, 2000, 40)
+    own, angles = vector_index.cells(x, pivots)
+    q, bars = x[:100], np.sort(np.round(x[:100] @ x.T, 6), axis=1)[:, -10]
+    who, node, score = vector_index.above(x, q, bars, pivots, own, angles)
+    all_ = np.round(q @ x.T, 6)
+    assert set(zip(who.tolist(), node.tolist())) == set(map(tuple, np.argwhere(all_ >= bars[:, None]).tolist()))
+    assert (np.arccos(np.clip(q @ x[pivots].T, -1, 1)) - angles > np.arccos(bars)[:, None] + 1e-5).mean() > 0.5
+
+
 def test_walks_through_segments(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(vector_index, "SEGMENT", 400)
     rows = frame(spark, clouds(1500, 8, 30)).withColumn("kb_part", F.when(F.col("vec_id") % 3 == 0, "a").otherwise("b"))
