@@ -1,7 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.operators import clusters, retrieval
+from quernstone.operators import clusters, retrieval, trigrams
 from quernstone.sources.tables import documents, inline, table
 
 
@@ -174,3 +175,24 @@ def test_nested_filters(spark):
         one(".n; drop", "=", 1)
     with pytest.raises(ValueError):
         one(".n", "like", 1)
+
+
+def test_trigrams_are_counted_in_parts_of_bounded_size(monkeypatch):
+    texts = ["", "ab", "hello world", "größe " * 40, "x" * 103, "abc"]
+    whole, sizes, plain = trigrams.bucket_counts(texts, 32), [], trigrams._counts
+    monkeypatch.setattr(trigrams, "CHARS", 50)
+    monkeypatch.setattr(trigrams, "_counts", lambda held, n: sizes.append(sum(map(len, held))) or plain(held, n))
+    assert (trigrams.bucket_counts(texts, 32) == whole).all() and whole.sum() == 9 + 238 + 101 + 1
+    assert max(sizes) < 2 * 50 + 4 and len(sizes) > 5
+
+
+def test_a_task_holds_the_best_matches_only(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"word{i % 7} common text {i % 13}") for i in range(400)], "doc_id long, text string").coalesce(1)
+    queries = spark.createDataFrame([(1, "word3 common"), (2, "text 5")], "query_id long, text string")
+    once = sorted(map(tuple, retrieval.scored(rows, queries, {"hybrid": 4, "vector": 3}).drop("rank").collect()))
+    assert len(once) == 14
+    found = [(np.array([0, 1, 0, 0]), np.array([7, 1, 5, 3], object), np.array([0.5, 0.1, 0.5, 0.9]))]
+    q, ids, score = retrieval._best_matches(found, 2)
+    assert list(zip(q, ids, score)) == [(0, 3, 0.9), (0, 5, 0.5), (1, 1, 0.1)]
+    monkeypatch.setattr(retrieval, "HELD", 3)
+    assert sorted(map(tuple, retrieval.scored(rows, queries, {"hybrid": 4, "vector": 3}).drop("rank").collect())) == once
