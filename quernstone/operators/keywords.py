@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import counted, tokens
+from ..sources.tables import chunk_table
 from .spread import FEW, cut, join_salted
 
 FREQUENT, LONGEST = 20_000, 64  # words whose df all tasks know, and how many characters they may have
+WORDS = 200_000  # words that a task works on at once, or one document's
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -27,6 +29,16 @@ def dictionary(docs: DataFrame) -> DataFrame:
     return words.groupBy("kb_id", "keyword").agg(F.count("*").alias("df"))
 
 
+def _by_words(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts with at most so many words, or one document."""
+    ends = np.cumsum(pc.list_value_length(batch["words"]).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _candidates(docs: DataFrame, known: list[tuple[str, int]], rest: int, n: int, most: int) -> DataFrame:
     """(doc_id, term, tf, df): what may be among a document's `most` best words; df is null where it isn't known yet.
 
@@ -37,7 +49,7 @@ def _candidates(docs: DataFrame, known: list[tuple[str, int]], rest: int, n: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value_set = pa.array(words, pa.string())
-        for batch in batches:
+        for batch in (part for whole in batches for part in _by_words(whole, WORDS)):
             lists = batch["words"]
             flat = lists.flatten().dictionary_encode()
             terms = flat.dictionary
@@ -86,3 +98,15 @@ def tfidf(docs: DataFrame, most: int) -> DataFrame:
     scored = found.where("df is not null").unionByName(rare).withColumn("score", F.round(F.col("tf") * F.log(F.lit(float(n)) / F.col("df")), 6))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "term"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "rank", F.col("term").alias("keyword"), "tf", "score")
+
+
+def of_chunks(docs: DataFrame, found: DataFrame, strategy: str) -> DataFrame:
+    """(doc_id, chunk, keyword, tf): which of its document's keywords (doc_id, keyword) occur in a chunk, and how often.
+
+    A document meets its few keywords before it is cut, so no other words are counted or shuffled.
+    """
+    own = found.groupBy("doc_id").agg(F.collect_set("keyword").alias("own"))
+    known = docs.select("doc_id", "kb_id", "kb_part", "text").join(own, "doc_id")
+    pieces = chunk_table(known, strategy, keep=("own",)).select("doc_id", F.concat_ws(":", "doc_id", "chunk_ix").alias("chunk"), "own", "content")
+    kept = counted(F.filter(tokens(F.col("content")), lambda w: F.array_contains("own", w)))
+    return pieces.select("doc_id", "chunk", F.explode(kept).alias("p")).select("doc_id", "chunk", F.col("p.value").alias("keyword"), F.col("p.n").alias("tf"))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+import pyarrow as pa
 from quernstone.operators import keywords
 
 
@@ -36,3 +37,19 @@ def test_best_words_whatever_the_tasks_know(spark, monkeypatch, frequent):
 
 def test_no_documents(spark):
     assert keywords.tfidf(spark.createDataFrame([], "doc_id long, text string"), 3).count() == 0
+
+
+def test_words_are_taken_in_parts_of_bounded_size():
+    rows = [["a"] * n for n in (3, 0, 2, 9, 1, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(rows, pa.list_(pa.string()))], names=["doc_id", "words"])
+    parts = list(keywords._by_words(batch.slice(0), 5))
+    assert [p["doc_id"].to_pylist() for p in parts] == [[0, 1, 2], [3], [4, 5]]
+    assert [p["doc_id"].to_pylist() for p in keywords._by_words(batch.slice(2, 3), 5)] == [[2], [3], [4]]
+
+
+def test_chunks_meet_their_documents_keywords_without_counting_other_words(spark):
+    docs = spark.createDataFrame([(1, "k", "p", "one two one\nTWO three"), (2, "k", "p", "one"), (3, "k", "p", None)], "doc_id long, kb_id string, kb_part string, text string")
+    found = spark.createDataFrame([(1, "one"), (1, "two"), (3, "x")], "doc_id long, keyword string")
+    made = keywords.of_chunks(docs, found, "line")
+    assert sorted(map(tuple, made.collect())) == [(1, "1:0", "one", 2), (1, "1:0", "two", 1), (1, "1:1", "two", 1)]
+    assert "LeftSemi" not in made._jdf.queryExecution().toString()
