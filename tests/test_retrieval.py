@@ -196,3 +196,20 @@ def test_a_task_holds_the_best_matches_only(spark, monkeypatch):
     assert list(zip(q, ids, score)) == [(0, 3, 0.9), (0, 5, 0.5), (1, 1, 0.1)]
     monkeypatch.setattr(retrieval, "HELD", 3)
     assert sorted(map(tuple, retrieval.scored(rows, queries, {"hybrid": 4, "vector": 3}).drop("rank").collect())) == once
+
+
+def test_a_task_holds_k_rows_of_each_query(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(300, 4)), np.ones((40, 4)), np.zeros((3, 4))])
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
+    queries = rows.where("vec_id % 3 = 0").selectExpr("vec_id AS query_id", "embedding")
+    got = {}
+    for r in retrieval.vector_topk(rows, queries, 4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    f = x.astype(np.float32).astype(float)
+    unit = f / np.maximum(np.linalg.norm(f, axis=1, keepdims=True), 1e-300)
+    for query in range(0, 340, 3):
+        score = np.round(unit[:340] @ unit[query], 6)
+        order = np.lexsort((np.arange(340), -score))[:4]
+        assert [(n, i) for n, i, _ in sorted(got[query])] == [(n + 1, int(i)) for n, i in enumerate(order)]
+    assert 342 not in got
