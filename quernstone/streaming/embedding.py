@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..jobs.scratch import exists
@@ -42,9 +42,17 @@ def vectors(spark: SparkSession, store: str) -> DataFrame:
     return attempts(spark, store).where("error is null").select("doc_id", "chunk_ix", "chunk_id", "embedding")
 
 
-def pending(chunks: DataFrame, store: str) -> DataFrame:
-    """Chunks with a batch number that no finished batch covers."""
+def _share(waves: int, share: int) -> Column:
+    """Whether a batch belongs to this wave."""
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("batch_ix").cast("int")), F.lit(waves)) == share
+
+
+def pending(chunks: DataFrame, store: str, only: Column | None = None) -> DataFrame:
+    """Chunks with a batch number that no finished batch covers; `only` tells which finished ones can be among these chunks."""
     done = ledger(chunks.sparkSession, store).where("done").select("doc_id", "batch_ix")
+    done = done if only is None else done.where(only)
+    if done.isEmpty():  # the chunks' texts need not be shuffled to find that out
+        return chunks
     return chunks.join(done, ["doc_id", "batch_ix"], "left_anti")
 
 
@@ -99,8 +107,8 @@ def resume(chunks: DataFrame, store: str, embedder: Embedder, per_batch: int = 3
     spark = chunks.sparkSession
     numbered, written = in_batches(chunks, per_batch), 0
     for share in range(waves):
-        mine = numbered.where(F.pmod(F.xxhash64("doc_id", "batch_ix"), F.lit(waves)) == share)
-        left = pending(mine, store)
+        mine = _share(waves, share)
+        left = pending(numbered.where(mine), store, mine)
         if left.isEmpty():
             continue
         last = attempts(spark, store).agg(F.max("wave")).first()[0]

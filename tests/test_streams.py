@@ -365,3 +365,15 @@ def test_worker(spark, tmp_path):
     worker.run(state, ("document.timeout-sweep",))
     assert ("document.failed", "4") in raised()
     assert {r["doc_id"] for r in worker.read("status_end", STATUS).collect()} == {1, 2, 3, 4}
+
+
+def test_waves_that_nothing_is_done_of_join_no_ledger(spark, tmp_path):
+    chunks = spark.createDataFrame([(d, c, f"{d}:{c}", f"text {c}") for d in range(6) for c in range(5)], "doc_id long, chunk_ix int, chunk_id string, content string")
+    numbered, store = embedding.in_batches(chunks, 2), f"{tmp_path}/store"
+    parts = [embedding._share(2, share) for share in (0, 1)]
+    embedding.embed_batches(numbered.where(parts[0]), TrigramEmbedder(8)).write.parquet(f"{store}/wave=0")
+    left = [embedding.pending(numbered.where(p), store, p) for p in parts]
+    assert "LeftAnti" in left[0]._jdf.queryExecution().toString() and "LeftAnti" not in left[1]._jdf.queryExecution().toString()
+    assert left[0].isEmpty() and left[1].count() + spark.read.parquet(store).count() == 30
+    assert embedding.resume(chunks, store, TrigramEmbedder(8), 2, 2) == 1
+    assert embedding.vectors(spark, store).select("chunk_id").distinct().count() == embedding.vectors(spark, store).count() == 30
