@@ -112,6 +112,16 @@ def test_many_queries_take_more_passes(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, vector_index.nearest(index, queries, 2).collect())) == once
 
 
+def test_query_finds_vectors_without_a_label(spark, save):
+    from quernstone.jobs.queries import QUERIES
+
+    rows = frame(spark, clouds(200, 6, 4)).withColumn("label", F.when(F.col("vec_id") % 3 > 0, F.col("vec_id") % 5).cast("int")).drop("kb_part")
+    folder = save(embeddings=rows)
+    found = sorted(map(tuple, QUERIES["vector_index_topk"](spark, folder).collect()))
+    assert found == sorted(map(tuple, QUERIES["vector_topk"](spark, folder).collect())) and len(found) == 100
+    assert QUERIES["vector_index_contents"](spark, folder).count() == rows.where("label <> 3").count()
+
+
 def test_graph_reaches_everything():
     rng = np.random.default_rng(3)
     x = np.concatenate([vector_index._units(rng.normal(size=(300, 5)) * 0.01 + c) for c in rng.normal(size=(6, 5)) * 5])
