@@ -140,6 +140,53 @@ def test_lsh_recall_against_all_pairs(spark, monkeypatch, n, clusters_of, spread
     assert (plans[0][0] > 0) == hashed
 
 
+def shuffled(spark):
+    """Bytes that the session has shuffled so far."""
+    sc, java = spark.sparkContext._jsc.sc(), spark._jvm.java.util
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(java.ArrayList(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), java.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.length()))
+
+
+def test_lsh_shuffles_no_vectors(spark, monkeypatch):
+    vectors = cloud(spark, 6_000, 600, 0.3)
+    vectors.count()
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    before = shuffled(spark)
+    once = sorted(map(tuple, clusters.lsh_topk(vectors, asked, 10).collect()))
+    assert len(once) > 1_000 and shuffled(spark) - before < 6_000 * 64 * 8 / 4
+    monkeypatch.setattr(clusters, "LSH_PACKED", 100_000)  # further passes
+    assert sorted(map(tuple, clusters.lsh_topk(vectors, asked, 10).collect())) == once
+
+
+def test_lsh_odd_rows(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(30)] + [(40, [0.0, 1.0]), (41, None), (42, [float("nan"), 1.0]), (43, [-1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, [float("nan"), 0.0]), (9, None)], "query_id long, embedding array<double>")
+    assert sorted(map(tuple, clusters.lsh_topk(vectors, asked, 4).collect())) == [(7, i, 0.0, i + 1) for i in range(4)]
+    found = clusters.lsh_topk(vectors, asked, 40).where("rank > 29")
+    assert sorted(map(tuple, found.collect())) == [(7, 29, 0.0, 30), (7, 40, 1.414214, 31)]  # the opposite one is not within the radius
+    assert clusters.lsh_topk(vectors, asked.limit(0), 4).count() == clusters.lsh_topk(vectors.limit(0), asked, 4).count() == 0
+
+
+@pytest.mark.parametrize("held", [50, 1_000_000])
+def test_nearest_of_buckets_against_all_pairs(monkeypatch, held):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(clusters, "LSH_HELD", held)
+    x = rng.integers(-2, 3, (300, 3)).astype(float)  # many ties and copies
+    q, ids = x[:40], rng.permutation(300)
+    best = clusters._Nearest(q, 5, 2.0)
+    for _ in range(2):  # as from two tables
+        for part in (np.arange(150), np.arange(150, 300)):
+            best.meet(ids[part], x[part], [(0, 70, np.arange(40)), (70, 150, np.arange(40))])
+    best.drop()
+    far = np.round(np.sqrt(((x[None] - q[:, None]) ** 2).sum(2)), 6)
+    want = [(i, ids[j], far[i, j]) for i in range(40) for j in np.lexsort((ids, far[i]))[:5] if far[i, j] < 2]
+    assert sorted(zip(*(c.tolist() for c in best.kept))) == sorted(want)
+
+
 def test_projection_against_numpy(spark):
     import numpy as np
 
