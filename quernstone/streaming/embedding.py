@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..jobs.scratch import exists
 from ..operators.embedding import Embedder
+from ..operators.spread import cut
 
 VECTORS = "doc_id long, chunk_ix int, chunk_id string, batch_ix int, embedding array<float>, error string, wave long"
 
@@ -56,8 +57,18 @@ def pending(chunks: DataFrame, store: str, only: Column | None = None) -> DataFr
     return chunks.join(done, ["doc_id", "batch_ix"], "left_anti")
 
 
-def embed_batches(chunks: DataFrame, embedder: Embedder) -> DataFrame:
-    """(doc_id, chunk_ix, chunk_id, batch_ix, embedding, error): one call of the embedder for each batch, in the tasks."""
+def _open(numbered: DataFrame, done: DataFrame, asked: DataFrame | None) -> DataFrame:
+    """The ids of batches that are asked for and not done; no text takes part in finding them."""
+    ids = numbered.where("doc_id is not null").select(*(["doc_id"] if asked is None else asked.columns), "batch_ix").distinct()
+    ids = ids if asked is None else ids.join(asked, asked.columns, "left_semi")
+    return ids.join(done, ["doc_id", "batch_ix"], "left_anti")
+
+
+def embed_batches(chunks: DataFrame, embedder: Embedder, todo: DataFrame | None = None) -> DataFrame:
+    """(doc_id, chunk_ix, chunk_id, batch_ix, embedding, error): one call of the embedder for each batch, in the tasks.
+
+    With `todo`, different rows of doc_id, batch_ix and maybe further columns of the chunks, only these batches.
+    """
     names = ["doc_id", "chunk_ix", "chunk_id", "batch_ix", "embedding", "error"]
 
     def called(texts: pd.Series) -> tuple[list, str | None]:
@@ -71,9 +82,9 @@ def embed_batches(chunks: DataFrame, embedder: Embedder) -> DataFrame:
 
     def embedded(part: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         """Whole batches, each from one of the starts on."""
-        texts, vectors, errors = part["content"].to_pandas().fillna(""), [], []
+        texts, vectors, errors = part["content"].to_pandas().fillna("").to_numpy(object), [], []
         for at, to in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
-            made, error = called(texts.iloc[at:to].reset_index(drop=True))
+            made, error = called(pd.Series(texts[at:to], dtype=object))
             vectors += made
             errors += [error] * len(made)
         sizes = np.array([0 if v is None else len(v) for v in vectors])
@@ -96,22 +107,34 @@ def embed_batches(chunks: DataFrame, embedder: Embedder) -> DataFrame:
             part = pa.Table.from_batches(held)
             yield embedded(part, np.zeros(1, int))
 
-    rows = chunks.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("chunk_ix").cast("int").alias("chunk_ix"), "chunk_id", F.col("batch_ix").cast("int").alias("batch_ix"), "content")
+    by = ["doc_id", "batch_ix"] if todo is None else todo.columns
+    further = [c for c in by if c not in names]
+    rows = chunks.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("chunk_ix").cast("int").alias("chunk_ix"), "chunk_id", F.col("batch_ix").cast("int").alias("batch_ix"), "content", *further)
     parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, as an embedder's time doesn't go by bytes
-    dealt = rows.repartition(parts, "doc_id", "batch_ix").sortWithinPartitions("doc_id", "batch_ix", "chunk_ix")
+    dealt = rows.repartition(parts, *by)
+    if todo is not None:  # ids meet the texts where these are dealt to; an inner join, as a semi join would be put before the dealing
+        ids = todo.withColumns({"doc_id": F.col("doc_id").cast("long"), "batch_ix": F.col("batch_ix").cast("int")})
+        dealt = dealt.join(ids.hint("shuffle_hash"), by).select(*rows.columns)
+    dealt = dealt.drop(*further).sortWithinPartitions("doc_id", "batch_ix", "chunk_ix")
     return dealt.mapInArrow(run, "doc_id long, chunk_ix int, chunk_id string, batch_ix int, embedding array<float>, error string")
 
 
-def resume(chunks: DataFrame, store: str, embedder: Embedder, per_batch: int = 32, waves: int = 1) -> int:
-    """Embed what is pending, in waves; how many waves were written. What a lost run had finished stays."""
+def resume(chunks: DataFrame, store: str, embedder: Embedder, per_batch: int = 32, waves: int = 1, asked: DataFrame | None = None) -> int:
+    """Embed what is pending, in waves; how many waves were written. What a lost run had finished stays.
+
+    With `asked`, different rows of doc_id and maybe further columns of the chunks, only what these name.
+    """
     spark = chunks.sparkSession
     numbered, written = in_batches(chunks, per_batch), 0
     for share in range(waves):
         mine = _share(waves, share)
-        left = pending(numbered.where(mine), store, mine)
-        if left.isEmpty():
+        some, todo = numbered.where(mine), None
+        done = ledger(spark, store).where("done").select("doc_id", "batch_ix").where(mine)
+        if asked is not None or not done.isEmpty():  # else all are pending
+            todo = cut(_open(some, done, asked), "batches")
+        if (some if todo is None else todo).isEmpty():
             continue
         last = attempts(spark, store).agg(F.max("wave")).first()[0]
-        embed_batches(left, embedder).write.mode("overwrite").parquet(f"{store}/wave={0 if last is None else last + 1}")
+        embed_batches(some, embedder, todo).write.mode("overwrite").parquet(f"{store}/wave={0 if last is None else last + 1}")
         written += 1
     return written

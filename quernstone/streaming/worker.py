@@ -18,6 +18,8 @@ from ..functions.keys import kb_part
 from ..jobs.scratch import exists
 from ..operators import dictionary, kmeans
 from ..operators.embedding import EndpointRegistry
+from ..operators.spread import cut
+from ..operators.vector_index import FEW_BASES
 from ..sources.tables import chunk_table
 from . import embedding, ingest
 from .events import of_documents
@@ -65,20 +67,25 @@ class Worker:
         self._next(jobs, "embed.batch")
 
     def embed_batch(self, jobs: DataFrame, number: int) -> None:
-        mine = self.chunks().join(self._asked(jobs), "doc_id", "left_semi")
-        bases = mine.select("kb_id").distinct().join(self.bindings, "kb_id")
+        stored = self.read("chunk", CHUNKS)
+        last = stored.groupBy("doc_id").agg(F.max("batch").alias("batch"), F.max_by("kb_id", "batch").alias("kb_id"))
+        asked = cut(last.join(self._asked(jobs), "doc_id", "left_semi"), "asked")  # ids alone; texts are shuffled once, to where they are embedded
+        bases = asked.select("kb_id").distinct().join(self.bindings, "kb_id")
         for bound in bases.select("paired_client_id", "embedding_endpoint_id").distinct().collect():  # endpoints, not bases
             embedder = self.registry.lookup(bound["paired_client_id"], bound["embedding_endpoint_id"])
             own = self.bindings.where((F.col("paired_client_id") == bound["paired_client_id"]) & (F.col("embedding_endpoint_id") == bound["embedding_endpoint_id"]))
-            embedding.resume(mine.join(own.select("kb_id"), "kb_id", "left_semi"), f"{self.store}/vector", embedder, self.per_batch)
+            own = cut(own.join(bases.select("kb_id"), "kb_id", "left_semi").select("kb_id").distinct(), "bases")
+            own = F.broadcast(own) if own.count() <= FEW_BASES else own
+            embedding.resume(stored.join(own, "kb_id", "left_semi"), f"{self.store}/vector", embedder, self.per_batch, asked=asked.select("doc_id", "batch"))
         self._next(jobs, "embed.finalize")
 
     def embed_finalize(self, jobs: DataFrame, number: int) -> None:
         asked = jobs.select("doc_id", "kb_id").where("doc_id is not null").distinct()
-        wanted = embedding.in_batches(self.chunks(), self.per_batch).join(self._asked(jobs), "doc_id", "left_semi").select("doc_id", "batch_ix").distinct()
+        batches = embedding.in_batches(self.read("chunk", CHUNKS), self.per_batch).select("doc_id", "batch", "batch_ix").distinct()
+        wanted = self._latest(batches).join(self._asked(jobs), "doc_id", "left_semi").select("doc_id", "batch_ix")
         ledger = embedding.ledger(self.spark, f"{self.store}/vector").select("doc_id", "batch_ix", "done")
         batches = wanted.join(ledger, ["doc_id", "batch_ix"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
-        ended = asked.join(ingest.finalize(batches), "doc_id", "left").withColumns({"finished": F.coalesce("finished", F.lit(False)), "version": F.lit(number)})
+        ended = cut(asked.join(ingest.finalize(batches), "doc_id", "left").withColumns({"finished": F.coalesce("finished", F.lit(False)), "version": F.lit(number)}), "ended")
         self._write(of_documents(ended), "event", number)
         self._write(ended.select("doc_id", "kb_id", F.when(F.col("finished"), "completed").otherwise("failed").alias("status"), F.current_timestamp().alias("started_at")), "status_end", number)
 

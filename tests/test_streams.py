@@ -367,6 +367,44 @@ def test_worker(spark, tmp_path):
     assert {r["doc_id"] for r in worker.read("status_end", STATUS).collect()} == {1, 2, 3, 4}
 
 
+@pytest.fixture
+def no_broadcasts(spark):
+    """Small tables are joined as large ones are."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_worker_shuffles_texts_once_to_embed_them(spark, tmp_path, no_broadcasts):
+    import random
+
+    draw, java, sc = random.Random(2), spark._jvm.java.util, spark.sparkContext
+    rows = [(d % 2 and "a" or "b", d, c, f"{d}:{c}", "".join(chr(draw.randrange(33, 126)) for _ in range(2_000)), b) for d in range(40) for c in range(8) for b in ((0, 1) if d < 4 else (0,))]
+    size = sum(len(r[4]) for r in rows)
+    spark.createDataFrame(rows, "kb_id string, doc_id long, chunk_ix int, chunk_id string, content string, batch long").write.partitionBy("batch").parquet(f"{tmp_path}/store/chunk")
+    bound = spark.createDataFrame([("a", "c", "e1"), ("b", "c", "e2")], "kb_id string, paired_client_id string, embedding_endpoint_id string")
+    registry = EndpointRegistry()
+    registry.add_local("e1", TrigramEmbedder(16))
+    registry.add_local("e2", TrigramEmbedder(8))
+    worker = Worker(spark, f"{tmp_path}/store", f"{tmp_path}/queue", None, bound, registry, per_batch=4)
+
+    def shuffled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(java.ArrayList(), False, False, sc._gateway.new_array(spark._jvm.double, 0), java.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.length()))
+
+    before = shuffled()
+    jobs = spark.createDataFrame([("embed.batch", "a" if d % 2 else "b", d) for d in range(39)], "job string, kb_id string, doc_id long")
+    worker.embed_batch(jobs, 0)
+    assert shuffled() - before < 1.3 * size
+    made = embedding.attempts(spark, f"{tmp_path}/store/vector")
+    assert made.count() == made.select("doc_id", "chunk_ix").distinct().count() == 39 * 8  # of each document its last ingest
+    assert {(r["odd"], r["n"]) for r in made.selectExpr("doc_id % 2 = 1 AS odd", "size(embedding) AS n").distinct().collect()} == {(True, 16), (False, 8)}
+    before = shuffled()
+    worker.embed_batch(jobs, 1)
+    assert shuffled() - before < 0.2 * size and embedding.attempts(spark, f"{tmp_path}/store/vector").count() == 39 * 8  # all are done
+
+
 def test_waves_that_nothing_is_done_of_join_no_ledger(spark, tmp_path):
     chunks = spark.createDataFrame([(d, c, f"{d}:{c}", f"text {c}") for d in range(6) for c in range(5)], "doc_id long, chunk_ix int, chunk_id string, content string")
     numbered, store = embedding.in_batches(chunks, 2), f"{tmp_path}/store"

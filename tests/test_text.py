@@ -62,6 +62,30 @@ def test_trigrams():
     assert list(vectors.index) == [3, 9] and abs((vectors[3] ** 2).sum() - 1) < 1e-6 and not vectors[9].any()
 
 
+def test_trigrams_are_hashed_once_in_a_process(monkeypatch):
+    from quernstone.operators import trigrams
+
+    first = trigrams.bucket_counts(["some words and others", "more"], 16)
+    monkeypatch.setattr(trigrams, "_hashed", None)
+    assert (trigrams.bucket_counts(["more", "some words and others"], 16) == first[::-1]).all()
+
+
+def test_trigrams_of_more_letters_than_have_a_table(monkeypatch):
+    import numpy as np
+
+    from quernstone.operators import trigrams
+
+    monkeypatch.setattr(trigrams, "LETTERS", 6)
+    monkeypatch.setattr(trigrams, "_letters", np.zeros(1 << 16, np.int64))
+    monkeypatch.setattr(trigrams, "_seen", np.zeros(6**3, np.int64))
+    for own in ("abc", "abcdef", "fedcba", "abcdefg", "😀abc", "gabc", "abc\ud800", "cabfed"):
+        want = np.zeros((1, 9))
+        for j in range(len(own) - 2):
+            want[0, int(hashlib.md5(own[j : j + 3].encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % 9] += 1
+        assert (trigrams.bucket_counts([own], 9) == want).all(), own
+    assert trigrams._letters.max() == 6 and (trigrams._seen > 0).sum() > 8
+
+
 def test_chunker_arguments():
     with pytest.raises(ValueError):
         text.chunker("nothing")
