@@ -18,6 +18,7 @@ def exploded(rows: str, pieces: str) -> str:
 
 
 ASKED = "q AS (SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 20 = 0)"
+EVERY_TEXT = "q AS (SELECT item_id AS query_id, text FROM benchmark)"
 VECTORS = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), qv AS (SELECT vec_id AS query_id, e AS q FROM v WHERE vec_id % 20 = 0)"
 
 
@@ -213,7 +214,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM r QUALIFY rank <= 5""",
     "vector_topk": f"WITH {VECTORS}, r AS ({TOPV}) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM r QUALIFY rank <= 10",
     "vector_topk_minscore": f"WITH {VECTORS}, r AS ({TOPV}) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM r WHERE score >= 0.2 QUALIFY rank <= 10",
-    "hybrid_query": f"WITH {DOCS}, {ASKED}, {hybrid('d', 0.4, 0.1)}",
+    "hybrid_query": f"WITH {DOCS}, {EVERY_TEXT}, {hybrid('d', 0.4, 0.1)}",
     "hybrid_query_rrf": f"""WITH {DOCS}, {ASKED}, {bm25('d')}, {cosine('d')},
         l1 AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(keyword_score, 6) DESC, doc_id) AS rank FROM kw QUALIFY rank <= 50),
         l2 AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(vector_score, 6) DESC, doc_id) AS rank FROM vs QUALIFY rank <= 50),

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quernstone.jobs.queries import QUERIES
 from quernstone.operators import clusters, retrieval, trigrams
 from quernstone.sources.tables import documents, inline, table
 
@@ -116,6 +117,16 @@ def test_fixture_queries(spark):
     assert top.where(F.array_contains("holders", F.col("doc_id"))).select("query_id").distinct().count() == 10
 
 
+def test_hybrid_query_asks_every_item(spark, save):
+    rows = [(i, f"text number{i} of words") for i in (1, 2, 19, 20, 21, 40)]
+    folder = save(
+        documents=spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"),
+        benchmark=spark.createDataFrame([*rows, (None, "words")], "item_id long, text string"),
+    )
+    first = QUERIES["hybrid_query"](spark, folder).where("rank = 1").collect()
+    assert sorted((r["query_id"], r["doc_id"]) for r in first) == [(i, i) for i, _ in rows]
+
+
 def cloud(spark, n, clusters_of, spread):
     import numpy as np
 
