@@ -111,6 +111,30 @@ def test_settling_takes_longer_than_its_patience(spark, tmp_path):
     assert got == {(1, "delivered"): 1, (1, "retry"): 999, (2, "retry"): 999, (3, "retry"): 999, (4, "failed"): 999}
 
 
+def test_deliveries_reach_the_state_packed(spark):
+    """A row of the state's input holds many deliveries of one webhook, url and slot, and none is lost."""
+    rows = [(h, f"e{i}", f"https://x.example/{h}/{i % 2}", f"body {i}", f"s{i}") for i in range(2_000) for h in ("a", "b")] + [(None, "e1", None, None, "s")]
+    due = spark.createDataFrame(rows, "webhook_id string, event_id string, url string, payload string, signature string").repartition(2)
+    made = delivery.packs(due, 3).cache()
+    assert made.count() < len(rows) / 8 and made.where(F.size("event_id") > delivery.PACKED).isEmpty()
+    each = made.select("webhook_id", "url", "slot", F.explode(F.arrays_zip("event_id", "payload", "signature")).alias("d"))
+    assert sorted(map(str, each.select("webhook_id", "d.event_id", "url", "d.payload", "d.signature").collect())) == sorted(map(str, due.collect()))
+    assert each.where(F.col("slot") != F.pmod(F.xxhash64("d.event_id"), F.lit(3))).isEmpty()
+
+
+def test_signing_is_spread_over_tasks(spark):
+    """Events of one file and one type are signed by all tasks, not by those of the file or the type."""
+    keys, hooks = hooks_of(spark, ["a", "b"])
+    rows = spark.range(1_000).coalesce(1).select(F.concat(F.lit("e"), "id").alias("event_id"), F.lit("document.ingested").alias("event_type"), F.lit("body").alias("payload"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as in a stream
+    try:
+        parts = delivery.signed(rows, hooks, keys).groupBy(F.spark_partition_id().alias("part")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sum(r["count"] for r in parts) == 2_000 and len(parts) > 1 and max(r["count"] for r in parts) < 1_000
+
+
 # the sweep
 
 
